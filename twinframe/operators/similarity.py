@@ -48,21 +48,24 @@ def _by_blocks(wide: DataFrame, n: int, most: int, block: int) -> DataFrame:
 
 
 def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int) -> DataFrame:
-    bands = [(i, at, min(BAND, word_bits - at)) for i in range(n) for at in range(0, word_bits, BAND)]
-    near, rest = divmod(most + 1, len(bands))
-    if near > 1 or near == 1 and rest:
+    each = -(-word_bits // BAND)
+    bands = n * each
+    # sum(radius + 1) over the bands is most + 1; a band without a share is not needed.
+    near, rest = divmod(most + 1, bands)
+    if near + (rest > 0) > 2:
         raise ValueError("too wide a distance for bands; use blocks")
-    # sum(radius + 1) over the bands must reach most + 1; a band without a share isn't needed
-    radius = [near + (k < rest) - 1 for k in range(len(bands))]
-    own, ball = [], []
-    for k, (i, at, width) in enumerate(bands):
-        if radius[k] < 0:
-            continue
-        key = F.shiftrightunsigned(f"h{i}", at).bitwiseAND(F.lit((1 << width) - 1))
-        own.append(F.struct(F.lit(k).alias("band"), key.alias("key")))
-        ball.append(own[-1])
-    table = wide.withColumn("e", F.explode(F.array(*own))).select("*", "e.band", "e.key").drop("e").alias("a")
-    probe = wide.withColumn("e", F.explode(F.array(*ball))).select("*", "e.band", "e.key").drop("e").alias("b")
+    used = bands if near else rest
+    if not used:
+        return wide.select(F.col("path").alias("a"), F.col("path").alias("b"), F.lit(0).alias("total")).limit(0)
+    word = F.expr(f"shiftrightunsigned(element_at(hashes, band div {each} + 1), CAST((band % {each}) * {BAND} AS INT))")
+    table = wide.withColumn("hashes", F.array(*(f"h{i}" for i in range(n)))).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(used - 1))))
+    table = table.withColumn("band", F.col("band").cast("bigint")).withColumn("key", word.bitwiseAND(F.lit((1 << BAND) - 1))).drop("hashes")
+    # Bands with a radius of 1 look up their value and those one bit away.
+    wider = F.col("band") < (rest if near == 1 else bands if near == 2 else 0)
+    flips = F.array(F.lit(0), *(F.lit(1 << x) for x in range(min(BAND, word_bits)))).cast("array<bigint>")
+    masks = F.when(wider, flips).otherwise(F.array(F.lit(0)).cast("array<bigint>"))
+    probe = table.withColumn("mask", F.explode(masks)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask").alias("b")
+    table = table.alias("a")
     met = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.path") < F.col("b.path"))
     return table.join(probe, met & _close(n, most)).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), _distance(n).alias("total")).distinct()
 
