@@ -57,7 +57,7 @@ def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int) -> DataFrame:
     used = bands if near else rest
     if not used:
         return wide.select(F.col("path").alias("a"), F.col("path").alias("b"), F.lit(0).alias("total")).limit(0)
-    word = F.expr(f"shiftrightunsigned(element_at(hashes, band div {each} + 1), CAST((band % {each}) * {BAND} AS INT))")
+    word = F.expr(f"shiftrightunsigned(element_at(hashes, CAST(band div {each} + 1 AS INT)), CAST((band % {each}) * {BAND} AS INT))")
     table = wide.withColumn("hashes", F.array(*(f"h{i}" for i in range(n)))).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(used - 1))))
     table = table.withColumn("band", F.col("band").cast("bigint")).withColumn("key", word.bitwiseAND(F.lit((1 << BAND) - 1))).drop("hashes")
     # Bands with a radius of 1 look up their value and those one bit away.

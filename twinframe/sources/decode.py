@@ -58,7 +58,7 @@ def frame_hash(grey: np.ndarray, size: int) -> list[int]:
     rows = np.array_split(np.asarray(grey, dtype=float), size, axis=0)
     grid = np.array([[c.mean() for c in np.array_split(r, size, axis=1)] for r in rows]) if grey.shape != (size, size) else np.asarray(grey, dtype=float)
     bits = (grid > grid.mean()).ravel()
-    words = [int("".join("01"[b] for b in bits[i : i + 64]), 2) for i in range(0, len(bits), 64)]
+    words = [int("".join("01"[int(b)] for b in bits[i : i + 64]), 2) for i in range(0, len(bits), 64)]
     return [w - (1 << 64) if w >> 63 else w for w in words]
 
 
