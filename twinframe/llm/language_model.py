@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.sampling import smallest
+from twinframe.llm.sampling import most_frequent, smallest
 from twinframe.sources.shared import materialize
 
 #: Stands for the end token in tables of words; no word has white space.
@@ -52,7 +52,7 @@ class Units(dict):
     As a mapping it also remembers other words' classes, up to a bound.
     """
 
-    def __init__(self, frequent: list[bytes], classes: int, remember: int = 400_000):
+    def __init__(self, frequent: list[bytes], classes: int, remember: int = 200_000):
         super().__init__({w: i for i, w in enumerate(frequent)})
         self.classes, self.end, self.remember = classes, len(frequent), remember
         self[END] = self.end
@@ -165,11 +165,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b, i in ((b, i) for b in batches for i in range(0, b.num_rows, 4000)):
             got: Counter = Counter()
-            for t in b.column("text").to_pylist():
+            part = b.column("text").slice(i, 4000).to_pylist()
+            for t in part:
                 got.update(words(t))
-            got[END] += b.num_rows
+            got[END] += len(part)
             yield pa.RecordBatch.from_arrays([pa.array(got.keys(), type=pa.binary()), pa.array(got.values(), type=pa.int64())], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
@@ -233,7 +234,7 @@ def fit(train: DataFrame, frequent: int = 1000, classes: int = 256, dim: int = 2
     spark = train.sparkSession
     counts = materialize(word_counts(train), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()  # bounded by ``head``
+    top = most_frequent(counts, "n", head).toPandas().sort_values(["n", "word"], ascending=[False, True])  # bounded by ``head``
     common = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
     if END not in common and total:
         common[END] = counts.filter(F.col("word") == END).first()["n"]
@@ -282,8 +283,8 @@ def _train_on_all(train: DataFrame, units: Units, model: LogBilinear, state, noi
         state, seen = [s.copy() for s in state], 0
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 2000):
-                target, sizes = units.sequence(texts[i : i + 2000])
+            for i in range(0, len(texts), 1000):
+                target, sizes = units.sequence(texts[i : i + 1000])
                 own.train(target, *units.context(target, sizes), noise, seed=TaskContext.get().partitionId() + i, state=state)
                 seen += len(target)
         if seen:
@@ -313,8 +314,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         tail_type = pa.list_(pa.struct([("word", pa.binary()), ("f", pa.int64())]))
         for b in batches:
             texts, of = b.column("text").to_pylist(), send.value
-            for i in range(0, len(texts), 1000):
-                part = texts[i : i + 1000]
+            for i in range(0, len(texts), 500):
+                part = texts[i : i + 500]
                 got, n = of.score(part), len(part)
                 cols = [pa.array(range(key, key + n), type=pa.int64()), b.column("id_").slice(i, n), b.column("held_out").slice(i, n)]
                 cols += [pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(got["base"]), pa.array(got["model"])]

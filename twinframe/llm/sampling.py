@@ -7,9 +7,27 @@ from pyspark.sql import functions as F
 
 
 def smallest(df: DataFrame, by: Column, n: int) -> DataFrame:
-    """About ``n`` rows, those with the smallest hashes ``by``, and never more than ``2 * n``.
+    """About ``n`` rows, those with the smallest 64-bit hashes ``by``, and never more than ``2 * n``.
 
-    Only hashes are ordered; rows are then filtered by the n-th smallest one.
+    Nothing is sorted: hashes are even, so the share of rows wanted is a bound on the hash. If copies
+    leave none below it, any ``n`` rows serve.
     """
-    edge = df.select(by.alias("h_")).orderBy("h_").limit(n).agg(F.max("h_")).first()[0]
-    return df.filter(by <= edge).limit(2 * n) if edge is not None else df.limit(0)
+    total = df.count()
+    if total <= n:
+        return df
+    edge = -(1 << 63) + int((1 << 64) * n / total)
+    found = df.filter(by <= edge).limit(2 * n)
+    return df.limit(n) if found.isEmpty() else found
+
+
+def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most ``most``: whole classes of counts, eighths of a power of two, from the top."""
+    step = F.floor(F.log2(F.col(n_col).cast("double")) * 8)
+    classes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()  # at most 512 rows
+    left, edge = most, None
+    for r in sorted(classes, key=lambda r: -r["step"]):
+        left -= r["rows"]
+        if left < 0:
+            break
+        edge = r["step"]
+    return counts.filter(step >= edge) if edge is not None else counts.limit(0)
