@@ -239,7 +239,7 @@ def test_toxicity_learns_marks_of_words():
             np.add.at(counts[k], toxicity.grams(w, (1 << 14) - 1), c)
     share = counts / counts.sum(axis=1, keepdims=True)
     model = toxicity.Model(*toxicity._regress(texts[:160], np.array(y[:160]), np.log(share[1]) - np.log(share[0])))
-    got = model.score_texts([*texts[160:], None, ""], {})
+    got = model.score_texts([*texts[160:], None, ""])
     assert sum((s >= 0.5) == bool(k) for s, k in zip(got, y[160:], strict=False)) >= 76
     assert got[-1] == got[-2] and 0 <= got[-1] <= 1
 

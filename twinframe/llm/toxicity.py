@@ -33,37 +33,48 @@ from pyspark.sql import types as T
 from twinframe.llm.sampling import smallest
 from twinframe.sources.shared import discard, materialize
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (3, 4, 5)
 
 
 def grams(word: str, mask: int, orders=ORDERS) -> list[int]:
     """Buckets of a word's character n-grams; the word's ends count as a character each."""
-    w = f" {word} "
-    return [zlib.crc32(w[i : i + n].encode()) & mask for n in orders for i in range(len(w) - n + 1)]
+    w, crc = f" {word} ", zlib.crc32
+    if w.isascii():  # a slice of the bytes is the bytes of the slice
+        b = w.encode()
+        return [crc(b[i : i + n]) & mask for n in orders for i in range(len(b) - n + 1)]
+    return [crc(w[i : i + n].encode()) & mask for n in orders for i in range(len(w) - n + 1)]
 
 
 def words(text: str | None) -> set[str]:
     return set(text.lower().split()) if text else set()
 
 
+class Shares(dict):
+    """What each word adds to a score, computed when first met; it starts anew at its bound."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.weights, self.mask, self.per_word, self.remember = model.weights.tolist(), len(model.weights) - 1, model.per_word, model.remember
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.remember:
+            self.clear()
+        s = self[word] = sum(map(self.weights.__getitem__, grams(word, self.mask)), self.per_word)
+        return s
+
+
 class Model:
     """Weights by bucket, the weight that any word has, and an intercept."""
 
     def __init__(self, weights: np.ndarray, per_word: float, intercept: float, remember: int = 400_000):
         self.weights, self.per_word, self.intercept, self.remember = weights.astype(np.float32), float(per_word), float(intercept), remember
 
-    def score_texts(self, texts, shares: dict[str, float]) -> list[float]:
-        w, mask, out = self.weights, len(self.weights) - 1, []
+    def score_texts(self, texts, shares: Shares | None = None) -> list[float]:
+        of, out = (shares or Shares(self)).__getitem__, []
         for t in texts:
-            z, found = 0.0, words(t)
-            for x in found:
-                s = shares.get(x)
-                if s is None:
-                    if len(shares) >= self.remember:
-                        shares.clear()
-                    s = shares[x] = float(w[grams(x, mask)].sum()) + self.per_word
-                z += s
-            z = self.intercept + z / math.sqrt(max(1, len(found)))
+            found = words(t)
+            # fsum's result does not depend on the order of a set.
+            z = self.intercept + math.fsum(map(of, found)) / math.sqrt(max(1, len(found)))
             out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
         return out
 
@@ -97,10 +108,11 @@ def _log_ratios(train: DataFrame, buckets: int) -> np.ndarray:
 
         total = np.zeros((2, buckets))
         for b in batches:
-            for x, neg, pos in zip(b.column("word").to_pylist(), b.column("neg").to_pylist(), b.column("pos").to_pylist(), strict=True):
-                g = grams(x, buckets - 1)
-                np.add.at(total[0], g, neg)
-                np.add.at(total[1], g, pos)
+            found = [grams(x, buckets - 1) for x in b.column("word").to_pylist()]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            at = np.fromiter((g for x in found for g in x), dtype=np.int64, count=int(sizes.sum()))
+            for y, name in enumerate(("neg", "pos")):
+                total[y] += np.bincount(at, weights=np.repeat(b.column(name).to_numpy(), sizes), minlength=buckets)
         hit = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[0, hit]), pa.array(total[1, hit])], ["bucket", "neg", "pos"])
 
@@ -182,7 +194,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def rate(batches):
         import pandas as pd
 
-        shares: dict[str, float] = {}
+        shares = Shares(shared.value)
         for texts in batches:
             yield pd.Series(shared.value.score_texts(texts, shares), dtype="float64")
 
