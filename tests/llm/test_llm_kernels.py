@@ -219,6 +219,11 @@ def test_training_helps():
     assert m.log_probability(t, one, two).mean() > before + 0.3
 
 
+def test_toxicity_words_lose_punctuation_at_their_ends():
+    assert toxicity.words("SCUM!! scum, don't (x)  -- \n") == {"scum", "don't", "x"}
+    assert toxicity.words(None) == toxicity.words("") == toxicity.words("!!! --") == set()
+
+
 def test_toxicity_learns_marks_of_words():
     rng = random.Random(3)
     syllables = ["ba", "de", "gi", "ko", "lu", "ma", "ne", "ri"]

@@ -1,7 +1,8 @@
 """Toxicity scores from a character n-gram linear classifier (operator 8).
 
-A document is the set of its lower-cased, white-space separated words; a word's features are its
-character n-grams with the word's ends marked, hashed to ``buckets``. Each feature is scaled by its
+A document is the set of its lower-cased, white-space separated words without the ASCII punctuation
+at their ends; a word's features are its character n-grams with the word's ends marked, hashed to
+``buckets``. Each feature is scaled by its
 naive Bayes log-count ratio between toxic and other documents, and a logistic regression on the
 scaled features gives the weights (NB-SVM of Wang and Manning 2012, with the logistic loss). The
 sum over features is divided by the root of the number of distinct words, and every word has one
@@ -12,7 +13,7 @@ fitted on the driver on about ``sample`` rows of each class (never over twice as
 smallest hash of their id; its intercept is then moved to the classes' true proportions. Since the score is a sum over
 words, a word's share is computed once per task and remembered in a table of bounded size.
 
-Edge cases. A null or empty text has no features, and the score of the intercept alone. A label
+Edge cases. A null or empty text, or one of punctuation alone, has no features, and the score of the intercept alone. A label
 that is null, neither 0 nor 1, or of no document teaches nothing; two different labels of one id
 teach both. Without any toxic or any clean training row every score is the share of toxic rows
 among them (0 without labels). A null id is never a training row and is held out from nothing:
@@ -22,6 +23,7 @@ its ``held_out`` is false. Repeated rows are scored alike. Extra columns are ign
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from collections import Counter
 
@@ -34,6 +36,7 @@ from twinframe.llm.sampling import smallest
 from twinframe.sources.shared import discard, materialize
 
 ORDERS = (3, 4, 5)
+PUNCTUATION = string.punctuation
 
 
 def grams(word: str, mask: int, orders=ORDERS) -> list[int]:
@@ -46,7 +49,11 @@ def grams(word: str, mask: int, orders=ORDERS) -> list[int]:
 
 
 def words(text: str | None) -> set[str]:
-    return set(text.lower().split()) if text else set()
+    if not text:
+        return set()
+    out = {w.strip(PUNCTUATION) for w in set(text.lower().split())}
+    out.discard("")
+    return out
 
 
 class Shares(dict):
@@ -128,7 +135,7 @@ def _log_ratios(train: DataFrame, buckets: int) -> np.ndarray:
     return np.log(share[1]) - np.log(share[0])
 
 
-def _regress(texts: list[str], y: np.ndarray, ratio: np.ndarray, l2: float = 0.3, steps: int = 100, rate: float = 0.05, least: float = 0.7) -> tuple[np.ndarray, float, float]:
+def _regress(texts: list[str], y: np.ndarray, ratio: np.ndarray, l2: float = 0.3, steps: int = 100, rate: float = 0.05, least: float = 1.5) -> tuple[np.ndarray, float, float]:
     """Weights (ratios included), a word's own weight and the intercept of a logistic regression, by full-batch Adam.
 
     Features whose ratio is below ``least`` in size say little and are left out.
