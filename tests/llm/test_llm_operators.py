@@ -273,6 +273,10 @@ def test_toxicity(spark, docs, rows, empty):
     assert {r.doc_id for r in out if r.held_out} == {i for i, _ in rows + data if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}
     right = [r.predicted == ((r.doc_id - 200) % 3 == 0) for r in out if (r.doc_id or 0) >= 200]
     assert sum(right) > 0.97 * len(right)
+    # With fewer labels than there are, the classes' proportions stay those of all.
+    model = toxicity.fit(df, labels, labelled=40, sample=30)
+    out = toxicity.score(df, model).filter("doc_id >= 200").collect()
+    assert sum((r.toxicity >= 0.5) == ((r.doc_id - 200) % 3 == 0) for r in out) > 0.9 * len(out)
     assert toxicity.toxicity_scores(empty, labels).count() == 0
     assert all(r.score < 1e-6 for r in toxicity.toxicity_scores(df, labels.limit(0)).collect())
 

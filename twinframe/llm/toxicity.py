@@ -8,9 +8,11 @@ scaled features gives the weights (NB-SVM of Wang and Manning 2012, with the log
 sum over features is divided by the root of the number of distinct words, and every word has one
 more feature of its own, so that neither long clean texts nor short toxic ones drift.
 
-The log-count ratios are counted over all labelled training rows, on the cluster. The regression is
-fitted on the driver on about ``sample`` rows of each class (never over twice as many), those with the
-smallest hash of their id; its intercept is then moved to the classes' true proportions. Since the score is a sum over
+The log-count ratios are counted on the cluster, over the labelled training rows: all of them up to
+``labelled`` of each class, beyond that those with the smallest hash of their id. So the labels that
+meet the documents have a bound and are broadcast, and no text is shuffled. The regression is fitted
+on the driver on about ``sample`` rows of each class (never over twice as many), chosen likewise; its
+intercept is then moved to the classes' true proportions. Since the score is a sum over
 words, a word's share is computed once per task and remembered in a table of bounded size.
 
 Edge cases. A null or empty text, or one of punctuation alone, has no features, and the score of the intercept alone. A label
@@ -26,6 +28,7 @@ import math
 import string
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -90,10 +93,22 @@ def held_out(id_col: str, folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    y = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id_ is not null").distinct()
-    d = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text"))
-    return d.join(y, "id_")
+def _class_sizes(df: DataFrame) -> dict[int, int]:
+    return {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
+def _labels(docs: DataFrame, labels: DataFrame, labelled: int, id_col: str, label_col: str) -> tuple[DataFrame, dict[int, int] | None]:
+    """``(id_, y)``: the training labels, at most twice ``labelled`` of each class; the classes' sizes if some labels were left out."""
+    y = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id_ is not null")
+    y = y.filter(~held_out("id_")).distinct()
+    if y.count() <= labelled:
+        return y, None
+    y = materialize(y.join(docs.select(F.col(id_col).alias("id_")), "id_", "left_semi"), "labels")
+    return reduce(DataFrame.unionByName, (smallest(y.filter(F.col("y") == k), F.xxhash64("id_"), labelled) for k in (0, 1))), _class_sizes(y)
+
+
+def _labelled(docs: DataFrame, y: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(y), "id_")
 
 
 def _log_ratios(train: DataFrame, buckets: int) -> np.ndarray:
@@ -176,11 +191,16 @@ def _regress(texts: list[str], y: np.ndarray, ratio: np.ndarray, l2: float = 0.3
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, labelled: int = 100_000, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> Model:
-    """A model from the labelled rows that aren't held out. ``sample`` bounds the rows of each class that the regression sees."""
-    train = materialize(_labelled(docs, labels, id_col, text_col, label_col), "labelled")
-    n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    """A model from the labelled rows that aren't held out.
+
+    ``labelled`` bounds the labels of each class that the log-count ratios are counted over, ``sample``
+    the rows of each class that the regression sees; either may be exceeded up to twice.
+    """
+    y, all_sizes = _labels(docs, labels, labelled, id_col, label_col)
+    train = materialize(_labelled(docs, y, id_col, text_col), "labelled")
+    n = _class_sizes(train)
     if len(n) < 2:
         p = min(max(float(1 in n), 1e-9), 1 - 1e-9)
         return Model(np.zeros(buckets), 0.0, math.log(p / (1 - p)))
@@ -191,6 +211,7 @@ def fit(
     y = np.array([r["y"] for r in rows])
     weights, per_word, b = _regress([r["text"] for r in rows], y, ratio)
     discard(train)
+    n = all_sizes or n
     return Model(weights, per_word, b + math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum())))
 
 
