@@ -1,0 +1,19 @@
+"""Differencing inside the article's element."""
+
+from twinframe.llm import html_text
+
+
+def test_boilerplate_inside_the_article_goes(spark):
+    say = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    page = lambda k, extra="": f"<nav>Menu</nav><article><h1>T{k}</h1><p>{say(k, 30)}</p>{extra}<p>Read our notice on terms</p><p>{say(k, 9)} end</p></article>"
+    quoted = "<p>A passage that two articles quote</p>"
+    rows = [(k, f"http://a.example/{k:03}", page(k, quoted if k in (4, 6) else "")) for k in range(12)]
+    rows += [(20 + k, f"http://b.example/{k}", page(99)) for k in range(6)]  # copies are no witnesses
+    rows += [(40 + k, f"http://c.example/{k}", page(40 + k)) for k in range(3)]  # too few neighbours
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    for k in range(12):
+        assert "notice" not in got[k] and got[k].startswith(f"T{k} {say(k, 30)}") and got[k].endswith(f"{say(k, 9)} end")
+        assert ("two articles quote" in got[k]) == (k in (4, 6))
+    assert all("notice" in t and "w99x0" in t for k, t in got.items() if 20 <= k < 40)
+    assert all("notice" in got[k] for k in (40, 41, 42))

@@ -8,9 +8,10 @@ what the site prints around its articles, and are deleted.
 Differencing alone would also delete what two articles really share (copies of an article, a quoted
 passage) and keep what varies from page to page around them (rotating adverts, a footer with a
 date). So two rules bound it: lines in elements that are never an article's text are deleted
-whether shared or not, and a shared line stays if it is prose (a paragraph, heading, quotation or
-cell) inside the article's own element. Where a page has no such element, a neighbour that shares
-half of the page's text or more is a copy and no witness; the next one is asked.
+whether shared or not, and a line that is prose (a paragraph, heading, quotation or cell) inside
+the article's own element goes only if most of its neighbours share it, three at least. A neighbour
+that shares half of the page's text or more is a copy and no witness: it has no vote on prose, and
+for other lines, which the nearest witness decides, the next one is asked.
 
 Neighbours are found without a window over a host: light rows (line hashes only) are put in order
 by a range exchange, numbered, and cut into blocks of consecutive rows with the neighbours on
@@ -213,6 +214,20 @@ def witnessed(own: list[int], sizes: list[int], kept: list[bool], others: list[l
     return [False] * len(own)
 
 
+def frame_prose(own: list[int], sizes: list[int], kinds: list[int], others: list[list[int]], least: int = 3) -> list[bool]:
+    """Prose of the article that most neighbours share, ``least`` of them or more; copies have no vote.
+
+    As no witness shares half of the page's main text, never all of it goes.
+    """
+    all_size, votes, witnesses = sum(s for s, k in zip(sizes, kinds, strict=True) if k), [0] * len(own), 0
+    for other in others:
+        same = shared(own, other)
+        if 2 * sum(s for s, k, x in zip(sizes, kinds, same, strict=True) if k and x) < all_size:
+            witnesses += 1
+            votes = [v + x for v, x in zip(votes, same, strict=True)]
+    return [k == 1 and v >= least and 2 * v > witnesses for v, k in zip(votes, kinds, strict=True)]
+
+
 def _url_order(url) -> dict:
     """Host and path of a URL, in lower case, the path without query, fragment and ends."""
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
@@ -228,7 +243,7 @@ def _row_key(id_col: str, url_col: str, html_col: str) -> dict:
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every row's lines: their hashes, sizes, kinds (0 never main text, 1 main text, 2 main text unless shared) and, unless 0, texts."""
+    """Every row's lines: their hashes, sizes, kinds (0 never main text, 1 main text unless most neighbours share it, 2 main text unless shared) and, unless 0, texts."""
     src = pages.select(
         F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"),
         *(c.alias(k) for k, c in _row_key(id_col, url_col, html_col).items()), *(c.alias(k) for k, c in _url_order(F.col(url_col)).items()),
@@ -256,7 +271,7 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return src.mapInArrow(run, schema)
 
 
-def shared_lines(parsed: DataFrame, reach: int = 2, block: int = 512) -> DataFrame:
+def shared_lines(parsed: DataFrame, reach: int = 4, block: int = 512) -> DataFrame:
     """``(k1, k2, drop)``: for the pages that lose main-text candidates to differencing, the numbers of those lines."""
     spark = parsed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -292,12 +307,13 @@ def shared_lines(parsed: DataFrame, reach: int = 2, block: int = 512) -> DataFra
 
         def judge(i: int) -> tuple | None:
             x = near[i]
-            if x["own"] != x["part"] or 2 not in x["kinds"]:
+            if x["own"] != x["part"] or not any(x["kinds"]):
                 return None
             order = [k for d in range(1, reach + 1) for k in (i - d, i + d)]
             others = [near[k]["hashes"] for k in order if 0 <= k < len(near) and near[k]["part"] == x["part"] and near[k]["host"] == x["host"] and abs(near[k]["g"] - x["g"]) <= reach]
-            same = witnessed(x["hashes"], x["sizes"], [k == 2 for k in x["kinds"]], others)
-            drop = [i for i, (s, k) in enumerate(zip(same, x["kinds"], strict=True)) if s and k == 2]
+            same = witnessed(x["hashes"], x["sizes"], [k == 2 for k in x["kinds"]], others) if 2 in x["kinds"] else [False] * len(x["kinds"])
+            frame = frame_prose(x["hashes"], x["sizes"], x["kinds"], others)
+            drop = [i for i, (s, f, k) in enumerate(zip(same, frame, x["kinds"], strict=True)) if f or s and k == 2]
             return (x["k1"], x["k2"], drop) if drop else None
 
         def give(found):
