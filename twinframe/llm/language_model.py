@@ -1,23 +1,27 @@
 """Language-model scores from a log-bilinear model (operator 5).
 
-Tokens are ASCII-lower-cased words and an end token after each document. The model's units are the
-``frequent`` commonest words, the end token, and ``classes`` classes of all other words, by their
-first two bytes and whether they end in a letter or digit; a word of a class has its share of the
-class by its count, plus a half for each word and for one unknown word. A unit's probability after
-the two units before it comes from a log-bilinear model (Mnih and Hinton 2007): each context
-position has its own vector for each unit, their sum is the predicted vector, its inner products
-with the units' vectors plus a bias are the scores, and the softmax over all units normalises them.
+Tokens are ASCII-lower-cased words and an end token after each document. The model's units are all
+words that occur ``least`` times or more (at least the ``frequent`` commonest), the end token, and
+``classes`` classes of the rarer words, by their first two bytes and whether they end in a letter or
+digit; a word of a class has its share of the class by its count, plus a half for each word and for
+one unknown word. ``least`` is 20, and a hundredth of the square root of the training tokens where
+that is more, so the units grow with the corpus, more slowly than its words. A unit's probability
+after the two units before it comes from a log-bilinear model (Mnih and Hinton 2007): each context
+position has its own vector for each unit, their sum is the predicted vector, and its inner products
+with the units' vectors plus a bias are the scores. The softmax is factored: units in order of
+frequency make about as many groups as a group has units; groups have vectors of their own, and a
+unit's probability is its group's among the groups times its own among the group's units.
 
 Counts are made over all training documents. Training is noise-contrastive estimation in numpy
 (Mnih and Teh 2012): a short warm start on the driver on at most ``warm`` documents with the
 smallest hashes, then one pass over all training documents on the cluster, each task from the same
-start, whose parameters are averaged by their tokens, unit by unit, in one aggregation. Only the
+start, whose parameters are averaged by their uses, vector by vector, in one aggregation; a vector
+that no task used keeps its start. There is one task a core, since each returns parameters. Only the
 parameters (units x ``dim``), never data, come back to the driver.
 
-For scoring, the products of context vectors and unit vectors are two tables of units x units,
-and the softmax's normaliser of each pair of context units is computed once per task, when first
-met, by batched matrix products. Counts of the ``head`` commonest words are broadcast (a bound);
-the counts of all other words come by a join, from which each document's sums are made.
+Scores are batched matrix products, group by group. Counts of the ``head`` commonest words and of
+all units are broadcast; the counts of all other words come by a join, from which each document's
+sums are made.
 
 Edge cases. A null text is empty: it has the end token only. A null id is never held out and is
 learned from. Repeated rows count and are scored each. Extra columns are ignored. Without training
@@ -89,70 +93,92 @@ class Units(dict):
         return one, two
 
 
+def group_size(n: int) -> int:
+    """Units of a group: about the square root of their number; a few make one group."""
+    return n if n <= 64 else math.ceil(math.sqrt(n))
+
+
 class LogBilinear:
-    """Unit vectors and biases R (size x dim + 1), context vectors Q1 and Q2 (size + 1 x dim)."""
+    """Unit vectors and biases R (size x dim + 1), context vectors Q1 and Q2 (size + 1 x dim), the groups' vectors and biases."""
 
-    def __init__(self, r: np.ndarray, q1: np.ndarray, q2: np.ndarray):
-        self.r, self.q1, self.q2 = r, q1, q2
-        self.z: np.ndarray | None = None
+    def __init__(self, r: np.ndarray, q1: np.ndarray, q2: np.ndarray, groups: np.ndarray):
+        self.r, self.q1, self.q2, self.groups = (np.ascontiguousarray(x, dtype=np.float32) for x in (r, q1, q2, groups))
+        self.per = group_size(len(r))
 
     @classmethod
     def fresh(cls, counts: np.ndarray, dim: int, seed: int = 11) -> LogBilinear:
         rng, n = np.random.RandomState(seed), len(counts)
         p = (counts + 0.5) / (counts + 0.5).sum()
-        r = np.concatenate((rng.normal(0, 0.1, (n, dim)), np.log(p)[:, None]), axis=1)
-        return cls(r, rng.normal(0, 0.1, (n + 1, dim)), rng.normal(0, 0.1, (n + 1, dim)))
+        starts = np.arange(0, n, group_size(n))
+        vectors = lambda p: np.concatenate((rng.normal(0, 0.1, (len(p), dim)), np.log(p)[:, None]), axis=1)
+        return cls(vectors(p), rng.normal(0, 0.1, (n + 1, dim)), rng.normal(0, 0.1, (n + 1, dim)), vectors(np.add.reduceat(p, starts)))
 
-    def train(self, target, one, two, noise_p: np.ndarray, noise: int = 24, batch: int = 4096, rate: float = 0.05, seed: int = 5, state=None):
-        """One pass of noise-contrastive estimation with AdaGrad; a batch shares its noise. Returns the optimizer's state."""
-        self.r, self.q1, self.q2 = r, q1, q2 = [np.ascontiguousarray(x, dtype=np.float32) for x in (self.r, self.q1, self.q2)]
-        dim, n, rng = q1.shape[1], len(r), np.random.RandomState(seed)
-        state = state or [np.full(x.shape, 0.01, dtype=np.float32) for x in (r, q1, q2)]
-        cdf, log_kp = np.cumsum(noise_p), np.log(noise * noise_p).astype(np.float32)
+    def tables(self) -> list[np.ndarray]:
+        return [self.r, self.q1, self.q2, self.groups]
 
-        def scattered(index, g, rows):
-            return np.stack([np.bincount(index, weights=g[j], minlength=rows) for j in range(len(g))], axis=1).astype(np.float32)
+    def train(self, target, one, two, noise_p: np.ndarray, noise: int = 24, batch: int = 4096, rate: float = 0.05, seed: int = 5, state=None, used=None):
+        """One pass of noise-contrastive estimation with AdaGrad; a batch shares its noise. Returns the optimizer's state.
 
-        for at in range(0, len(target), batch):
-            t, a, b = target[at : at + batch], one[at : at + batch], two[at : at + batch]
+        ``used`` counts the uses of each table's rows.
+        """
+        dim, rng, tables = self.q1.shape[1], np.random.RandomState(seed), self.tables()
+        state = state or [np.full(x.shape, 0.01, dtype=np.float32) for x in tables]
+        group_p = np.add.reduceat(noise_p, np.arange(0, len(noise_p), self.per))
+        levels = [(self.r, np.cumsum(noise_p), np.log(noise * noise_p).astype(np.float32)), (self.groups, np.cumsum(group_p), np.log(noise * group_p).astype(np.float32))]
+
+        def contrast(q, t, rows, cdf, log_kp):
+            """Gradients of the predicted vectors, and of the rows of targets and noise."""
             k = np.searchsorted(cdf, rng.random_sample(noise) * cdf[-1])
-            q = q1[a] + q2[b]
-            rt, rk = r[t], r[k]
+            rt, rk = rows[t], rows[k]
             own = np.einsum("ij,ij->i", q, rt[:, :dim]) + rt[:, dim] - log_kp[t]
             false = q @ rk[:, :dim].T + (rk[:, dim] - log_kp[k])
             gt = 1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1
             gk = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            gq = (gt[:, None] * rt[:, :dim] + gk @ rk[:, :dim]).T.copy()
-            gr = scattered(t, np.concatenate((gt * q.T, gt[None])), n)
-            np.add.at(gr, k, np.concatenate((gk.T @ q, gk.sum(axis=0)[:, None]), axis=1))
-            for x, g, s in ((r, gr, state[0]), (q1, scattered(a, gq, n + 1), state[1]), (q2, scattered(b, gq, n + 1), state[2])):
-                g /= math.sqrt(len(t))
-                s += g * g
-                x -= rate * g / np.sqrt(s)
+            g = np.concatenate((np.concatenate((gt * q.T, gt[None])), np.concatenate((gk.T @ q, gk.sum(axis=0)[:, None]), axis=1).T), axis=1)
+            return gt[:, None] * rt[:, :dim] + gk @ rk[:, :dim], np.concatenate((t, k)), g
+
+        for at in range(0, len(target), batch):
+            t, a, b = target[at : at + batch], one[at : at + batch], two[at : at + batch]
+            q = self.q1[a] + self.q2[b]
+            gq, unit, gr = contrast(q, t, *levels[0])
+            changes = [(0, unit, gr)]
+            if len(self.groups) > 1:
+                gq2, group, gg = contrast(q, t // self.per, *levels[1])
+                gq += gq2
+                changes.append((3, group, gg))
+            gq = gq.T.copy()
+            for i, index, g in (*changes, (1, a, gq), (2, b, gq)):
+                rows, place, uses = np.unique(index, return_inverse=True, return_counts=True)
+                g = np.stack([np.bincount(place, weights=x, minlength=len(rows)) for x in g], axis=1).astype(np.float32) / np.float32(math.sqrt(len(t)))
+                s = state[i][rows] + g * g
+                state[i][rows] = s
+                tables[i][rows] -= np.float32(rate) * g / np.sqrt(s)
+                if used is not None:
+                    used[i][rows] += uses
         return state
 
-    def log_probability(self, target, one, two, at_once: int = 4096) -> np.ndarray:
+    def log_probability(self, target, one, two, at_once: int = 8192) -> np.ndarray:
         """Natural log of each target's normalised probability after its context."""
-        dim, n = self.q1.shape[1], len(self.r)
-        if self.z is None:
-            self.z = np.full((n + 1) * (n + 1), np.nan, dtype=np.float32)
-            self.one = (self.q1 @ self.r[:, :dim].T + self.r[:, dim]).astype(np.float32)
-            self.two = (self.q2 @ self.r[:, :dim].T).astype(np.float32)
-        pair = one * (n + 1) + two
-        z = self.z[pair]
-        new = np.unique(pair[np.isnan(z)])
-        if len(new):
-            q1, q2, r = (x.astype(np.float32) for x in (self.q1, self.q2, self.r))
-            for i in range(0, len(new), at_once):
-                p = new[i : i + at_once]
-                s = (q1[p // (n + 1)] + q2[p % (n + 1)]) @ r[:, :dim].T
-                s += r[:, dim]
-                top = s.max(axis=1)
-                s -= top[:, None]
+        dim, out = self.q1.shape[1], np.zeros(len(target))
+
+        def level(places, rows, own, first=0):
+            for i in range(0, len(places), at_once):
+                p = places[i : i + at_once]
+                s = (self.q1[one[p]] + self.q2[two[p]]) @ rows[:, :dim].T
+                s += rows[:, dim]
+                s -= s.max(axis=1)[:, None]
+                mine = s[np.arange(len(p)), own[p] - first]
                 np.exp(s, out=s)
-                self.z[p] = np.log(s.sum(axis=1, dtype=np.float64)) + top
-            z = self.z[pair]
-        return self.one[one, target].astype(np.float64) + self.two[two, target] - z
+                out[p] += mine - np.log(s.sum(axis=1, dtype=np.float32))
+
+        group = target // self.per
+        if len(self.groups) > 1:
+            level(np.arange(len(target)), self.groups, group)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            level(order[cuts[g] : cuts[g + 1]], self.r[g * self.per : (g + 1) * self.per], target, g * self.per)
+        return out
 
 
 def held_out(id_col: str, folds: int = 5) -> F.Column:
@@ -229,16 +255,21 @@ class Scorer:
         }
 
 
-def fit(train: DataFrame, frequent: int = 1000, classes: int = 256, dim: int = 24, warm: int = 800, head: int = 1 << 17) -> tuple[Scorer, DataFrame]:
+def fit(train: DataFrame, frequent: int = 1000, classes: int = 256, dim: int = 24, warm: int = 800, head: int = 1 << 17, least: int = 20) -> tuple[Scorer, DataFrame]:
     """A scorer from training texts (``key``, ``text`` as binary), and the table of all words' counts."""
     spark = train.sparkSession
     counts = materialize(word_counts(train), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(counts, "n", head).toPandas().sort_values(["n", "word"], ascending=[False, True])  # bounded by ``head``
-    common = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
+    least = max(least, math.ceil(math.sqrt(total) / 100))
+    own = counts.filter(F.col("n") >= least)  # as many as there are units
+    top = most_frequent(counts, "n", head)
+    if own.count() > top.count():
+        top = own
+    top = top.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    common = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     if END not in common and total:
         common[END] = counts.filter(F.col("word") == END).first()["n"]
-    units = Units([w for w in common if w != END][:frequent], classes)
+    units = Units([w for i, (w, n) in enumerate(common.items()) if w != END and (i < frequent or n >= least)], classes)
     send = spark.sparkContext.broadcast(units)
 
     def by_class(batches):
@@ -271,7 +302,8 @@ def fit(train: DataFrame, frequent: int = 1000, classes: int = 256, dim: int = 2
 
 def _train_on_all(train: DataFrame, units: Units, model: LogBilinear, state, noise: np.ndarray) -> LogBilinear:
     """One pass over all training texts in parallel, and the average of the tasks' parameters by their tokens."""
-    send = train.sparkSession.sparkContext.broadcast((units, model, state, noise))
+    context = train.sparkSession.sparkContext
+    send = context.broadcast((units, model, state, noise))
     dim = model.q1.shape[1]
 
     def run(batches):
@@ -279,24 +311,33 @@ def _train_on_all(train: DataFrame, units: Units, model: LogBilinear, state, noi
         from pyspark import TaskContext
 
         units, start, state, noise = send.value
-        own = LogBilinear(start.r.copy(), start.q1.copy(), start.q2.copy())
-        state, seen = [s.copy() for s in state], 0
+        own = LogBilinear(*(x.copy() for x in start.tables()))
+        state, used = [s.copy() for s in state], [np.zeros(len(x), dtype=np.int64) for x in own.tables()]
         for b in batches:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 1000):
                 target, sizes = units.sequence(texts[i : i + 1000])
-                own.train(target, *units.context(target, sizes), noise, seed=TaskContext.get().partitionId() + i, state=state)
-                seen += len(target)
-        if seen:
-            rows = np.concatenate((own.r, np.pad(own.q1, ((0, 0), (0, 1))), np.pad(own.q2, ((0, 0), (0, 1))))).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([seen] * len(rows), type=pa.int64()), *map(pa.array, rows.T)], ["row", "seen", *(f"v{j}" for j in range(dim + 1))])
-
-    schema = "row long, seen long, " + ", ".join(f"v{j} double" for j in range(dim + 1))
-    sums = train.select("text").mapInArrow(run, schema).groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(f"v{j}").alias(f"v{j}") for j in range(dim + 1)))
-    rows = sums.toPandas().sort_values("row")  # 3 x units rows
-    mean = rows[[f"v{j}" for j in range(dim + 1)]].to_numpy() / rows[["seen"]].to_numpy()
-    n = len(model.r)
-    return LogBilinear(mean[:n].copy(), mean[n : 2 * n + 1, :dim].copy(), mean[2 * n + 1 :, :dim].copy())
+                own.train(target, *units.context(target, sizes), noise, seed=TaskContext.get().partitionId() + i, state=state, used=used)
+        first = 0
+        for x, n in zip(own.tables(), used, strict=True):
+            rows = np.flatnonzero(n)
+            v = np.pad(x[rows], ((0, 0), (0, dim + 1 - x.shape[1]))) * n[rows, None].astype(np.float32)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(first + rows), pa.array(n[rows]), *map(pa.array, v.T.copy())], ["row", "uses", *(f"v{j}" for j in range(dim + 1))])
+            first += len(x)
+
+    schema = "row long, uses long, " + ", ".join(f"v{j} float" for j in range(dim + 1))
+    done = train.select("text").coalesce(max(1, context.defaultParallelism)).mapInArrow(run, schema)
+    uses = F.sum("uses")
+    means = done.groupBy("row").agg(*((F.sum(f"v{j}") / uses).cast("float").alias(f"v{j}") for j in range(dim + 1))).toArrow()  # a row for each vector
+    row, v = means.column("row").to_numpy(), np.stack([means.column(f"v{j}").to_numpy() for j in range(dim + 1)], axis=1)
+    first, out = 0, []
+    for x in model.tables():
+        x, here = x.copy(), (row >= first) & (row < first + len(x))
+        x[row[here] - first] = v[here, : x.shape[1]]
+        out.append(x)
+        first += len(x)
+    return LogBilinear(*out)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
