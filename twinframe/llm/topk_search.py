@@ -14,8 +14,9 @@ vectors. A shard gives at most k rows a query; the k best of all shards are take
 limit before the shuffle.
 
 Edge cases. Vectors that are null, empty or hold a null or non-finite component are neither queries
-nor candidates. Rows that repeat an id count once, with the smallest vector in array order. A
-shorter vector counts as padded with zeros. A null id takes no part. Equal scores go to the smaller
+nor candidates. Rows that repeat an id are all candidates, but not of a query with that id; all are
+queries if one is, and share its k places. A shorter vector counts as padded with zeros. A null id
+takes no part. Equal scores go to the smaller
 id; a query with fewer candidates than k gets all. Scores are exact while the sum of products fits
 a signed 64-bit integer. Extra columns are ignored; an empty table gives none.
 """
@@ -43,11 +44,10 @@ class ImpactIndex:
         self.begin = np.stack([np.searchsorted(level[j], np.arange(levels + 1)) for j in range(d)])
 
     def search(self, q: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, by score and then id, without the id ``skip``."""
+        """Ids and scores of the k best, by score and then id, without rows of the id ``skip``; the index's ids are in order."""
         n, d = self.x.shape
-        own = np.searchsorted(self.ids, skip) if skip is not None else n
-        own = own if own < n and self.ids[own] == skip else None
-        k = min(k, n - (own is not None))
+        own = slice(*(int(np.searchsorted(self.ids, skip, side)) for side in ("left", "right"))) if skip is not None else slice(0, 0)
+        k = min(k, n - (own.stop - own.start))
         if k <= 0:
             return self.ids[:0], self.ids[:0]
         few = max(4 * k, n // 64)
@@ -77,28 +77,26 @@ class ImpactIndex:
                     acc[self.order[j, lo:hi]] += size[j] * np.abs(self.values[j, lo:hi] - worst[j])
                 done = np.maximum(done, todo)
                 rest = int(np.where(done < self.levels, towards[np.arange(d), np.minimum(done, self.levels - 1)], 0).sum())
-                if own is not None:
-                    acc[own] = -1 - rest
+                acc[own] = -1 - rest
                 kth = np.partition(acc, n - k)[n - k]
                 able = np.flatnonzero(acc + rest >= kth)
                 if len(able) <= few or not rest:
                     maybe = able
-                elif own is not None:
+                else:
                     acc[own] = 0
-        if own is not None:
-            maybe = maybe[maybe != own]
+        maybe = maybe[(maybe < own.start) | (maybe >= own.stop)]
         score = self.x[maybe] @ q
         pick = np.lexsort((self.ids[maybe], -score))[:k]
         return self.ids[maybe][pick], score[pick]
 
 
 def integer_vectors(df: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, x)``: floor(scale * component) of every usable vector."""
+    """``(id, row, x)``: floor(scale * component) of every usable vector, under a number for its row."""
     v = F.col(vec_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     used = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite)
     ints = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    return used.select(F.col(id_col).cast("long").alias("id"), ints.alias("x")).groupBy("id").agg(F.min("x").alias("x"))
+    return used.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), ints.alias("x"))
 
 
 def top_k(
@@ -109,10 +107,10 @@ def top_k(
 
     vectors = materialize(integer_vectors(df, scale, id_col, vec_col), "vectors")
     n = vectors.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n // (every * block)))
-    h = F.xxhash64("id")
-    mine = vectors.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "x")
     asked = vectors.filter(F.col("id") % every == 0)
+    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked.count() // block))
+    h = F.xxhash64("row")
+    mine = vectors.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "x")
     theirs = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "x")
     parts = max(shards * blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = mine.unionByName(theirs).repartition(parts, "shard", "block").sortWithinPartitions("shard", "block", "kind", "id")
