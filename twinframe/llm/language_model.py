@@ -157,19 +157,22 @@ class LogBilinear:
                     used[i][rows] += uses
         return state
 
-    def log_probability(self, target, one, two, at_once: int = 8192) -> np.ndarray:
+    def log_probability(self, target, one, two, at_once: int = 1024) -> np.ndarray:
         """Natural log of each target's normalised probability after its context."""
-        dim, out = self.q1.shape[1], np.zeros(len(target))
+        out = np.zeros(len(target))
+        q1, q2 = (np.pad(x, ((0, 0), (0, 1)), constant_values=v) for x, v in ((self.q1, 1), (self.q2, 0)))  # for the bias
 
         def level(places, rows, own, first=0):
+            columns = np.ascontiguousarray(rows.T)
             for i in range(0, len(places), at_once):
                 p = places[i : i + at_once]
-                s = (self.q1[one[p]] + self.q2[two[p]]) @ rows[:, :dim].T
-                s += rows[:, dim]
-                s -= s.max(axis=1)[:, None]
-                mine = s[np.arange(len(p)), own[p] - first]
+                s = (q1[one[p]] + q2[two[p]]) @ columns
+                mine, top = s[np.arange(len(p)), own[p] - first], 0.0
+                if float(s.max()) > 60 or float(s.min()) < -60:  # beyond single precision's exponents
+                    top = s.max(axis=1)
+                    s -= top[:, None]
                 np.exp(s, out=s)
-                out[p] += mine - np.log(s.sum(axis=1, dtype=np.float32))
+                out[p] += mine - top - np.log(s.sum(axis=1, dtype=np.float32))
 
         group = target // self.per
         if len(self.groups) > 1:
