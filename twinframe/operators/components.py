@@ -27,6 +27,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node reachable.
 
+    A contraction has no more edges than the one before it, so the written tables need no more tasks
+    than the number of edges asks for.
+
     Edges are undirected; self-loops, repeated edges and edges with a null end are ignored (a node
     that has no other edge is not in the result). Node ids may be of any orderable type. An empty
     edge table gives an empty result.
@@ -48,14 +51,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        large = materialize(large, "large")
+        large = materialize(large, "large", 2 * seen[0])
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(root, "u")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        nxt = materialize(small, "small")
+        nxt = materialize(small, "small", 2 * seen[0])
         discard(large)
         discard(cur)
         cur, before, seen = nxt, seen, _state(nxt)
