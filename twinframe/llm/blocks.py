@@ -49,8 +49,8 @@ def columns(batch) -> dict[str, np.ndarray]:
     return out
 
 
-def runs(batches, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The groups of key-sorted batches; a group that crosses batches is put together."""
+def whole_groups(batches, keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Key-sorted batches, cut so that each holds whole groups, and where its groups begin and the last one ends."""
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -62,12 +62,20 @@ def runs(batches, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
         change = np.zeros(n - 1, dtype=bool)
         for k in keys:
             change |= now[k][1:] != now[k][:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield {k: v[a:b] for k, v in now.items()}
-        held = {k: v[cuts[-1] :] for k, v in now.items()}
+        cuts = np.flatnonzero(change) + 1
+        if len(cuts):
+            yield {k: v[: cuts[-1]] for k, v in now.items()}, np.concatenate(([0], cuts))
+            now = {k: v[cuts[-1] :] for k, v in now.items()}
+        held = now
     if held is not None:
-        yield held
+        yield held, np.array([0, len(held[keys[0]])])
+
+
+def runs(batches, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of key-sorted batches; a group that crosses batches is put together."""
+    for part, at in whole_groups(batches, keys):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield {k: v[a:b] for k, v in part.items()}
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
