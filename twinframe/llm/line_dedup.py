@@ -1,4 +1,4 @@
-"""Line dedup over a suffix array of line ids, in DataFrame operations only (operator 3).
+"""Line dedup by the intervals of a suffix array of line ids, in DataFrame operations only (operator 3).
 
 Texts are sequences of line ids (128-bit hashes of lines without white space around them). A line
 that occurs once can be in no repeated run, so only stretches of lines that occur twice or more go
@@ -8,20 +8,22 @@ prefix doubling: rank k orders suffixes by their first 2^k lines; rank k+1 sorts
 occur once get no rank and drop out. Doubling ends at the longest shortest run that has
 ``min_words`` words: deeper ranks decide nothing.
 
-Suffixes that agree in their first n lines are an interval of the suffix array whose common prefix
-is n lines or longer; the interval's name is n and the ranks of the two blocks of 2^floor(log2 n)
-lines that cover the run's beginning and end. For each suffix and each place where a run may end,
-the shortest run with ``min_words`` words is looked at: a longer repeated run is the union of such
-runs, so what they cover together is exactly the maximal repeated runs. Each occurrence but the
-first of its interval, in order of id and line, is deleted.
+Suffixes whose common prefix is n lines or longer are an interval of the suffix array, and its name
+is n and the ranks of the two blocks of 2^floor(log2 n) lines that cover the run's beginning and end.
+For each suffix and each place where a run may end, the shortest run with ``min_words`` words is
+looked at: a longer repeated run is the union of such runs, so what they cover together is exactly
+the maximal repeated runs. Each occurrence but the first of its interval, in order of id and line, is
+deleted. Intervals are named and not read off neighbours in a sorted array, so no table of suffixes
+is sorted as a whole and no longest common prefix is stored as a number.
 
-No window or aggregate gathers an interval: the first occurrence is a partially aggregated minimum
-that is joined back, so a line that a third of all rows share is a skewed join key, which adaptive
-execution splits. Windows run within one document.
+No window, join or aggregate gathers an interval: its first occurrence is a partially aggregated
+minimum, and what is not first is told by a join on document and line, so a line that a third of all
+rows share is no join key. Windows run within one document.
 
 Edge cases. Null texts stay null and empty ones empty. Lines of white space count as lines without
 words. Overlapping occurrences delete all but the first. Rows that repeat both id and text are one
-document, and each of them gets its result; a null id sorts first. Extra columns stay as they are.
+document, and each of them gets its result; a null id sorts first. Extra columns stay as they are,
+whatever their names: where ``removed_lines`` is one of them, the new column's name gets underscores.
 An empty table gives none.
 """
 
@@ -30,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinframe.functions.names import free_name
 from twinframe.sources.shared import discard, materialize
 
 SPACE = " \t\r\f\x0b"
@@ -46,16 +49,19 @@ def _numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.orderBy(*by).withColumn(name, F.monotonically_increasing_id())
 
 
-def _stretches(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Lines of the stretches to look at, with rank 0 and the runs that begin at or end before each."""
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line's place, hashes and number of words."""
     src = docs.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in _doc_keys(id_col, text_col).items()), F.col(text_col).alias("text_"))
     lines = src.filter(F.length("text_") > 0).select("id", *KEY, F.posexplode(F.split("text_", "\n")).alias("pos", "line"))
     bare = F.btrim(F.col("line"), F.lit(SPACE))
-    lines = lines.select(
+    return lines.select(
         "id", *KEY, "pos", F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit(5), bare).alias("h2"),
         F.when(F.length(bare) == 0, 0).otherwise(F.size(F.split(bare, "\\s+"))).cast("long").alias("words"),
     )
-    lines = materialize(lines, "lines")
+
+
+def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """Lines of the stretches to look at, with rank 0 and the runs that begin at or end before each."""
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     seq = lines.join(_numbered(often, ["h1", "h2"], "r0"), ["h1", "h2"]).select("id", *KEY, "pos", "words", "r0")
     in_doc = Window.partitionBy(*KEY).orderBy("pos")
@@ -78,8 +84,11 @@ def _stretches(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> D
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, d1, d2, start, size)``: every later occurrence of a shortest repeated run."""
-    seq = materialize(_stretches(docs, min_words, id_col, text_col), "stretches")
+    """``(id, d1, d2, start, size)``, a written table: every later occurrence of a shortest repeated run."""
+    lines = materialize(_lines(docs, id_col, text_col), "lines")
+    seq = materialize(_stretches(lines, min_words), "stretches")
+    discard(lines)
+    rows = seq.count()
     pos = F.col("pos")
     run = lambda a, b: F.struct(a.cast("int").alias("start"), (b - a + 1).cast("int").alias("size"))
 
@@ -100,7 +109,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         ranks = known.groupBy(here, "on").agg(F.count("*").alias("n")).filter("n > 1").select(F.col(here).alias("a"), F.col("on").alias("b"))
         ranks = _numbered(ranks, ["a", "b"], f"r{k + 1}")
         pairs = pairs.withColumn("a", F.coalesce(here, alone)).withColumn("b", F.coalesce("on", alone)).drop("on")
-        deeper = materialize(pairs.join(ranks, ["a", "b"], "left").drop("a", "b"), "ranks")
+        deeper = materialize(pairs.join(ranks, ["a", "b"], "left").drop("a", "b"), "ranks", rows)
         discard(seq)
         seq = deeper
 
@@ -113,21 +122,23 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         .select("run.id", *(f"run.{c}" for c in KEY), "run.start", "run.size", at_level("s").alias("a"), at_level("e").alias("b"))
         .filter("a is not null and b is not null")
     )
-    named = materialize(named, "runs")
-    place = F.struct("id", "start", *KEY)
-    first = named.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return named.join(first, ["size", "a", "b"]).filter(place > F.col("first")).select("id", *KEY, "start", "size")
+    named = materialize(named, "runs", 3 * rows)
+    first = named.groupBy("size", "a", "b").agg(F.min(F.struct("id", "start", *KEY)).alias("first")).select(*(f"first.{c}" for c in KEY), "first.start", "size")
+    later = materialize(named.join(first, [*KEY, "start", "size"], "left_anti").select("id", *KEY, "start", "size"), "later-runs", 3 * rows)
+    discard(seq, named)
+    return later
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the later copies of repeated runs taken out of the text, and the line numbers taken out as ``removed_lines``."""
     later = repeated_runs(docs, min_words, id_col, text_col)
-    gone = later.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
-    gone = gone.groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("gone_"))
-    gone = gone.select(F.col("d1").alias("g1_"), F.col("d2").alias("g2_"), "gone_")
+    gone, k1, k2 = (free_name(docs, x) for x in ("gone_lines", "gone_key1", "gone_key2"))
+    found = later.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos"))
+    found = found.groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias(gone)).withColumnsRenamed({"d1": k1, "d2": k2})  # a document's lines
     key = _doc_keys(id_col, text_col)
-    joined = docs.join(gone, (key["d1"] == F.col("g1_")) & (key["d2"] == F.col("g2_")), "left")
+    joined = docs.join(found, (key["d1"] == F.col(k1)) & (key["d2"] == F.col(k2)), "left")
     lines = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_"))
-    text = F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn(text_col, text).withColumn("removed_lines", F.coalesce("gone_", F.array().cast("array<int>"))).drop("g1_", "g2_", "gone_")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    removed = F.coalesce(gone, F.array().cast("array<int>")).alias(free_name(docs, "removed_lines"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), removed)
