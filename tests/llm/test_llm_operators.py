@@ -1,5 +1,6 @@
 """The operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -82,8 +83,6 @@ def test_simhash(docs, rows, empty):
     for bucket in (64, 1):  # with and without the path of large buckets
         assert Counter(map(tuple, simhash.simhash_near_dedup(docs, bucket=bucket).collect())) == want
     assert simhash.simhash_near_dedup(empty).count() == 0
-    kept = [r.doc_id for r in simhash.keep_one_of_each(docs).collect()]
-    assert kept.count(None) == 2 and 50 not in kept and 51 not in kept
 
 
 def test_hamming_links_lose_none(spark):
@@ -281,22 +280,63 @@ def test_toxicity(spark, docs, rows, empty):
     assert all(r.score < 1e-6 for r in toxicity.toxicity_scores(df, labels.limit(0)).collect())
 
 
-def test_pipeline(spark):
+def toxic_by_definition(model, text):
+    """The probability from the model's weights, gram by gram."""
+    ws = {w.strip(toxicity.PUNCTUATION) for w in (text or "").lower().split()} - {""}
+    z = 0.0
+    for w in ws:
+        marked = f" {w} "
+        z += model.per_word + sum(float(model.weights[zlib.crc32(marked[i : i + n].encode()) % len(model.weights)]) for n in toxicity.ORDERS for i in range(len(marked) - n + 1))
+    return 1 / (1 + math.exp(-(model.intercept + z / math.sqrt(max(1, len(ws))))))
+
+
+def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as cp
+    from test_near_copies import kept_by_brute_force
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    cols, seen = docs.columns, {r.doc_id: r.text for r in docs.collect()}
-    for _, stage in cp.STAGES[:-1]:
-        out = stage(spark, docs, sf)
+    cols, schema, rows = docs.columns, docs.schema, docs.collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+
+    def step(k, rows):
+        out = cp.STAGES[k][1](spark, spark.createDataFrame(rows, schema), sf)
         assert out.columns == cols
-        out = spark.createDataFrame(out.collect(), docs.schema)
-        assert 0 < out.count() <= docs.count()
-        docs = out
-    packed = cp.STAGES[-1][1](spark, docs, sf).collect()
-    check_packing(packed, [(r.doc_id, r.text) for r in docs.collect()], 1024)
-    assert {r.doc_id for r in packed} <= set(seen)
-    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
-    kept = {r.doc_id for r in cp.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
-    clean = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 0").collect()}
-    assert len(kept & clean) >= 0.9 * len(clean & set(seen)) and len(toxic & kept) <= len(toxic)
+        return out.collect()
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    clean = step(0, rows)
+    assert sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in rows if toxic_by_definition(model, r.text) < 0.5)
+    left = {r.doc_id for r in clean}
+    known = [i for i in labels if i in {r.doc_id for r in rows}]
+    assert sum((i in left) == (labels[i] == 0) for i in known) >= 0.95 * len(known)
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, r.text) for r in clean])
+    want = {r[0]: r[4] for r in con.sql(queries.LINE_DEDUP_SQL).fetchall()}
+    deduped = step(1, clean)
+    assert {r.doc_id: hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else None for r in deduped} == want
+    assert all(r.n_chars == len(r.text) for r in deduped if r.text is not None)
+
+    deduped.sort(key=lambda r: r.doc_id)
+    want = kept_by_brute_force([r.text for r in deduped])
+    kept = step(2, deduped)
+    assert {r.doc_id for r in kept} == {deduped[k].doc_id for k in want}
+    check_packing(cp.STAGES[3][1](spark, spark.createDataFrame(kept, schema), sf).collect(), [(r.doc_id, r.text) for r in kept], 1024)
+
+
+def test_columns_of_any_name_stay(spark):
+    import corpus_pipeline as cp
+    from twinframe.llm import near_copies
+
+    names = ["removed_lines", "gone_lines", "gone_key1", "gone_key2", "d1", "d2", "g1_", "gone_", "toxicity", "row_", "id_", "node", "grp", "n_"]
+    text = "\n".join(passage(random.Random(k), 30) for k in range(3))
+    data = [(i, text if i < 3 else passage(random.Random(90 + i), 9), *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"{x} int" for x in names))
+    for stage in (cp.drop_repeated_lines, cp.drop_near_copies, cp.drop_toxic):
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        assert out.columns == df.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "removed_lines_"] and sorted(len(r.removed_lines_) for r in out.collect()) == [0, 0, 0, 0, 3, 3]
+    assert {r.doc_id for r in near_copies.keep_one_of_each(df).collect()} == {0, 3, 4, 5}

@@ -162,10 +162,3 @@ def simhash_near_dedup(
     return fps.join(roots, "fp", "left").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows with a null id stay."""
-    groups = simhash_near_dedup(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone_"), "left_anti")

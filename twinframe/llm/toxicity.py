@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinframe.functions.names import free_name
 from twinframe.llm.sampling import smallest
 from twinframe.sources.shared import discard, materialize
 
@@ -215,8 +216,10 @@ def fit(
     return Model(weights, per_word, b + math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum())))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (double, 0 to 1). A column of that name is replaced."""
+def score(docs: DataFrame, model: Model, score_col: str = "toxicity", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``score_col`` (double, 0 to 1), which must be a new name (see ``free_name``)."""
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{score_col} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches):
@@ -231,12 +234,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     import pandas as pd
 
     rate.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("toxicity", F.pandas_udf(rate, T.DoubleType())(F.col(text_col)))
+    return docs.withColumn(score_col, F.pandas_udf(rate, T.DoubleType())(F.col(text_col)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, score, predicted)`` of every row."""
-    out = score(docs.select(id_col, text_col), fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
-    return out.select(
-        id_col, held_out(id_col).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
-    )
+    src = docs.select(id_col, text_col)
+    at = free_name(src, "toxicity")
+    out = score(src, fit(docs, labels, id_col=id_col, text_col=text_col), at, text_col)
+    return out.select(id_col, held_out(id_col).alias("held_out"), F.col(at).alias("score"), (F.col(at) >= 0.5).cast("int").alias("predicted"))
