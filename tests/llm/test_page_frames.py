@@ -1,4 +1,8 @@
-"""Differencing inside the article's element."""
+"""Differencing, alone and inside the article's element, and what structure may not do."""
+
+import random
+
+import pytest
 
 from twinframe.llm import html_text
 
@@ -17,3 +21,92 @@ def test_boilerplate_inside_the_article_goes(spark):
         assert ("two articles quote" in got[k]) == (k in (4, 6))
     assert all("notice" in t and "w99x0" in t for k, t in got.items() if 20 <= k < 40)
     assert all("notice" in got[k] for k in (40, 41, 42))
+
+
+def main_lines(page):
+    return " ".join(x.text for x in html_text.candidates(html_text.lines(page)))
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<body class="has-sidebar"><div><p>Main text here.</p></div>', "Main text here."),
+    ('<article class="post ad-free"><p>Body</p></article>', "Body"),
+    ('<article><p class="notice-period">One month</p><section class="social-history"><p>Of work</p></section></article>', "One month Of work"),
+    ('<article><p>Text</p></article><aside class="related"><article>Related card</article></aside>', "Text"),
+    ('<aside class="related"><article>Related card</article></aside><article><p>Text</p></article>', "Text"),
+    ('<div class="ad">Buy<article><p>Text</p></article>', "Text"),
+    ("<article><p>Let <math><mi>x</mi></math> be <object data='f'>a figure</object> here</p></article>", "Let x be a figure here"),
+    ("<article><p>A <svg><svg><text>b</text></svg></svg> c</p></article>", "A b c"),
+    ("<article><template><template>no</template>no</template><p>yes</p><script>if (a</b) x</script></article>", "yes"),
+    ('<article><p>T</p><div class="cookie-banner-wrapper">We use cookies</div><ul id="comment-list"><li>First!</li></ul></article>', "T"),
+])
+def test_structure(page, want):
+    assert main_lines(page) == want
+
+
+def lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_alignment_of_repeated_lines():
+    rng = random.Random(1)
+    for _ in range(150):
+        a, b = ([rng.randrange(rng.choice((1, 2, 3, 9))) for _ in range(rng.randint(0, 60))] for _ in range(2))
+        kept = [x for x, k in zip(a, html_text.shared(a, b), strict=True) if k]
+        assert len(kept) == lcs_length(a, b)
+        it = iter(b)
+        assert all(x in it for x in kept)  # a subsequence of b too
+    assert all(html_text.shared([7] * 100_000, [7] * 100_001))
+    a, b = [k % 2 for k in range(6000)], [k % 3 for k in range(6000)]
+    assert sum(html_text.shared(a, b)) == 4000
+
+
+def texts_by_definition(rows):
+    """The whole operator, page by page: neighbours by host and path, alignment, votes."""
+    import re
+
+    out, hosts = {}, {}
+    for i, url, page in rows:
+        m = re.match("(?:[a-z]+:)?//([^/?#]*)([^?#]*)", url)
+        hosts.setdefault(m[1].lower(), []).append((re.sub(r"(\.html?)?/*$", "", m[2]), i, html_text.lines(page)))
+    for pages in hosts.values():
+        pages.sort(key=lambda p: p[0])
+        for at, (_, i, own) in enumerate(pages):
+            main = {id(x) for x in html_text.candidates(own)}
+            is_prose = [id(x) in main and x.article and x.prose for x in own]
+            size = sum(len(x.text) for x in own if id(x) in main)
+            order = [k for d in range(1, 5) for k in (at - d, at + d) if 0 <= k < len(pages)]
+            same = [html_text.shared([x.text for x in own], [x.text for x in pages[k][2]]) for k in order]
+            same = [s for s in same if 2 * sum(len(x.text) for x, y in zip(own, s, strict=True) if y and id(x) in main) < max(1, size)]
+            nearest = same[0] if same else [False] * len(own)
+            gone = [len(same) >= 4 and all(s[j] for s in same) if is_prose[j] else nearest[j] for j in range(len(own))]
+            out[i] = " ".join(x.text for x, g in zip(own, gone, strict=True) if id(x) in main and not g)
+    return out
+
+
+def test_whole_operator_against_brute_force(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(("ka", "lo", "mi", "tu")) + str(rng.randrange(50)) for _ in range(n))
+    quote, rows = say(12), []
+    for k in range(120):
+        site = k % 3
+        frame = [f"Site {site} of the year", f"Terms of {site}", *([say(3)] if k % 4 == 0 else [])]
+        body = [say(rng.randint(12, 25)) for _ in range(rng.randint(3, 6))] + ([quote] if k % 5 == 0 else []) + [f"Sent by {site}"]
+        if k % 7 == 0 and rows:
+            body = [f"copy of {rows[-1][0]}", *body[:2]]
+        if site == 0:
+            page = "".join(f"<div>{x}</div>" for x in frame) + "<article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>"
+        else:
+            page = "".join(f"<div>{x}</div>" for x in frame + body) + "<footer>Copyright</footer>"
+        rows.append((k, f"http://h{site}.example/a/{k:04}.html", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = texts_by_definition(rows)
+    assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == want
+    assert not any("of the year" in t or "Terms of" in t for t in want.values())
+    assert sum("Sent by" in t for t in want.values()) < 60
+    found = html_text.shared_lines(html_text.parse_pages(df)).selectExpr("sum(n_shared)", "sum(n_lines)").first()
+    assert found[0] > 0.4 * found[1]

@@ -6,21 +6,27 @@ that order, whose lines are aligned with its own by longest common subsequence.
 what the site prints around its articles, and are deleted.
 
 Differencing alone would also delete what two articles really share (copies of an article, a quoted
-passage) and keep what varies from page to page around them (rotating adverts, a footer with a
-date). So two rules bound it: lines in elements that are never an article's text are deleted
-whether shared or not, and a line that is prose (a paragraph, heading, quotation or cell) inside
-the article's own element goes only if most of its neighbours share it, three at least. A neighbour
-that shares half of the page's text or more is a copy and no witness: it has no vote on prose, and
-for other lines, which the nearest witness decides, the next one is asked.
+passage) and keep what varies from page to page around them (menus and adverts of each page). So two
+rules bound it: lines in elements that are never an article's text go as well where no neighbour
+shares them, and a line that is prose (a paragraph, heading, quotation or cell) inside the article's
+own element goes only if every neighbour that may vote shares it, four at least. A neighbour that
+shares half of the page's text or more is a copy and no witness: it has no vote on prose, and for
+other lines, which the nearest witness decides, the next one is asked.
+
+What a class, id or role says about an element counts if the whole word is known for page frames, or
+all parts between hyphens are known or say nothing (``cookie-banner-wrapper``, but not ``ad-free``).
+It counts for nothing on body and article elements.
 
 Neighbours are found without a window over a host: light rows (line hashes only) are put in order
 by a range exchange, numbered, and cut into blocks of consecutive rows with the neighbours on
-either side, so a host of any size is many tasks. Only pages that lose lines to differencing are
-joined back.
+either side, so a host of any size is many tasks. Only pages that lose lines to differencing that
+structure had left are joined back.
 
 Edge cases. A null html is empty; an empty text results. A null URL is a host of its own, whose
 pages are ordered like others. Unclosed, crossing and cut-off tags are accepted. Rows that repeat
-id, URL and html get the same result. Extra columns are ignored; an empty table gives none.
+id, URL and html get the same result. Extra columns are ignored; an empty table gives none. Aligning
+takes time in proportion to the equal pairs of lines where they are few, else to the product of the
+numbers of lines over the bits of a machine word, whatever lines repeat.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ import html as entities
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,15 +48,18 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
 
 # Element names and words in class, id and role attributes.
-RAW = frozenset("script style noscript template iframe svg object canvas audio video math noembed noframes textarea title".split())
+RAW = frozenset("script style noscript template iframe canvas audio video noembed noframes textarea title".split())
+NESTED = frozenset("template noscript canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math object q rp rt ruby s samp small span strike strong sub sup svg time tt u var".split())
+WHOLE = frozenset("html body article main".split())
 NEVER = frozenset("nav aside footer head form button select option label fieldset menu dialog datalist input map".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption caption address".split())
 ARTICLE_WORDS = frozenset("article-body articlebody post-content entry-content post-body story-body main-content article-content story article post entry content".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+NEUTRAL_WORDS = frozenset("area article articles author bar block body bottom box button buttons center column container content expanded form global group header icons inner item items label left link links list main media meta mobile outer page panel post posts primary right row secondary section site slot small text thread title top unit wide widget wrap wrapper".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 CLOSED_BY = {"li": {"li"}, "p": set(), "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -63,17 +74,48 @@ class Line:
         self.text, self.outside, self.article, self.prose = text, outside, article, prose
 
 
-def _named(attrs: str) -> tuple[set[str], set[str], str]:
-    """Words of class and id; those joined by hyphens whole; the role."""
-    parts, whole, role = set(), set(), ""
+def _named(attrs: str) -> tuple[bool, bool, bool, str]:
+    """What class and id say: the page's frame, comments, the article; and the role."""
+    frame = comments = article = False
+    role = ""
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            whole.update(value.split())
-            parts.update(re.split(r"[\s_-]+", value))
-        elif name == "role":
+        if name == "role":
             role = value.strip()
-    return parts, whole, role
+        elif name in ("class", "id"):
+            for word in value.split():
+                parts = [x for x in re.split(r"[_-]+|\d+", word) if x]
+                plain = all(x in OUTSIDE_WORDS or x in NEUTRAL_WORDS for x in parts)
+                frame |= plain and (not OUTSIDE_WORDS.isdisjoint(parts) or "header" in parts)
+                comments |= plain and not COMMENT_WORDS.isdisjoint(parts)
+                article |= word in ARTICLE_WORDS
+    return frame, comments, article, role
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the text after an element of raw text begins; some of them nest."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).finditer(page, at):
+        if not m[1]:
+            depth += name in NESTED and not m[0].rstrip(">").endswith("/")
+        else:
+            depth -= 1
+            if not depth:
+                return m.end()
+    return len(page)
+
+
+def _closed_later(page: str, at: int, names: list[str]) -> bool:
+    """Whether all these open elements are closed in the rest of a page, so that what begins now is inside them."""
+    for name in set(names):
+        left = names.count(name)
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(page, at):
+            left += -1 if m[1] else 1
+            if not left:
+                break
+        if left:
+            return False
+    return True
 
 
 def lines(page: str) -> list[Line]:
@@ -132,22 +174,20 @@ def lines(page: str) -> list[Line]:
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _raw_end(page, name, at)
             continue
         if name in VOID:
             if name == "hr":
                 flush()
             continue
-        parts, whole, role = _named(attrs) if attrs else (set(), set(), "")
-        comments = bool(parts & COMMENT_WORDS)
+        frame, comments, body, role = _named(attrs) if attrs and name not in WHOLE else (False, False, False, "")
         inside = any(e[2] for e in stack)
         outside = 0
         if comments:
             outside = 2
-        elif name in NEVER or parts & OUTSIDE_WORDS or role in OUTSIDE_ROLES or name == "header" and not inside or "header" in parts and not inside and name not in PROSE:
+        elif name in NEVER or role in OUTSIDE_ROLES or frame or name == "header" and not inside:
             outside = 1
-        article = not outside and (name in ("article", "main") or role in ("article", "main") or name in ("div", "section") and bool(whole & ARTICLE_WORDS))
+        article = not outside and (name in ("article", "main") or role in ("article", "main") or name in ("div", "section") and body)
         if name in INLINE:
             if outside:
                 flush()
@@ -157,9 +197,9 @@ def lines(page: str) -> list[Line]:
             continue
         flush()
         if name in ("article", "main") and not outside and not any(e[1] == 2 for e in stack):
-            # An article begins: what of the page's frame was left open ends here.
+            # An article begins: what of the page's frame was left open ends here, unless it is closed later on.
             first = next((k for k, e in enumerate(stack) if e[1]), None)
-            if first is not None:
+            if first is not None and not _closed_later(page, at, [e[0] for e in stack[first:] if e[1]]):
                 del stack[first:]
         if name != "p" and name in CLOSED_BY:
             close(CLOSED_BY[name], frozenset(("ul", "ol", "dl", "table", "menu", "select", "article", "div", "section", "nav")))
@@ -171,7 +211,59 @@ def lines(page: str) -> list[Line]:
 
 
 def shared(own: list[int], other: list[int]) -> list[bool]:
-    """Which of ``own`` are in its longest common subsequence with ``other`` (Hunt and Szymanski's)."""
+    """Which of ``own`` are in a longest common subsequence with ``other``."""
+    n, m, first, last = len(own), len(other), 0, 0
+    while first < min(n, m) and own[first] == other[first]:
+        first += 1
+    while last < min(n, m) - first and own[n - 1 - last] == other[m - 1 - last]:
+        last += 1
+    out = [True] * first + [False] * (n - first - last) + [True] * last
+    known = set(own[first : n - last])
+    ys = [y for y in other[first : m - last] if y in known]
+    known.intersection_update(ys)
+    xs = [i for i in range(first, n - last) if own[i] in known]
+    if xs:
+        for k in _common([own[i] for i in xs], ys):
+            out[xs[k]] = True
+    return out
+
+
+def _common(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence: Hunt and Szymanski's where few pairs are equal, else Hirschberg's halves."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if i == j or k == m:
+            continue
+        times = Counter(b[k:m])
+        if j - i == 1:
+            out += [i] if times[a[i]] else []
+        elif sum(times[x] for x in a[i:j]) <= 16 * (j - i + m - k):
+            out += [i + x for x in _few_pairs(a[i:j], b[k:m])]
+        else:
+            mid = (i + j) // 2
+            ahead, back = _lengths(a[i:mid], b[k:m]), _lengths(a[mid:j][::-1], b[k:m][::-1])[::-1]
+            cut = k + int(np.argmax(ahead + back))
+            todo += [(i, mid, k, cut), (mid, j, cut, m)]
+    return out
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each beginning of ``b``, by bits (Hyyro's)."""
+    where: dict[int, int] = {}
+    for x in set(a):
+        bits = np.packbits(np.fromiter((y == x for y in b), dtype=bool, count=len(b)), bitorder="little")
+        where[x] = int.from_bytes(bits.tobytes(), "little")
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where[x]
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), dtype=np.uint8), count=len(b), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _few_pairs(own: list[int], other: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j, x in enumerate(other):
         where.setdefault(x, []).append(j)
@@ -185,10 +277,9 @@ def shared(own: list[int], other: list[int]) -> list[bool]:
                 tails.append(j), nodes.append(node)
             else:
                 tails[k], nodes[k] = j, node
-    out = [False] * len(own)
-    node = nodes[-1] if nodes else None
+    out, node = [], nodes[-1] if nodes else None
     while node:
-        out[node[0]] = True
+        out.append(node[0])
         node = node[1]
     return out
 
@@ -214,8 +305,8 @@ def witnessed(own: list[int], sizes: list[int], kept: list[bool], others: list[l
     return [False] * len(own)
 
 
-def frame_prose(own: list[int], sizes: list[int], kinds: list[int], others: list[list[int]], least: int = 3) -> list[bool]:
-    """Prose of the article that most neighbours share, ``least`` of them or more; copies have no vote.
+def frame_prose(own: list[int], sizes: list[int], kinds: list[int], others: list[list[int]], least: int = 4) -> list[bool]:
+    """Prose of the article that all neighbours share, ``least`` of them or more; copies have no vote.
 
     As no witness shares half of the page's main text, never all of it goes.
     """
@@ -225,7 +316,7 @@ def frame_prose(own: list[int], sizes: list[int], kinds: list[int], others: list
         if 2 * sum(s for s, k, x in zip(sizes, kinds, same, strict=True) if k and x) < all_size:
             witnesses += 1
             votes = [v + x for v, x in zip(votes, same, strict=True)]
-    return [k == 1 and v >= least and 2 * v > witnesses for v, k in zip(votes, kinds, strict=True)]
+    return [k == 1 and v >= least and v == witnesses for v, k in zip(votes, kinds, strict=True)]
 
 
 def _url_order(url) -> dict:
@@ -243,7 +334,7 @@ def _row_key(id_col: str, url_col: str, html_col: str) -> dict:
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every row's lines: their hashes, sizes, kinds (0 never main text, 1 main text unless most neighbours share it, 2 main text unless shared) and, unless 0, texts."""
+    """Every row's lines: their hashes, sizes, kinds (0 never main text, 1 main text unless all neighbours share it, 2 main text unless shared) and, unless 0, texts."""
     src = pages.select(
         F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"),
         *(c.alias(k) for k, c in _row_key(id_col, url_col, html_col).items()), *(c.alias(k) for k, c in _url_order(F.col(url_col)).items()),
@@ -272,7 +363,7 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def shared_lines(parsed: DataFrame, reach: int = 4, block: int = 512) -> DataFrame:
-    """``(k1, k2, drop)``: for the pages that lose main-text candidates to differencing, the numbers of those lines."""
+    """``(k1, k2, n_lines, n_shared, drop)`` of every page with lines: how many there are, how many of them differencing deletes, and the numbers of those that are main text by structure."""
     spark = parsed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     light = parsed.select(*KEY, "host", "path", "hashes", "sizes", "kinds")
@@ -303,21 +394,21 @@ def shared_lines(parsed: DataFrame, reach: int = 4, block: int = 512) -> DataFra
         import pyarrow as pa
 
         near: list[dict] = []
-        out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("drop", pa.list_(pa.int32()))])
+        out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_lines", pa.int32()), ("n_shared", pa.int32()), ("drop", pa.list_(pa.int32()))])
 
         def judge(i: int) -> tuple | None:
             x = near[i]
-            if x["own"] != x["part"] or not any(x["kinds"]):
+            if x["own"] != x["part"] or not x["kinds"]:
                 return None
             order = [k for d in range(1, reach + 1) for k in (i - d, i + d)]
             others = [near[k]["hashes"] for k in order if 0 <= k < len(near) and near[k]["part"] == x["part"] and near[k]["host"] == x["host"] and abs(near[k]["g"] - x["g"]) <= reach]
-            same = witnessed(x["hashes"], x["sizes"], [k == 2 for k in x["kinds"]], others) if 2 in x["kinds"] else [False] * len(x["kinds"])
-            frame = frame_prose(x["hashes"], x["sizes"], x["kinds"], others)
-            drop = [i for i, (s, f, k) in enumerate(zip(same, frame, x["kinds"], strict=True)) if f or s and k == 2]
-            return (x["k1"], x["k2"], drop) if drop else None
+            same = witnessed(x["hashes"], x["sizes"], [k > 0 for k in x["kinds"]], others)
+            frame = frame_prose(x["hashes"], x["sizes"], x["kinds"], others) if 1 in x["kinds"] else same
+            gone = [f if k == 1 else s for s, f, k in zip(same, frame, x["kinds"], strict=True)]
+            return x["k1"], x["k2"], len(gone), sum(gone), [i for i, (g, k) in enumerate(zip(gone, x["kinds"], strict=True)) if g and k]
 
         def give(found):
-            return pa.RecordBatch.from_pylist([dict(zip(("k1", "k2", "drop"), r, strict=True)) for r in found], schema=out)
+            return pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in found], schema=out)
 
         begin = 0  # rows before it are judged already
         for b in batches:
@@ -332,13 +423,13 @@ def shared_lines(parsed: DataFrame, reach: int = 4, block: int = 512) -> DataFra
         if found:
             yield give(found)
 
-    return dealt.mapInArrow(compare, "k1 long, k2 long, drop array<int>")
+    return dealt.mapInArrow(compare, "k1 long, k2 long, n_lines int, n_shared int, drop array<int>")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id_col, url_col, text, n_chars)`` of every row; see the module's text for edge cases."""
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col), "page-lines")
-    drop = materialize(shared_lines(parsed).dropDuplicates(KEY), "shared-lines")
+    drop = materialize(shared_lines(parsed).filter(F.size("drop") > 0).dropDuplicates(KEY).select(*KEY, "drop"), "shared-lines")
     found = parsed.select("id_", "url_", *KEY, "kinds", "texts")
     gone = F.lit(None).cast("array<int>")
     if not drop.isEmpty():
