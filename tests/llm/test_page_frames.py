@@ -66,10 +66,10 @@ def test_alignment_of_repeated_lines():
 
 
 def texts_by_definition(rows):
-    """The whole operator, page by page: neighbours by host and path, alignment, votes."""
+    """The whole operator, page by page: neighbours by host and path, alignment, votes; and the number of lines that differencing deletes."""
     import re
 
-    out, hosts = {}, {}
+    out, hosts, n = {}, {}, 0
     for i, url, page in rows:
         m = re.match("(?:[a-z]+:)?//([^/?#]*)([^?#]*)", url)
         hosts.setdefault(m[1].lower(), []).append((re.sub(r"(\.html?)?/*$", "", m[2]), i, html_text.lines(page)))
@@ -85,7 +85,8 @@ def texts_by_definition(rows):
             nearest = same[0] if same else [False] * len(own)
             gone = [len(same) >= 4 and all(s[j] for s in same) if is_prose[j] else nearest[j] for j in range(len(own))]
             out[i] = " ".join(x.text for x, g in zip(own, gone, strict=True) if id(x) in main and not g)
-    return out
+            n += sum(gone)
+    return out, n
 
 
 def test_whole_operator_against_brute_force(spark):
@@ -104,9 +105,9 @@ def test_whole_operator_against_brute_force(spark):
             page = "".join(f"<div>{x}</div>" for x in frame + body) + "<footer>Copyright</footer>"
         rows.append((k, f"http://h{site}.example/a/{k:04}.html", page))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = texts_by_definition(rows)
+    want, n = texts_by_definition(rows)
     assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == want
     assert not any("of the year" in t or "Terms of" in t for t in want.values())
     assert sum("Sent by" in t for t in want.values()) < 60
-    found = html_text.shared_lines(html_text.parse_pages(df)).selectExpr("sum(n_shared)", "sum(n_lines)").first()
-    assert found[0] > 0.4 * found[1]
+    assert n > 300
+    assert html_text.shared_lines(html_text.parse_pages(df)).selectExpr("sum(n_shared)").first()[0] == n
