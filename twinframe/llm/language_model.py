@@ -130,29 +130,43 @@ class LogBilinear:
             """Gradients of the predicted vectors, and of the rows of targets and noise."""
             k = np.searchsorted(cdf, rng.random_sample(noise) * cdf[-1])
             rt, rk = rows[t], rows[k]
-            own = np.einsum("ij,ij->i", q, rt[:, :dim]) + rt[:, dim] - log_kp[t]
-            false = q @ rk[:, :dim].T + (rk[:, dim] - log_kp[k])
-            gt = 1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1
-            gk = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            g = np.concatenate((np.concatenate((gt * q.T, gt[None])), np.concatenate((gk.T @ q, gk.sum(axis=0)[:, None]), axis=1).T), axis=1)
-            return gt[:, None] * rt[:, :dim] + gk @ rk[:, :dim], np.concatenate((t, k)), g
+            own = np.einsum("ij,ij->i", q, rt[:, :dim])
+            own += rt[:, dim]
+            own -= log_kp[t]
+            false = q @ rk[:, :dim].T
+            false += rk[:, dim] - log_kp[k]
+            gt, gk = _sigmoid(own), _sigmoid(false)
+            gt -= 1
+            g = np.empty((len(t) + noise, dim + 1), dtype=np.float32)
+            np.multiply(q, gt[:, None], out=g[: len(t), :dim])
+            g[: len(t), dim] = gt
+            g[len(t) :, :dim] = gk.T @ q
+            g[len(t) :, dim] = gk.sum(axis=0)
+            gq = gk @ rk[:, :dim]
+            gq += rt[:, :dim] * gt[:, None]
+            return gq, np.concatenate((t, k)), g
 
         for at in range(0, len(target), batch):
             t, a, b = target[at : at + batch], one[at : at + batch], two[at : at + batch]
-            q = self.q1[a] + self.q2[b]
+            q = self.q1[a]
+            q += self.q2[b]
             gq, unit, gr = contrast(q, t, *levels[0])
             changes = [(0, unit, gr)]
             if len(self.groups) > 1:
                 gq2, group, gg = contrast(q, t // self.per, *levels[1])
                 gq += gq2
                 changes.append((3, group, gg))
-            gq = gq.T.copy()
+            scale = np.float32(1 / math.sqrt(len(t)))
             for i, index, g in (*changes, (1, a, gq), (2, b, gq)):
-                rows, place, uses = np.unique(index, return_inverse=True, return_counts=True)
-                g = np.stack([np.bincount(place, weights=x, minlength=len(rows)) for x in g], axis=1).astype(np.float32) / np.float32(math.sqrt(len(t)))
-                s = state[i][rows] + g * g
+                rows, uses, g = _by_row(index, g)
+                g *= scale
+                s = state[i][rows]
+                s += g * g
                 state[i][rows] = s
-                tables[i][rows] -= np.float32(rate) * g / np.sqrt(s)
+                np.sqrt(s, out=s)
+                g /= s
+                g *= np.float32(rate)
+                tables[i][rows] -= g
                 if used is not None:
                     used[i][rows] += uses
         return state
@@ -160,30 +174,53 @@ class LogBilinear:
     def log_probability(self, target, one, two, at_once: int = 1024) -> np.ndarray:
         """Natural log of each target's normalised probability after its context."""
         out = np.zeros(len(target))
-        q1, q2 = (np.pad(x, ((0, 0), (0, 1)), constant_values=v) for x, v in ((self.q1, 1), (self.q2, 0)))  # for the bias
-
-        def level(places, rows, own, first=0):
-            columns = np.ascontiguousarray(rows.T)
-            for i in range(0, len(places), at_once):
-                p = places[i : i + at_once]
-                s = (q1[one[p]] + q2[two[p]]) @ columns
-                mine, top = s[np.arange(len(p)), own[p] - first], 0.0
+        q = np.ones((len(target), self.q1.shape[1] + 1), dtype=np.float32)  # the last column is for the bias
+        np.add(self.q1[one], self.q2[two], out=q[:, :-1])
+
+        def level(q, rows, own):
+            found, columns = np.empty(len(q)), np.ascontiguousarray(rows.T)
+            for i in range(0, len(q), at_once):
+                s = q[i : i + at_once] @ columns
+                mine, top = s[np.arange(len(s)), own[i : i + at_once]], 0.0
                 if float(s.max()) > 60 or float(s.min()) < -60:  # beyond single precision's exponents
                     top = s.max(axis=1)
                     s -= top[:, None]
                 np.exp(s, out=s)
-                out[p] += mine - top - np.log(s.sum(axis=1, dtype=np.float32))
+                found[i : i + at_once] = mine - top - np.log(s.sum(axis=1, dtype=np.float32))
+            return found
 
         group = target // self.per
         if len(self.groups) > 1:
-            level(np.arange(len(target)), self.groups, group)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+            out += level(q, self.groups, group)
+        order = np.argsort(group.astype(np.uint16) if len(self.groups) < 1 << 16 else group, kind="stable")
+        q, cuts = q[order], np.searchsorted(group[order], np.arange(len(self.groups) + 1))
         for g in np.flatnonzero(np.diff(cuts)):
-            level(order[cuts[g] : cuts[g + 1]], self.r[g * self.per : (g + 1) * self.per], target, g * self.per)
+            here = order[cuts[g] : cuts[g + 1]]
+            out[here] += level(q[cuts[g] : cuts[g + 1]], self.r[g * self.per : (g + 1) * self.per], target[here] - g * self.per)
         return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _by_row(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs, and the sums of their gradients."""
+    order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
+    index, n = index[order], g.shape[1]
+    new = np.concatenate(([True], index[1:] != index[:-1]))
+    begins, place = np.flatnonzero(new), np.empty(len(index), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    cells = place[:, None] * n + np.arange(n)
+    sums = np.bincount(cells.ravel(), weights=g.ravel(), minlength=len(begins) * n)
+    return index[begins], np.diff(np.append(begins, len(index))), sums.astype(np.float32).reshape(-1, n)
+
+
 def held_out(id_col: str, folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 1, F.lit(False))
 
