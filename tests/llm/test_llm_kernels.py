@@ -248,3 +248,21 @@ def test_toxicity_learns_marks_of_words():
     assert sum((s >= 0.5) == bool(k) for s, k in zip(got, y[160:], strict=False)) >= 76
     assert got[-1] == got[-2] and 0 <= got[-1] <= 1
 
+
+
+def test_long_runs_of_white_space_are_encoded():
+    """Like the library, and in time that grows about as their length does."""
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    from twinframe.llm.sentencepiece_codec import Codec
+
+    path = tokenizer("piece_bpe_32k.model")
+    codec, sp = Codec(path), SentencePieceProcessor(model_file=path)
+    texts = [f"a{' ' * n}b" for n in (2, 3, 5, 17, 64, 1000, 3001)] + [" " * 100_000, f"x \n{' ' * 777}\n y  z{' ' * 40}"]
+    began = time.process_time()
+    got = codec.encode(texts)
+    assert time.process_time() - began < 30
+    for t, g in zip(texts, got, strict=True):
+        assert np.frombuffer(g, dtype="<i4").tolist() == sp.encode(t) and codec.decode(g) == t

@@ -22,6 +22,7 @@ whose characters the model's normalizer keeps.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -82,20 +83,32 @@ class Codec:
     # BPE
 
     def _merge(self, word: str) -> tuple[list[int], tuple[int, int] | None]:
-        """The segmentation by definition (best-ranked pair first, leftmost among equals; -1 - c for an unknown character c), and the last merge."""
-        parts, last = list(word), None
-        ids, score = self.ids, self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if at < 0:
-                break
-            last = (ids.get(parts[at], -1), ids.get(parts[at + 1], -1))
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ids[p] if p in ids else -1 - ord(p) for p in parts], last
+        """The segmentation by definition (best-ranked pair first, leftmost among equals; -1 - c for an unknown character c), and the last merge.
+
+        Pairs wait in a heap, so a word of any length takes about as long as sorting its characters.
+        """
+        ids, score, n = self.ids, self.score, len(word)
+        parts, after, before, last = list(word), list(range(1, n + 1)), list(range(-1, n - 1)), None
+        heap: list[tuple] = []
+
+        def meet(k: int) -> None:
+            if 0 <= k and after[k] < n and (i := ids.get(parts[k] + parts[after[k]])) is not None:
+                heapq.heappush(heap, (-score[i], k, parts[k], parts[after[k]]))
+
+        for k in range(n - 1):
+            meet(k)
+        while heap:
+            _, k, x, y = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] != x or j >= n or parts[j] != y:  # one of the two is part of another by now
+                continue
+            last = (ids.get(x, -1), ids.get(y, -1))
+            parts[k], parts[j], after[k] = x + y, "", after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            meet(before[k])
+            meet(k)
+        return [ids[p] if p in ids else -1 - ord(p) for p in parts if p], last
 
     def _neighbours(self, a: int, b: int) -> bool:
         """Whether BPE leaves pieces a and b as they are when they stand side by side.
