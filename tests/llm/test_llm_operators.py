@@ -186,6 +186,12 @@ def test_licenses(spark, docs, rows, empty):
     assert {i: by[100 + k] for k, i in enumerate(licenses.TEMPLATES)} == {i: [i] for i in licenses.TEMPLATES}
     assert {i for i in by if by[i] and i < 100} == {i for i, t in rows if i is not None and "MIT License" in (t or "")}
     assert licenses.license_scan(empty).count() == 0
+    # What is found does not hang on how common licences are in the corpus.
+    exact = licenses.TEMPLATES["mit"][2]
+    prose = [(k, passage(random.Random(900 + k), 25)) for k in range(50)]
+    for copies in (1, 40):
+        df = spark.createDataFrame([*prose, *((100 + k, exact) for k in range(copies)), (300, exact.replace("free", "free of all"))], "doc_id long, text string")
+        assert {r.doc_id for r in licenses.license_scan(df).collect() if r.licenses == ["mit"]} == {300, *range(100, 100 + copies)}
 
 
 def brute_links(vecs):
@@ -262,6 +268,42 @@ def test_language_model(docs, rows, empty):
     assert language_model.lm_scores(empty).count() == 0
 
 
+def test_language_model_scores_by_definition(docs, rows):
+    """Each token's probability as the product of two softmaxes and, in a class, the word's share."""
+    options = dict(frequent=10, classes=8, head=15, dim=4, warm=10, least=3)
+    src = docs.select(language_model.held_out("doc_id").alias("h"), F.col("text").cast("binary").alias("text"))
+    scorer, counts = language_model.fit(src.filter("not h").select("text"), **options)
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    u, m = scorer.units, scorer.model
+    shares = [Counter() for _ in range(8)]
+    for w, c in n.items():
+        if u[w] > u.end:
+            shares[u[w] - u.end - 1][w] = c
+
+    def soft(table, q, k):
+        s = table[:, :-1].astype(float) @ q + table[:, -1]
+        return s[k] - math.log(sum(math.exp(x) for x in s))
+
+    def score(text):
+        ws, before, total = [*language_model.words((text or "").encode()), language_model.END], [u.start, u.start], 0.0
+        for w in ws:
+            k = u[w]
+            q = m.q1[before[-1]].astype(float) + m.q2[before[-2]]
+            g = k // m.per
+            p = soft(m.r[g * m.per : (g + 1) * m.per], q, k - g * m.per) + (soft(m.groups, q, g) if len(m.groups) > 1 else 0.0)
+            if k > u.end:
+                c = shares[k - u.end - 1]
+                p += math.log((c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1)))
+            total += p / math.log(10)
+            before.append(k)
+        return total
+
+    some = [(i, t) for i, t in rows if i is not None and i < 30]
+    got = {r.doc_id: r.score for r in language_model.lm_scores(docs, **options).collect()}
+    for i, t in some:
+        assert abs(got[i] - score(t)) < 1e-3 + 1e-4 * abs(got[i]), i
+
+
 def test_toxicity(spark, docs, rows, empty):
     rng = random.Random(9)
     data = [(200 + i, " ".join([passage(rng, 30), *(["zuxa zuxo zuxlo"] if i % 3 == 0 else [])])) for i in range(150)]

@@ -9,10 +9,11 @@ sum over features is divided by the root of the number of distinct words, and ev
 more feature of its own, so that neither long clean texts nor short toxic ones drift.
 
 The log-count ratios are counted on the cluster, over the labelled training rows: all of them up to
-``labelled`` of each class, beyond that those with the smallest hash of their id. So the labels that
+``labelled`` of both classes together, beyond that about so many of each class, those with the smallest hash of their id. So the labels that
 meet the documents have a bound and are broadcast, and no text is shuffled. The regression is fitted
 on the driver on about ``sample`` rows of each class (never over twice as many), chosen likewise; its
-intercept is then moved to the classes' true proportions. Since the score is a sum over
+intercept is then moved to the classes' true proportions. Features whose ratio is small say little; how
+small, of the values LEAST, is chosen by the log-loss of two folds of these rows, never by held-out ones. Since the score is a sum over
 words, a word's share is computed once per task and remembered in a table of bounded size.
 
 Edge cases. A null or empty text, or one of punctuation alone, has no features, and the score of the intercept alone. A label
@@ -40,6 +41,8 @@ from twinframe.llm.sampling import smallest
 from twinframe.sources.shared import discard, materialize
 
 ORDERS = (3, 4, 5)
+#: Smallest sizes of a feature's log-count ratio to choose among.
+LEAST = (0.5, 1.0, 1.5, 2.0)
 PUNCTUATION = string.punctuation
 
 
@@ -151,43 +154,69 @@ def _log_ratios(train: DataFrame, buckets: int) -> np.ndarray:
     return np.log(share[1]) - np.log(share[0])
 
 
-def _regress(texts: list[str], y: np.ndarray, ratio: np.ndarray, l2: float = 0.3, steps: int = 100, rate: float = 0.05, least: float = 1.5) -> tuple[np.ndarray, float, float]:
-    """Weights (ratios included), a word's own weight and the intercept of a logistic regression, by full-batch Adam.
+class _Rows:
+    """The features of some documents, one value for each feature and document."""
 
-    Features whose ratio is below ``least`` in size say little and are left out.
-    """
-    ratio = np.where(np.abs(ratio) >= least, ratio, 0.0)
-    mask, own = len(ratio) - 1, len(ratio)
-    idx, val, ends, known = [], [], [0], {}
-    for t in texts:
-        found = words(t)
-        for x in found:
-            if x not in known:
-                g = np.array(grams(x, mask), dtype=np.int32)
-                known[x] = g[ratio[g] != 0]
-        got = np.concatenate([known[x] for x in found]) if found else np.empty(0, dtype=np.int32)
-        u, c = np.unique(got, return_counts=True)
-        size = math.sqrt(max(1, len(found)))
-        idx.append(np.append(u, own))
-        val.append(np.append(c * ratio[u] / size, 0.1 * len(found) / size))
-        ends.append(ends[-1] + len(u) + 1)
-    del known
-    idx, val = np.concatenate(idx), np.concatenate(val)
-    used, idx = np.unique(idx, return_inverse=True)
-    row = np.repeat(np.arange(len(texts)), np.diff(ends))
-    w, b = np.full(len(used), 0.05), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for k in range(1, steps + 1):
-        z = np.bincount(row, weights=val * w[idx], minlength=len(texts)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
-        g, gb = np.bincount(idx, weights=val * err[row], minlength=len(used)) + l2 * w / len(y), err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        fix = math.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-        w -= rate * fix * m / (np.sqrt(v) + 1e-10)
-        b -= rate * fix * mb / (math.sqrt(vb) + 1e-10)
+    def __init__(self, texts: list[str], ratio: np.ndarray):
+        ratio = np.where(np.abs(ratio) >= min(LEAST), ratio, 0.0)
+        mask, own = len(ratio) - 1, len(ratio)
+        idx, val, ends, known = [], [], [0], {}
+        for t in texts:
+            found = words(t)
+            for x in found:
+                if x not in known:
+                    g = np.array(grams(x, mask), dtype=np.int32)
+                    known[x] = g[ratio[g] != 0]
+            got = np.concatenate([known[x] for x in found]) if found else np.empty(0, dtype=np.int32)
+            u, c = np.unique(got, return_counts=True)
+            size = math.sqrt(max(1, len(found)))
+            idx.append(np.append(u, own))
+            val.append(np.append(c * ratio[u] / size, 0.1 * len(found) / size))
+            ends.append(ends[-1] + len(u) + 1)
+        del known
+        self.val, self.n = np.concatenate(val), len(texts)
+        self.used, self.idx = np.unique(np.concatenate(idx), return_inverse=True)
+        self.row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        self.size = np.abs(np.append(ratio, np.inf))[self.used]  # a document's number of words always counts
+
+    def fit(self, y: np.ndarray, least: float, rows: np.ndarray | None = None, l2: float = 0.3, steps: int = 100, rate: float = 0.05) -> tuple[np.ndarray, float]:
+        """Weights and intercept of a logistic regression on ``rows``, by full-batch Adam; features below ``least`` have none."""
+        here = self.size[self.idx] >= least
+        if rows is not None:
+            here &= rows[self.row]
+        idx, val, row, count = self.idx[here], self.val[here], self.row[here], self.n if rows is None else int(rows.sum())
+        on = np.ones(self.n) if rows is None else rows.astype(float)
+        w, b = np.where(self.size >= least, 0.05, 0.0), 0.0
+        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+        for k in range(1, steps + 1):
+            z = np.bincount(row, weights=val * w[idx], minlength=self.n) + b
+            err = on * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / count
+            g, gb = np.bincount(idx, weights=val * err[row], minlength=len(w)) + l2 * w / count, err.sum()
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            fix = math.sqrt(1 - 0.999**k) / (1 - 0.9**k)
+            w -= rate * fix * m / (np.sqrt(v) + 1e-10)
+            b -= rate * fix * mb / (math.sqrt(vb) + 1e-10)
+        return w, b
+
+    def loss(self, y: np.ndarray, rows: np.ndarray, w: np.ndarray, b: float) -> float:
+        z = (np.bincount(self.row, weights=self.val * w[self.idx], minlength=self.n) + b)[rows]
+        return float(np.logaddexp(0, np.where(y[rows] == 1, -z, z)).mean())
+
+
+def _regress(texts: list[str], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights (ratios included), a word's own weight and the intercept; the smallest ratio is chosen by two folds."""
+    data = _Rows(texts, ratio)
+    fold = np.zeros(len(y), dtype=bool)
+    for k in (0, 1):  # halves of each class
+        fold[np.flatnonzero(y == k)[::2]] = True
+    losses = {}
+    for least in LEAST:
+        parts = [(fold, ~fold), (~fold, fold)] if min((y == 0).sum(), (y == 1).sum()) > 1 else []
+        losses[least] = sum(data.loss(y, other, *data.fit(y, least, rows, steps=50)) for rows, other in parts)
+    w, b = data.fit(y, min(LEAST, key=lambda x: (round(losses[x], 6), -x)))
     out = np.zeros(len(ratio))
-    out[used[:-1]] = w[:-1] * ratio[used[:-1]]
+    out[data.used[:-1]] = w[:-1] * ratio[data.used[:-1]]
     return out, 0.1 * float(w[-1]), b
 
 
