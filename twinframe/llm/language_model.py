@@ -263,35 +263,32 @@ class Scorer:
         self.within = np.log10(class_n + 0.5 * (class_v + 1))
 
     def score(self, texts: list[bytes | None]) -> dict:
-        """Sums of each text without the counts of words outside the head, and those words with their numbers."""
-        u, place, end = self.units, self.place.__getitem__, self.place[END]
-        at, sizes, split = [], [], []
+        """Sums of each text without the counts of words outside the head; those words and their numbers, and where each text's begin."""
+        u, flat, sizes = self.units, [], []
         for t in texts:
-            ws, n = words(t), len(at)
-            at += map(place, ws)
-            at.append(end)
-            sizes.append(len(at) - n)
-            split.append(ws)
-        at, sizes = np.array(at, dtype=np.int64), np.array(sizes, dtype=np.int64)
-        begins = np.cumsum(sizes) - sizes
-        target, log = self.unit[at], np.where(at >= 0, self.log[at], 0.0)
-        tails: list[dict] = [{} for _ in texts]
-        lost = np.flatnonzero(at < 0)
-        rows = np.searchsorted(begins, lost, side="right") - 1
-        for p, row, q in zip(lost.tolist(), rows.tolist(), (lost - begins[rows]).tolist(), strict=True):
-            if q == len(split[row]):  # the end token, unknown
-                target[p], log[p] = u.end, math.log10(0.5)
-                continue
-            w = split[row][q]
-            target[p] = u[w]
-            tails[row][w] = tails[row].get(w, 0) + 1
+            n = len(flat)
+            flat += words(t)
+            flat.append(END)
+            sizes.append(len(flat) - n)
+        at, sizes = np.array(list(map(self.place.__getitem__, flat)), dtype=np.int64), np.array(sizes, dtype=np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        target, log, lost = self.unit[at], np.where(at >= 0, self.log[at], 0.0), np.flatnonzero(at < 0)
+        if not self.known_end:  # no training document at all
+            target[ends - 1], log[ends - 1] = u.end, math.log10(0.5)
+            lost = np.setdiff1d(lost, ends - 1)
+        others = [flat[p] for p in lost.tolist()]
+        target[lost] = list(map(u.__getitem__, others))
+        cuts = np.searchsorted(lost, np.concatenate((begins, ends[-1:])))
+        tails = [Counter(others[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         one, two = u.context(target, sizes)
         kind = target - u.end - 1
         each = self.model.log_probability(target, one, two) / LOG10
         each += np.where(kind >= 0, log - self.within[np.maximum(kind, 0)], 0.0)
         return {
             "n_tokens": sizes, "n_known": np.add.reduceat((at >= 0).astype(np.int64), begins),
-            "base": np.add.reduceat(log, begins) - self.all * sizes, "model": np.add.reduceat(each, begins), "tail": [list(t.items()) for t in tails],
+            "base": np.add.reduceat(log, begins) - self.all * sizes, "model": np.add.reduceat(each, begins),
+            "tail": ([w for t in tails for w in t], [f for t in tails for f in t.values()], np.cumsum([0, *map(len, tails)])),
         }
 
 
@@ -392,7 +389,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 40
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("f", pa.int64())]))
         for b in batches:
             texts, of = b.column("text").to_pylist(), send.value
             for i in range(0, len(texts), 500):
@@ -400,9 +396,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 got, n = of.score(part), len(part)
                 cols = [pa.array(range(key, key + n), type=pa.int64()), b.column("id_").slice(i, n), b.column("held_out").slice(i, n)]
                 cols += [pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(got["base"]), pa.array(got["model"])]
-                tails = [[{"word": w, "f": f} for w, f in t] for t in got["tail"]]
+                word, f, cuts = got["tail"]
+                pairs = pa.StructArray.from_arrays([pa.array(word, type=pa.binary()), pa.array(f, type=pa.int64())], ["word", "f"])
                 key += n
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(tails, type=tail_type)], ["key", "id_", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pairs)], ["key", "id_", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
 
     from pyspark.sql import types as T
 
