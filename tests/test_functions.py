@@ -79,7 +79,7 @@ def test_size_texts(spark):
     sizes = {0: "0 B", 512: "512.00 B", 1023: "1023.00 B", 1024: "1.00 KB", 1536: "1.50 KB", 1024**5: "1024.00 TB"}
     got = {r[0]: r[1] for r in spark.createDataFrame([(s,) for s in sizes], "s bigint").select("s", paths.human_size(F.col("s"))).collect()}
     assert got == sizes == {s: paths.human_size_text(s) for s in sizes}
-    assert paths.human_size_text("x") == "Invalid size"
+    assert paths.human_size_text("x") == paths.human_size_text(None) == "Invalid size" and paths.human_size_text("1536") == "1.50 KB"
 
 
 def test_free_names():

@@ -96,6 +96,54 @@ def test_watched_set_upsert(spark, tmp_path):
         watched.write_watched(spark, at, watched.entries(signatures(spark, {"x": [1]})), Params(3, 2))
 
 
+def test_wide_hashes_against_the_watched_set(spark):
+    """A frame of 256 bits is one hash of four words: other frames' words are no match."""
+    p = Params(2, 16, 90)
+    frame = lambda k: [k, k + 1, k + 2, k + 3]
+    seen = watched.entries(signatures(spark, {"old": frame(1) + frame(50)}), p.words)
+    assert [sorted(map(len, r.hashes)) for r in seen.collect()] == [[64, 64]]
+    sig = {"same": frame(50) + frame(1), "mixed": [2, 1, 4, 3] + [53, 1, 50, 4], "far": [-1] * 8}
+    got = {r.path: r.similarity for r in split_watched(signatures(spark, sig), watched.pool(seen, p.words), p).collect()}
+    pool = [frame(1), frame(50)]
+    bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b, strict=True))
+    for path, h in sig.items():
+        near = [min(bits(h[i : i + 4], w) for w in pool) for i in (0, 4)]
+        assert got[path] == similarity_of(sum(near), 2, 256), path
+    assert got["same"] == 100.0 and got["mixed"] < 100.0
+
+
+def test_a_damaged_watched_set_is_empty(spark, tmp_path):
+    at, p = f"{tmp_path}/seen", Params(2, 2)
+    watched.write_watched(spark, at, watched.entries(signatures(spark, {"x": [1, 1]})), p)
+    for f in (tmp_path / "seen" / "items").rglob("*.parquet"):
+        f.write_bytes(b"PAR1 damaged")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    seen, meta = watched.read_watched(spark, at)
+    assert seen.count() == 0 and meta is None
+
+
+def test_numbering(spark):
+    from twinframe.operators.numbering import numbered
+
+    df = spark.range(500).selectExpr("id", "id * 7919 % 503 AS x").repartition(7)
+    got = {r.x: r.n for r in numbered(df, "n", "x").collect()}
+    assert got == {x: k + 1 for k, x in enumerate(sorted(got))} and len(got) == 500
+    assert numbered(df.limit(0), "n", "x").count() == 0
+
+
+def test_copies_are_counted_not_paired(spark):
+    from twinframe.operators.groups import group_members, group_scores
+    from twinframe.operators.similarity import similar_classes
+
+    sig = {f"c{i:02}": [15, 0] for i in range(30)} | {"d0": [15, 1], "d1": [15, 1], "z": [0, 15]}
+    p = Params(2, 2, 80)
+    classes, pairs = similar_classes(signatures(spark, sig), p)
+    members = group_members(classes, pairs)
+    want = brute(sig, p)
+    assert [(r.group_id, r.n_members, r.n_edges, r.avg_similarity) for r in group_scores(classes, pairs, members).collect()] == [("c00", 32, len(want), sum(want.values()) / len(want))]
+    assert {(r.a, r.b): r.similarity for r in similar_pairs(signatures(spark, sig), p).collect()} == want and pairs.count() == 1
+
+
 def test_report_and_moves(spark):
     groups = similar_groups(similar_pairs(signatures(spark, SIG), Params(2, 2, 80)))
     sizes = spark.createDataFrame([("v1", 0), ("v2", 2048)], "path string, size_bytes bigint")

@@ -23,21 +23,29 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--skip-duration", type=int, default=20)
     p.add_argument("--watched-db")
     p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--log-file")
     for name in ("adopt-params", "move-watched", "move-duplicates", "move-skipped"):
         p.add_argument(f"--{name}", action="store_true", help="in place of a question")
     return p
 
 
 def banner(args, mode: str) -> str:
-    """The settings of a run as text."""
-    rows = {"mode": mode, "threshold": args.threshold, "frames": args.frames, "hash size": args.hash_size, "skip duration": args.skip_duration, "recursive": args.recursive, "watched set": args.watched_db}
+    """The settings that count for a kind of run, as text."""
+    rows = {"mode": mode}
+    if mode == "inspect":
+        rows["watched set"] = args.inspect_db
+    else:
+        rows |= {"folder": args.directory or args.create_watched_db_from, "frames": args.frames, "hash size": args.hash_size, "skip duration": args.skip_duration, "recursive": args.recursive, "cache": args.cache_file, "watched set": args.watched_db}
+    if mode == "find":
+        rows["threshold"] = args.threshold
     return "\n".join(f"{k}: {v}" for k, v in rows.items() if v is not None)
 
 
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     args = p.parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO)
+    handlers = [logging.StreamHandler(), *([logging.FileHandler(args.log_file, encoding="utf-8")] if args.log_file else [])]
+    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, handlers=handlers, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     if args.workers is not None and args.workers <= 0:
         p.error("workers must be positive")
     try:
@@ -51,13 +59,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.master(f"local[{args.workers or '*'}]").getOrCreate()
     try:
         if args.inspect_db:
+            print(banner(args, "inspect"))
             runs.inspect(spark, args.inspect_db).show()
         elif args.create_watched_db_from:
-            print(banner(args, "create"), runs.create_watched(spark, args.create_watched_db_from, params, args.watched_db, args.recursive), sep="\n")
+            print(banner(args, "create"), runs.create_watched(spark, args.create_watched_db_from, params, args.watched_db, args.recursive, cache_name=args.cache_file), sep="\n")
         else:
             print(banner(args, "find"))
-            found = runs.find_similar(spark, args.directory, params, args.recursive, args.watched_db, args.adopt_params, args.move_watched, args.move_duplicates, args.move_skipped)
-            found.report.orderBy("group_no", "path").show(1000, truncate=False)
+            found = runs.find_similar(spark, args.directory, params, args.recursive, args.watched_db, args.adopt_params, args.move_watched, args.move_duplicates, args.move_skipped, cache_name=args.cache_file)
+            for r in found.report.orderBy("group_no", "path").toLocalIterator():
+                print(r["group_no"], r["path"], f"{r['avg_similarity']:.2f}", r["size_text"], sep="\t")
     except Exception:
         logging.exception("the run failed")
         return 1

@@ -31,24 +31,26 @@ def in_reserved_folder(relative) -> Column:
     return relative.rlike(f"(?:^|/)(?:{'|'.join(RESERVED_FOLDERS)})/")
 
 
+#: Units and the number of bytes from which each is used, largest first.
+SIZES = (("TB", 1024.0**4), ("GB", 1024.0**3), ("MB", 1024.0**2), ("KB", 1024.0))
+
+
 def human_size(size) -> Column:
     """Bytes as text: 0 B, else two decimals in the largest of B to TB that leaves 1 or more."""
-    value, out = size.cast("double"), None
-    units = ["B", "KB", "MB", "GB", "TB"]
-    for i in range(len(units) - 1, -1, -1):
-        text = F.concat(F.format_string("%.2f", value / float(1024**i)), F.lit(f" {units[i]}"))
-        out = text if i == 0 and out is None else out.when(value >= float(1024**i), text) if out is not None else F.when(value >= float(1024**i), text)
-    out = out.otherwise(F.concat(F.format_string("%.2f", value), F.lit(" B")))
-    return F.when(size.isNull(), "File not found").when(size == 0, "0 B").otherwise(out)
+    value = size.cast("double")
+    out = F.when(size.isNull(), "File not found").when(size == 0, "0 B")
+    for unit, least in SIZES:
+        out = out.when(value >= least, F.concat(F.format_string("%.2f", value / least), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.format_string("%.2f", value), F.lit(" B")))
 
 
 def human_size_text(size) -> str:
-    """The same of one Python value; what is no number is an invalid size."""
-    if isinstance(size, bool) or not isinstance(size, int | float):
+    """The same of one Python value; numbers may be given as text, and what is no number is an invalid size."""
+    try:
+        value = float(size)
+    except (TypeError, ValueError):
         return "Invalid size"
-    if size == 0:
+    if value == 0:
         return "0 B"
-    unit = 0
-    while size >= 1024 and unit < 4:
-        size, unit = size / 1024, unit + 1
-    return f"{size:.2f} {['B', 'KB', 'MB', 'GB', 'TB'][unit]}"
+    unit, least = next((x for x in SIZES if value >= x[1]), ("B", 1.0))
+    return f"{value / least:.2f} {unit}"

@@ -9,9 +9,17 @@ from twinframe.functions.signatures import hamming, similarity
 from twinframe.params import Params
 
 
+def _apart(a, b, words: int):
+    if words == 1:
+        return hamming(a, b)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: hamming(x, y)), F.lit(0), lambda s, d: s + d)
+
+
 def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int = 4096) -> DataFrame:
     """``(hash, distance)``: each distinct hash's smallest distance to the pool, ``bits`` if the pool is empty.
 
+    A hash is a long, or an array of longs where it has more than 64 bits.
+
     Both sides are made distinct first. A hash that is in the pool is done by an equi-join; the others
     meet the pool in blocks (an equi-join on the block), whose minima are merged before the shuffle.
     """
@@ -21,7 +29,7 @@ def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int =
     blocks = max(1, -(-p.count() // block))
     dealt = p.withColumn("block", F.pmod(F.xxhash64("seen"), F.lit(blocks)).cast("int"))
     asked = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = asked.join(dealt, "block").groupBy("hash").agg(F.min(hamming(F.col("hash"), F.col("seen"))).alias("distance"))
+    met = asked.join(dealt, "block").groupBy("hash").agg(F.min(_apart(F.col("hash"), F.col("seen"), -(-bits // 64))).alias("distance"))
     same = h.join(p, F.col("hash") == F.col("seen"), "left_semi").withColumn("distance", F.lit(0))
     found = same.unionByName(met)
     return h.join(found, "hash", "left").select("hash", F.least(F.coalesce("distance", F.lit(bits)), F.lit(bits)).alias("distance"))
@@ -30,9 +38,12 @@ def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int =
 def split_watched(signatures: DataFrame, pool: DataFrame, params: Params) -> DataFrame:
     """``(path, similarity, is_watched)`` of every item with hashes; those without are in neither part.
 
-    ``pool`` has a column ``hash``. Hashes have 64 bits or fewer here.
+    ``pool`` has a column ``hash``: a frame's hash, all of its words together (see ``sources.watched.pool``).
     """
-    frames = signatures.filter(F.size("hashes") > 0).select("path", F.explode("hashes").alias("hash"))
+    words = params.words
+    begins = F.sequence(F.lit(1), F.size("hashes"), F.lit(words))
+    whole = F.col("hashes") if words == 1 else F.transform(begins, lambda i: F.slice("hashes", i, words))
+    frames = signatures.filter(F.size("hashes") > 0).select("path", F.explode(whole).alias("hash"))
     near = nearest_distance(frames, pool, params.bits)
     per = frames.join(near, "hash").groupBy("path").agg(F.sum("distance").alias("total"), F.count("*").alias("n"))
     score = similarity(F.col("total"), F.col("n"), params.bits)

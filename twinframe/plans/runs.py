@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.operators.groups import group_report, similar_groups
+from twinframe.operators.groups import group_members, group_report, group_scores
 from twinframe.operators.moves import apply_moves, move_plan
-from twinframe.operators.similarity import similar_pairs
+from twinframe.operators.similarity import similar_classes
 from twinframe.operators.watched import split_watched
-from twinframe.params import RESERVED_FOLDERS, Params
+from twinframe.params import CACHE_NAME, RESERVED_FOLDERS, Params
 from twinframe.sources import cache, decode, watched
 from twinframe.sources.listing import cache_path, list_media
 from twinframe.sources.shared import materialize
 
+log = logging.getLogger(__name__)
+
 
 def hash_folder(spark: SparkSession, folder: str, params: Params, recursive: bool = False, cache_name: str | None = None, open_media=decode.VideoMedia) -> tuple[DataFrame, DataFrame]:
     """``signatures(path, hashes)`` and ``skipped(path, reason)``; what is cached is not hashed again."""
     files = materialize(list_media(spark, folder, recursive), "files")
-    at = cache_path(folder, cache_name) if cache_name else cache_path(folder)
+    at = cache_path(folder, cache_name or CACHE_NAME)
     try:
         known = cache.prune(cache.read_cache(spark, at), files)
         classified = materialize(cache.classify(files, known, params), "classified")
@@ -29,7 +32,10 @@ def hash_folder(spark: SparkSession, folder: str, params: Params, recursive: boo
         known, classified = spark.createDataFrame([], cache.SCHEMA), files.withColumns({"class": F.lit("miss"), "hashes": F.lit(None).cast("array<bigint>")})
     todo = classified.filter(F.col("class").isin("miss", "stale"))
     done = materialize(decode.hash_files(todo, params, open_media), "hashed")
-    cache.write_cache(cache.upsert(known, cache.rows_of(done, params)), at)
+    try:
+        cache.write_cache(cache.upsert(known, cache.rows_of(done, params)), at)
+    except Exception:  # the next run hashes again
+        log.exception("the cache %s was not written", at)
     hits = classified.filter("class = 'hit'").select("path", "hashes")
     skips = classified.filter("class = 'skipped'").select("path", F.lit("cached").alias("reason"))
     return hits.unionByName(done.filter("status = 'ok'").select("path", "hashes")), skips.unionByName(done.filter("status in ('skipped', 'failed')").select("path", "reason"))
@@ -37,7 +43,10 @@ def hash_folder(spark: SparkSession, folder: str, params: Params, recursive: boo
 
 @dataclass
 class Found:
+    """Groups ``(group_id, n_members, n_edges, avg_similarity)`` and their members ``(group_id, path)``, and what else a run gives."""
+
     groups: DataFrame
+    members: DataFrame
     report: DataFrame
     watched: DataFrame | None
     unwatched: DataFrame
@@ -54,7 +63,7 @@ def _move(files: DataFrame, folder: str, name: str, rename: bool) -> tuple[int,
 
 def find_similar(
     spark: SparkSession, folder: str, params: Params, recursive: bool = False, watched_db: str | None = None, adopt_params: bool = False,
-    move_watched: bool = False, move_duplicates: bool = False, move_skipped: bool = False, open_media=decode.VideoMedia, strategy: str = "blocks",
+    move_watched: bool = False, move_duplicates: bool = False, move_skipped: bool = False, open_media=decode.VideoMedia, strategy: str = "blocks", cache_name: str | None = None,
 ) -> Found:
     """Watched files are set apart (moved or not), the rest is grouped, and what stays unique joins the watched set."""
     if not os.path.isdir(folder):
@@ -68,17 +77,20 @@ def find_similar(
             if not adopt_params:
                 raise ValueError("the watched set was made with other parameters")
             params = Params(meta["num_frames"], meta["hash_size"], params.threshold, params.skip_duration)
-    signatures, skipped = hash_folder(spark, folder, params, recursive, open_media=open_media)
+    signatures, skipped = hash_folder(spark, folder, params, recursive, cache_name, open_media)
     signatures, skipped = materialize(signatures, "signatures"), materialize(skipped, "skipped")
     moved: dict[str, tuple[int, int]] = {}
     split, rest = None, signatures
     if seen is not None:
-        split = materialize(split_watched(signatures, watched.pool(seen), params), "split")
+        split = materialize(split_watched(signatures, watched.pool(seen, params.words), params), "split")
         rest = signatures.join(split.filter("not is_watched"), "path", "left_semi")
         if move_watched:
             moved["watched"] = _move(split.filter("is_watched").select("path", F.lit(0).alias("seq")), folder, RESERVED_FOLDERS[1], True)[:2]
-    groups = materialize(similar_groups(similar_pairs(rest, params, strategy)), "groups")
-    report = materialize(group_report(groups, list_media(spark, folder, recursive)), "report")
+    classes, pairs = (materialize(x, "similar") for x in similar_classes(rest, params, strategy))
+    members = materialize(group_members(classes, pairs), "members")
+    groups = materialize(group_scores(classes, pairs, members), "groups")
+    log.info("%d similar pairs of distinct signatures, %d groups", pairs.count(), groups.count())
+    report = materialize(group_report(groups, list_media(spark, folder, recursive), members), "report")
     gone = rest.limit(0).select("path")
     if move_duplicates:
         moved["duplicates"] = _move(report.select("path", F.col("group_no").alias("seq")), folder, RESERVED_FOLDERS[0], True)[:2]
@@ -86,8 +98,8 @@ def find_similar(
     if move_skipped:
         moved["skipped"] = _move(skipped.select("path", F.lit(0).alias("seq")), folder, RESERVED_FOLDERS[2], False)[:2]
     unique = final_unique(rest, gone)
-    added = watched.write_watched(spark, watched_db, watched.entries(unique), params) if watched_db else {}
-    return Found(groups, report, split, unique, skipped, moved, added)
+    added = watched.write_watched(spark, watched_db, watched.entries(unique, params.words), params) if watched_db else {}
+    return Found(groups, members, report, split, unique, skipped, moved, added)
 
 
 def final_unique(candidates: DataFrame, moved: DataFrame) -> DataFrame:
@@ -95,12 +107,12 @@ def final_unique(candidates: DataFrame, moved: DataFrame) -> DataFrame:
     return candidates.join(moved.select("path").distinct(), "path", "left_anti")
 
 
-def create_watched(spark: SparkSession, folder: str, params: Params, db: str | None = None, recursive: bool = False, open_media=decode.VideoMedia) -> dict[str, int]:
+def create_watched(spark: SparkSession, folder: str, params: Params, db: str | None = None, recursive: bool = False, open_media=decode.VideoMedia, cache_name: str | None = None) -> dict[str, int]:
     """Every file that can be hashed joins the watched set, in one write."""
     from twinframe.params import WATCHED_NAME
 
-    signatures, _ = hash_folder(spark, folder, params, recursive, open_media=open_media)
-    return watched.write_watched(spark, os.path.abspath(db or os.path.join(folder, WATCHED_NAME)), watched.entries(signatures), params)
+    signatures, _ = hash_folder(spark, folder, params, recursive, cache_name, open_media)
+    return watched.write_watched(spark, os.path.abspath(db or os.path.join(folder, WATCHED_NAME)), watched.entries(signatures, params.words), params)
 
 
 def inspect(spark: SparkSession, db: str) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from twinframe.functions import paths
 from twinframe.functions.signatures import aligned_similarity, average_hash, frame_indices, to_hex
+from twinframe.operators.groups import group_members, group_scores
 from twinframe.operators.groups import group_report as report_of
 from twinframe.operators.groups import similar_groups as groups_of
 from twinframe.operators.moves import move_plan as plan_of
-from twinframe.operators.similarity import similar_pairs
+from twinframe.operators.similarity import similar_classes, similar_pairs
 from twinframe.operators.watched import nearest_distance, split_watched
 from twinframe.params import Params
 from twinframe.plans.runs import final_unique as unique_of
@@ -105,17 +106,22 @@ def similar_pairs_emb(spark, sf_dir):
     return similar_pairs(materialize(_emb(spark, sf_dir).select("path", "hashes"), "signatures"), EMB)
 
 
-def _groups(spark, sf_dir):
-    return groups_of(materialize(similar_pairs_brute(spark, sf_dir), "pairs"))
+def _classes(spark, sf_dir):
+    """Classes of equal signatures, and the similar pairs of their representatives, both written."""
+    classes, pairs = similar_classes(materialize(_signatures(_doc_frames(spark, sf_dir)), "signatures"), DOC)
+    return materialize(classes, "classes"), materialize(pairs, "pairs")
 
 
 def similar_groups(spark, sf_dir):
-    return _groups(spark, sf_dir).select("group_id", F.array_join("members", ",").alias("members"), "n_members", "n_edges", F.round("avg_similarity", 6).alias("avg_similarity"))
+    classes, pairs = _classes(spark, sf_dir)
+    return groups_of(pairs, classes).select("group_id", F.array_join("members", ",").alias("members"), "n_members", "n_edges", F.round("avg_similarity", 6).alias("avg_similarity"))
 
 
 def group_report(spark, sf_dir):
-    groups = _groups(spark, sf_dir).withColumn("avg_similarity", F.round("avg_similarity", 6))
-    return report_of(groups, _docs(spark, sf_dir).select("path", "size_bytes"))
+    classes, pairs = _classes(spark, sf_dir)
+    members = materialize(group_members(classes, pairs), "members")
+    scores = group_scores(classes, pairs, members).withColumn("avg_similarity", F.round("avg_similarity", 6))
+    return report_of(scores, _docs(spark, sf_dir).select("path", "size_bytes"), members)
 
 
 def _pool(e: DataFrame) -> DataFrame:
@@ -196,9 +202,8 @@ def watched_upsert_status(spark, sf_dir):
 
 
 def final_unique(spark, sf_dir):
-    sig = materialize(_signatures(_doc_frames(spark, sf_dir)), "signatures")
-    moved = _groups(spark, sf_dir).select(F.explode("members").alias("path"))
-    return unique_of(sig, moved).select("path")
+    classes, pairs = _classes(spark, sf_dir)
+    return unique_of(classes, group_members(classes, pairs)).select("path")
 
 
 def inspect_db(spark, sf_dir):
@@ -279,5 +284,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT coalesce(n.path, o.path) AS video_id, CASE WHEN n.path IS NULL THEN 'kept' WHEN o.path IS NULL THEN 'added' WHEN n.hs = o.hs THEN 'refreshed' ELSE 'updated' END AS status,
       CAST(len(coalesce(n.hs, o.hs)) AS INTEGER) AS n_hashes FROM o FULL JOIN n ON o.path = n.path""",
     "final_unique": f"WITH {_PAIRS} SELECT path FROM sg WHERE path NOT IN (SELECT a FROM ed UNION SELECT b FROM ed)",
+    "move_plan": """WITH f AS (SELECT '/media/' || source || '/' || lang || '_' || CAST(doc_id % 50 AS VARCHAR) || 'x.mp4' AS src, lang || '_' || CAST(doc_id % 50 AS VARCHAR) || 'x' AS root, doc_id FROM documents),
+      n AS (SELECT src, root, row_number() OVER (PARTITION BY root ORDER BY doc_id, src) - 1 AS k FROM f)
+      SELECT src, CASE WHEN k <= 100 THEN '/media/duplicate_videos/' || root || CASE WHEN k > 0 THEN '_' || CAST(k AS VARCHAR) ELSE '' END || '.mp4' END AS dest, 'move' AS action, CASE WHEN k <= 100 THEN 'planned' ELSE 'failed' END AS status FROM n""",
     "inspect_db": "SELECT count(*) AS n_videos, 4 AS num_frames, 4 AS hash_size FROM embeddings WHERE label = 0 AND len(embedding) = 64",
 }

@@ -75,8 +75,9 @@ def hash_media(path: str, params: Params, open_media=VideoMedia) -> tuple[str, s
     except Exception as e:  # a file that no decoder reads is a result, not an error
         return ("failed", f"not opened: {type(e).__name__}", None) if os.path.exists(path) else ("vanished", "not found", None)
     try:
-        duration = m.frames / m.fps if m.fps and m.fps > 0 else 0
-        if duration < params.skip_duration or m.frames < params.num_frames:
+        # Without a usable frame rate nothing is known to be long enough, unless no length is asked for.
+        long_enough = m.frames / m.fps >= params.skip_duration if (m.fps or 0) > 0 else params.skip_duration <= 0
+        if not long_enough or m.frames < params.num_frames:
             return "skipped", "short", None
         at = sample_indices(m.frames, params.num_frames)
         if at[-1] > 0 and m.read(at[-1]) is None:
@@ -88,6 +89,8 @@ def hash_media(path: str, params: Params, open_media=VideoMedia) -> tuple[str, s
                 return "failed", "frame unreadable", None
             out += frame_hash(frame, params.hash_size)
         return "ok", "", out
+    except Exception as e:  # one damaged file must not end the job
+        return "failed", f"not decoded: {type(e).__name__}", None
     finally:
         m.close()
 

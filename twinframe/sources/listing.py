@@ -41,7 +41,7 @@ class _Reader(DataSourceReader):
         out = [Folder(self.root, False)]
         if self.recursive:
             try:
-                out += [Folder(e.path, True) for e in os.scandir(self.root) if e.is_dir() and e.name not in RESERVED_FOLDERS]
+                out += [Folder(e.path, True) for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in RESERVED_FOLDERS]
             except OSError:
                 pass
         return out

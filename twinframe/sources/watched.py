@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.params import Params
 from twinframe.sources.versions import read_version, write_version
 
+log = logging.getLogger(__name__)
+
 SCHEMA = "video_id string, hashes array<string>"
 META = "num_frames int, hash_size int"
 SUFFIXES = (".db", ".dat", ".bak")
@@ -19,15 +23,23 @@ def base_path(path: str) -> str:
 
 
 def read_watched(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:
-    """The items and their parameters; empty and None if there are none."""
+    """The items and their parameters; empty and None if there are none, or none that can be read (which is logged)."""
     path = base_path(path)
-    meta = read_version(spark, f"{path}/meta", META).first()
-    return read_version(spark, f"{path}/items", SCHEMA), meta.asDict() if meta else None
-
-
-def entries(signatures: DataFrame) -> DataFrame:
-    """``(video_id, hashes)`` of signatures: distinct hashes in hexadecimal."""
-    hexes = F.transform("hashes", lambda h: F.lpad(F.lower(F.hex(h)), 16, "0"))
+    try:
+        meta = read_version(spark, f"{path}/meta", META).first()
+        items = read_version(spark, f"{path}/items", SCHEMA)
+        items.agg(F.max(F.size("hashes"))).first()  # every file is read: a damaged one shows here
+    except Exception:
+        log.exception("the watched set %s cannot be read", path)
+        return spark.createDataFrame([], SCHEMA), None
+    return items, meta.asDict() if meta else None
+
+
+def entries(signatures: DataFrame, words: int = 1) -> DataFrame:
+    """``(video_id, hashes)`` of signatures: distinct frame hashes in hexadecimal, each of ``words`` 64-bit words."""
+    each = F.transform("hashes", lambda h: F.lpad(F.lower(F.hex(h)), 16, "0"))
+    frames = F.sequence(F.lit(1), F.size("hashes"), F.lit(words))
+    hexes = each if words == 1 else F.transform(frames, lambda i: F.array_join(F.slice(each, i, words), ""))
     return signatures.filter(F.size("hashes") > 0).select(F.col("path").alias("video_id"), F.array_sort(F.array_distinct(hexes)).alias("hashes"))
 
 
@@ -52,9 +64,10 @@ def write_watched(spark: SparkSession, path: str, new: DataFrame, params: Params
     return counts
 
 
-def pool(watched: DataFrame) -> DataFrame:
-    """``(hash)``: the distinct hashes of all items, as longs."""
-    return watched.select(F.explode("hashes").alias("x")).select(F.conv("x", 16, -10).cast("bigint").alias("hash")).distinct()
+def pool(watched: DataFrame, words: int = 1) -> DataFrame:
+    """``(hash)``: the distinct frame hashes of all items, as longs; with more than one word, as arrays of longs."""
+    part = [F.conv(F.substring("x", 16 * k + 1, 16), 16, -10).cast("bigint") for k in range(words)]
+    return watched.select(F.explode("hashes").alias("x")).select((part[0] if words == 1 else F.array(*part)).alias("hash")).distinct()
 
 
 def summary(watched: DataFrame, meta: dict | None) -> DataFrame:
