@@ -171,18 +171,24 @@ class LogBilinear:
                     used[i][rows] += uses
         return state
 
-    def log_probability(self, target, one, two, at_once: int = 1024) -> np.ndarray:
-        """Natural log of each target's normalised probability after its context."""
+    def log_probability(self, target, one, two, at_once: int = 256, block: int = 1 << 17) -> np.ndarray:
+        """Natural log of each target's normalised probability after its context, in blocks of bounded size."""
+        parts = [self._log_probability(*(x[i : i + block] for x in (target, one, two)), at_once) for i in range(0, len(target), block)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _log_probability(self, target, one, two, at_once: int) -> np.ndarray:
         out = np.zeros(len(target))
         q = np.ones((len(target), self.q1.shape[1] + 1), dtype=np.float32)  # the last column is for the bias
         np.add(self.q1[one], self.q2[two], out=q[:, :-1])
 
         def level(q, rows, own):
             found, columns = np.empty(len(q)), np.ascontiguousarray(rows.T)
+            # No score is larger than the product of the norms (Cauchy and Schwarz).
+            small = (np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", rows, rows).max()) < 60.0**2
             for i in range(0, len(q), at_once):
                 s = q[i : i + at_once] @ columns
                 mine, top = s[np.arange(len(s)), own[i : i + at_once]], 0.0
-                if float(s.max()) > 60 or float(s.min()) < -60:  # beyond single precision's exponents
+                if not small and (float(s.max()) > 60 or float(s.min()) < -60):  # beyond single precision's exponents
                     top = s.max(axis=1)
                     s -= top[:, None]
                 np.exp(s, out=s)
