@@ -22,12 +22,14 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinframe.llm.slices import slices
 from twinframe.sources.shared import materialize
 
 END = 2
@@ -49,10 +51,15 @@ class Encoder:
 
     A document is cut before each space and each part looked up; parts not seen yet go to a fast
     encoder built from the same file. Texts with unusual characters, special tokens or runs of white
-    space go whole to the tokenizers library. The lookup table has a bound and starts anew.
+    space go whole to the tokenizers library. The lookup tables hold about ``remember`` bytes at
+    most and then start anew; parts of more than ``LONG`` characters are not kept.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    LONG = 64
+    #: Bytes of an entry beside its characters and ids, about.
+    ENTRY = 150
+
+    def __init__(self, path: str, remember: int = 48 << 20):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -66,12 +73,16 @@ class Encoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.remember, self.first, self.later = remember, {}, {}
+        self.remember, self.held, self.first, self.later = remember, 0, {}, {}
 
     def _part(self, table: dict, part: str, text: str) -> bytes:
-        if len(table) >= self.remember:
-            table.clear()
-        out = table[part] = array("I", self.fast.encode_ordinary(text)).tobytes()
+        out = array("I", self.fast.encode_ordinary(text)).tobytes()
+        if len(part) <= self.LONG:
+            self.held += self.ENTRY + len(part) + len(out)
+            if self.held > self.remember:
+                self.first.clear(), self.later.clear()
+                self.held = self.ENTRY + len(part) + len(out)
+            table[part] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -89,6 +100,12 @@ class Encoder:
         return b"".join(got)
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """A process's one encoder for a file: a worker keeps it from task to task."""
+    return Encoder(path)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of a document's pieces: whole capacities after a first piece that may be shorter."""
     first = n if n <= capacity else n % capacity or capacity
@@ -118,9 +135,9 @@ def tokenize(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, task, seen = Encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder, task, seen = encoder_of(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([END], dtype="<u4").tobytes()
-        for b in batches:
+        for b in (part for b in batches for part in slices(b, "text_", 2000)):
             row, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text_").to_pylist()):
                 got = encoder.ids(text) + end
