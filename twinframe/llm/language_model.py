@@ -33,12 +33,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.llm.sampling import most_frequent, smallest
+from twinframe.llm.slices import slices
 from twinframe.sources.shared import materialize
 
 #: Stands for the end token in tables of words; no word has white space.
@@ -171,41 +173,50 @@ class LogBilinear:
                     used[i][rows] += uses
         return state
 
-    def log_probability(self, target, one, two, at_once: int = 256, block: int = 1 << 17) -> np.ndarray:
+    def log_probability(self, target, one, two, at_once: int = 256, block: int = 1 << 19) -> np.ndarray:
         """Natural log of each target's normalised probability after its context, in blocks of bounded size."""
         parts = [self._log_probability(*(x[i : i + block] for x in (target, one, two)), at_once) for i in range(0, len(target), block)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def _log_probability(self, target, one, two, at_once: int) -> np.ndarray:
-        out = np.zeros(len(target))
-        q = np.ones((len(target), self.q1.shape[1] + 1), dtype=np.float32)  # the last column is for the bias
-        np.add(self.q1[one], self.q2[two], out=q[:, :-1])
-
-        def level(q, rows, own):
-            found, columns = np.empty(len(q)), np.ascontiguousarray(rows.T)
-            # No score is larger than the product of the norms (Cauchy and Schwarz).
-            small = (np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", rows, rows).max()) < 60.0**2
-            for i in range(0, len(q), at_once):
-                s = q[i : i + at_once] @ columns
-                mine, top = s[np.arange(len(s)), own[i : i + at_once]], 0.0
-                if not small and (float(s.max()) > 60 or float(s.min()) < -60):  # beyond single precision's exponents
-                    top = s.max(axis=1)
-                    s -= top[:, None]
-                np.exp(s, out=s)
-                found[i : i + at_once] = mine - top - np.log(s.sum(axis=1, dtype=np.float32))
-            return found
-
-        group = target // self.per
-        if len(self.groups) > 1:
-            out += level(q, self.groups, group)
-        order = np.argsort(group.astype(np.uint16) if len(self.groups) < 1 << 16 else group, kind="stable")
-        q, cuts = q[order], np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+        """What tokens share is made once: a context's vector and groups, and a context's units of one group."""
+        context, at = np.unique(one * len(self.q2) + two, return_inverse=True)
+        first, second = np.divmod(context, len(self.q2))
+        q = np.ones((len(context), self.q1.shape[1] + 1), dtype=np.float32)  # the last column is for the bias
+        np.add(self.q1[first], self.q2[second], out=q[:, :-1])
+        out, group, several = np.empty(len(target)), target // self.per, len(self.groups) > 1
+        for i in range(0, len(target), 1 << 14):
+            here = slice(i, i + (1 << 14))
+            own = self.r[target[here]]
+            if several:
+                own += self.groups[group[here]]
+            out[here] = np.einsum("ij,ij->i", q[at[here]], own)
+        if several:
+            out -= _log_sums(q, self.groups, at_once)[at]
+        pair, of = np.unique(group * len(context) + at, return_inverse=True)
+        cuts, sums = np.searchsorted(pair, np.arange(len(self.groups) + 1) * len(context)), np.empty(len(pair))
         for g in np.flatnonzero(np.diff(cuts)):
-            here = order[cuts[g] : cuts[g + 1]]
-            out[here] += level(q[cuts[g] : cuts[g + 1]], self.r[g * self.per : (g + 1) * self.per], target[here] - g * self.per)
+            here = slice(cuts[g], cuts[g + 1])
+            sums[here] = _log_sums(q[pair[here] - g * len(context)], self.r[g * self.per : (g + 1) * self.per], at_once)
+        out -= sums[of]
         return out
 
 
+def _log_sums(q: np.ndarray, rows: np.ndarray, at_once: int) -> np.ndarray:
+    """For each vector the log of the sum of its exponentiated inner products with all rows."""
+    found, columns = np.empty(len(q)), np.ascontiguousarray(rows.T)
+    # No score is larger than the product of the norms (Cauchy and Schwarz).
+    small = (np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", rows, rows).max()) < 60.0**2
+    for i in range(0, len(q), at_once):
+        s, top = q[i : i + at_once] @ columns, 0.0
+        if not small and (float(s.max()) > 60 or float(s.min()) < -60):  # beyond single precision's exponents
+            top = s.max(axis=1)
+            s -= top[:, None]
+        np.exp(s, out=s)
+        found[i : i + at_once] = top + np.log(s.sum(axis=1, dtype=np.float32))
+    return found
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.clip(x, -30, 30, out=x)
@@ -248,19 +259,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-class Common(dict):
-    """Places of the commonest words; -1 for any other."""
-
-    def __missing__(self, w: bytes) -> int:
-        return -1
-
-
 class Scorer:
     """All that a task needs: the model, and the counts of common words and of classes."""
 
     def __init__(self, units: Units, model: LogBilinear, head: dict[bytes, int], total: int, distinct: int, class_n: np.ndarray, class_v: np.ndarray):
         self.units, self.model, self.total, self.distinct = units, model, total, distinct
-        self.place = Common({w: i for i, w in enumerate(head)})
+        self.place = {w: i for i, w in enumerate(head)}
         self.log = np.log10(np.array([*head.values(), 0]) + 0.5)
         self.unit = np.array([*(units[w] for w in head), -1])
         self.known_end = END in head
@@ -276,7 +280,7 @@ class Scorer:
             flat += words(t)
             flat.append(END)
             sizes.append(len(flat) - n)
-        at, sizes = np.array(list(map(self.place.__getitem__, flat)), dtype=np.int64), np.array(sizes, dtype=np.int64)
+        at, sizes = np.array(list(map(self.place.get, flat, repeat(-1))), dtype=np.int64), np.array(sizes, dtype=np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
         target, log, lost = self.unit[at], np.where(at >= 0, self.log[at], 0.0), np.flatnonzero(at < 0)
@@ -357,9 +361,8 @@ def _train_on_all(train: DataFrame, units: Units, model: LogBilinear, state, noi
         own = LogBilinear(*(x.copy() for x in start.tables()))
         state, used = [s.copy() for s in state], [np.zeros(len(x), dtype=np.int64) for x in own.tables()]
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 1000):
-                target, sizes = units.sequence(texts[i : i + 1000])
+            for i in range(0, b.num_rows, 1000):
+                target, sizes = units.sequence(b.column("text").slice(i, 1000).to_pylist())
                 own.train(target, *units.context(target, sizes), noise, seed=TaskContext.get().partitionId() + i, state=state, used=used)
         first = 0
         for x, n in zip(own.tables(), used, strict=True):
@@ -396,11 +399,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
         key = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts, of = b.column("text").to_pylist(), send.value
-            for i in range(0, len(texts), 500):
-                part = texts[i : i + 500]
-                got, n = of.score(part), len(part)
-                cols = [pa.array(range(key, key + n), type=pa.int64()), b.column("id_").slice(i, n), b.column("held_out").slice(i, n)]
+            of = send.value
+            for part in slices(b, "text", 2000):
+                got, n = of.score(part.column("text").to_pylist()), part.num_rows
+                cols = [pa.array(range(key, key + n), type=pa.int64()), part.column("id_"), part.column("held_out")]
                 cols += [pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(got["base"]), pa.array(got["model"])]
                 word, f, cuts = got["tail"]
                 pairs = pa.StructArray.from_arrays([pa.array(word, type=pa.binary()), pa.array(f, type=pa.int64())], ["word", "f"])
