@@ -229,13 +229,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _by_row(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, how often each occurs, and the sums of their gradients."""
     order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
-    index, n = index[order], g.shape[1]
-    new = np.concatenate(([True], index[1:] != index[:-1]))
-    begins, place = np.flatnonzero(new), np.empty(len(index), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    cells = place[:, None] * n + np.arange(n)
-    sums = np.bincount(cells.ravel(), weights=g.ravel(), minlength=len(begins) * n)
-    return index[begins], np.diff(np.append(begins, len(index))), sums.astype(np.float32).reshape(-1, n)
+    index = index[order]
+    begins = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+    return index[begins], np.diff(np.append(begins, len(index))), np.add.reduceat(g[order], begins, axis=0)
 
 
 def held_out(id_col: str, folds: int = 5) -> F.Column:
@@ -280,7 +276,7 @@ class Scorer:
             flat += words(t)
             flat.append(END)
             sizes.append(len(flat) - n)
-        at, sizes = np.array(list(map(self.place.get, flat, repeat(-1))), dtype=np.int64), np.array(sizes, dtype=np.int64)
+        at, sizes = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat)), np.array(sizes, dtype=np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
         target, log, lost = self.unit[at], np.where(at >= 0, self.log[at], 0.0), np.flatnonzero(at < 0)
