@@ -1,0 +1,123 @@
+"""Benchmark decontamination against a scan by definition, on both paths."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+
+from twinframe.llm import decontamination, queries
+
+WORD = re.compile(r"[0-9a-z\u0080-\U0010FFFF]+")
+
+
+def fold(text):
+    return (text or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+def by_definition(docs, items, width=10):
+    windows = {}
+    for item, text in items:
+        words = WORD.findall(fold(text))
+        k = min(width, len(words))
+        for i in range(len(words) - k + 1 if k else 0):
+            windows.setdefault(tuple(words[i : i + k]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        words = WORD.findall(fold(text))
+        hit, met = set(), set()
+        for k in {len(w) for w in windows}:
+            for i in range(len(words) - k + 1):
+                if own := windows.get(tuple(words[i : i + k])):
+                    hit |= set(range(i, i + k))
+                    met |= own
+        out.append((doc, len(words), sorted(hit), sorted({str(x) for x in met if x is not None})))
+    return out
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(11)
+    say = lambda n: [rng.choice(("ka", "Lo", "mi", "tü", "x1", "日本", "extraordinarily", "extraordinarilz")) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randint(11, 40)))) for i in range(12)]
+    items += [(20, "A rare three"), (21, "single"), (22, ""), (23, None), (24, "... --- !"), (None, " ".join(say(14))), (3, " ".join(say(12))), (25, items[4][1]), (100, items[4][1]), (26, " ".join(say(10)))]
+    docs = [(0, None), (1, ""), (2, " \n."), (None, items[0][1]), (3, "so a RARE, three... a rare three"), (4, "the single; singles"), (5, "a rare"), (None, None)]
+    for i in range(6, 40):
+        words = say(rng.randint(1, 60))
+        if i % 3 == 0:
+            own = rng.choice([t for _, t in items if t]).split()
+            a = rng.randint(0, max(0, len(own) - 10))
+            words[rng.randint(0, len(words)) : 0] = own[a : a + rng.randint(8, 14)]
+        docs.append((i, rng.choice((" ", ", ", "\n", "\u0007")).join(words)))
+    docs += [(7, docs[-1][1]), (7, docs[-1][1]), (50, " ".join(say(30000)) + " " + items[2][1].upper() + " " + "y" * 5000)]
+    return docs, items
+
+
+@pytest.fixture(scope="module")
+def tables(spark, texts):
+    docs, items = texts
+    return (
+        spark.createDataFrame([(i, t, 1, "w") for i, t in docs], "doc_id long, text string, n_words long, items string"),
+        spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int"),
+    )
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_hits_equal_a_scan(tables, texts, most):
+    out = decontamination.find_hits(*tables, most_bytes=most)
+    assert out.columns == ["doc_id", "text", "n_words", "items", "n_words_", "hit_spans", "items_"]
+    got = [(r[0], r[4], [x for s in r[5] for x in range(s[0], s[1])], r[6]) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(by_definition(*texts), key=repr)
+    assert sum(bool(x[3]) for x in got) > 10
+
+
+def test_query_equals_definition_and_sql(spark, tables, texts, tmp_path):
+    for name, df in zip(("documents", "benchmark"), tables, strict=True):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.op11_decontamination(spark, str(tmp_path)).collect()
+    want = [(d, n, len(h), len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), bool(h)) for d, n, h, own in by_definition(*texts)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.execute(queries.DECONTAMINATION_SQL).fetchall(), key=repr) == sorted(want, key=repr)
+
+
+def test_pieces_lose_no_window(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 5)
+    long = " ".join(f"w{i}" for i in range(97))
+    rows = decontamination._pieces(spark.createDataFrame([(1, long), (2, "w1 w2")], "item_id long, text string"), 10, "item_id", "text").collect()
+    words, seen = long.split(), set()
+    for r in rows:
+        own = bytes(r["piece"]).decode().split()
+        seen |= {tuple(own[i : i + r["width"]]) for i in range(len(own) - r["width"] + 1)}
+    assert seen == {tuple(words[i : i + 10]) for i in range(88)} | {("w1", "w2")}
+
+
+def test_hashes_that_collide_decide_nothing(monkeypatch):
+    plain = decontamination.Words.windows
+    monkeypatch.setattr(decontamination.Words, "windows", lambda self, k: (plain(self, k)[0] & 0, plain(self, k)[1]))
+    table = decontamination.Table([b"a b c", b"d e f"], [0, 1], 2)
+    assert list(table.met(decontamination.Words([b"x a b y", b"e f"]))) == [(1, {0}), (4, {1})]
+
+
+def test_removal(spark, tables, texts):
+    docs, items = tables
+    hit = {i for i, (_, _, h, _) in enumerate(by_definition(*texts)) if h}
+    left = decontamination.decontaminate(docs, items, remove="documents")
+    assert left.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in left.collect()), key=repr) == sorted((x for i, x in enumerate(texts[0]) if i not in hit), key=repr)
+    one = spark.createDataFrame([(1, "Begin (a Rare, THREE) end. a rare three"), (2, None), (3, "clean")], "doc_id long, text string")
+    assert [tuple(r) for r in decontamination.decontaminate(one, items).collect()] == [(1, "Begin () end. "), (2, None), (3, "clean")]
+    cut = decontamination.decontaminate(one, items, remove="documents", share=0.8)
+    assert [r[0] for r in cut.collect()] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        decontamination.decontaminate(one, items, remove="words")
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_empty_tables(spark, tables, most):
+    docs, items = tables
+    assert decontamination.find_hits(docs.limit(0), items, most_bytes=most).collect() == []
+    assert all(r["hit_spans"] == [] for r in decontamination.find_hits(docs, items.limit(0), most_bytes=most).collect())

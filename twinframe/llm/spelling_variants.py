@@ -10,7 +10,7 @@ A wavelet tree over the sequence reports them, for all words and positions of a
 
 Shards. A gap in the later half leaves the first half as it is, and one in the earlier half the rest;
 words are dealt by a hash of that half, so a shard has all words that can meet there, and about
-``block`` of them. A half that more than ``block`` words share is dealt into blocks of words that are
+``block`` of them (fewer of more than 16 letters). A half that more than ``block`` words share is dealt into blocks of words that are
 found and blocks of words that look, and every pair of blocks is a shard. Each pair of near words is
 found in one shard (a repeated letter is inserted after its last repetition), and only the count of a
 word's near words and the largest of them leave it.
@@ -186,13 +186,14 @@ def _shards(words: DataFrame, block: int) -> DataFrame:
         F.struct(F.lit(0).alias("late"), F.xxhash64(F.expr("right(word, size - CAST(size / 2 AS INT))")).alias("key")),
     )
     rows = rows.withColumn("h", F.explode(halves)).select("word", "n", "size", "full", "h.late", "h.key")
-    # As many shards as the words of a length fill, and blocks for keys that fill more than one.
-    full = rows.groupBy("size", "late").agg(F.count("*").alias("rows_")).filter(F.col("rows_") > block)  # a row for each length that fills a shard
-    crowded = materialize(rows.groupBy("size", "late", "key").agg(F.count("*").alias("own_")).filter(F.col("own_") > block), "crowded")
+    # As many shards as the words of a length fill, and blocks for keys that fill more than one. Long words have smaller ones.
+    room = F.greatest(F.lit(1.0), F.floor(F.lit(16.0 * block) / F.greatest("size", F.lit(16)))).cast("double")
+    full = rows.groupBy("size", "late").agg(F.count("*").alias("rows_")).filter(F.col("rows_") > room)  # a row for each length that fills a shard
+    crowded = materialize(rows.groupBy("size", "late", "key").agg(F.count("*").alias("own_")).filter(F.col("own_") > room), "crowded")
     rows = rows.join(F.broadcast(full), ["size", "late"], "left")
     rows = rows.withColumn("own_", F.lit(None).cast("long")) if crowded.isEmpty() else rows.join(crowded, ["size", "late", "key"], "left")
-    blocks = F.coalesce(F.ceil(F.col("own_") / F.lit(float(block))), F.lit(1)).cast("int")
-    part = F.when(F.col("own_").isNull(), F.pmod("key", F.coalesce(F.ceil(F.col("rows_") / F.lit(float(block))), F.lit(1)))).otherwise(F.col("key"))
+    blocks = F.coalesce(F.ceil(F.col("own_") / room), F.lit(1)).cast("int")
+    part = F.when(F.col("own_").isNull(), F.pmod("key", F.coalesce(F.ceil(F.col("rows_") / room), F.lit(1)))).otherwise(F.col("key"))
     rows = rows.select("word", "n", "size", "full", "late", part.alias("part"), blocks.alias("blocks"), F.pmod(F.xxhash64("word", F.lit(7)), blocks).cast("int").alias("own"))
     spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     finds = rows.filter("full").withColumn("looks", spread).withColumn("found", F.col("own")).withColumn("finds", F.lit(True)).withColumn("asks", F.col("own") == F.col("looks"))
