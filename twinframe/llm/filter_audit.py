@@ -111,9 +111,15 @@ def _routed(rows) -> Iterator[tuple]:
         yield from slim(id_, own)
 
 
+def _partitions(docs: DataFrame, text_col: str, each: int = 64 << 20) -> int:
+    """As many partitions as shuffles have, more where one would hold above ``each`` bytes of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", partitions: int | None = None) -> DataFrame:
     """``(id, part, mask, n)``: the rows of ``docs`` by id, part and the set of filters that they fail."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _partitions(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(id_col, text_col, F.col(part_col).cast("string")).rdd.mapPartitions(_local).repartitionAndSortWithinPartitions(n, lambda key: key).mapPartitions(_routed)
     return docs.sparkSession.createDataFrame(found, f"id {kind}, part string, mask int, n bigint", verifySchema=False)
