@@ -23,7 +23,7 @@ from twinframe.operators.watched import nearest_distance, split_watched
 from twinframe.params import Params
 from twinframe.plans.runs import final_unique as unique_of
 from twinframe.sources import cache, watched
-from twinframe.sources.shared import materialize
+from twinframe.sources.shared import materialize, scratch
 
 DOC = Params()
 EMB = Params(num_frames=4, hash_size=4, threshold=70.0)
@@ -194,11 +194,23 @@ def file_listing(spark, sf_dir):
     return d.filter(paths.is_media(F.col("path")) & ~paths.in_reserved_folder(F.col("path"))).select("doc_id", "path", paths.basename(F.col("path")).alias("name"), paths.stem(F.col("path")).alias("stem"))
 
 
-def watched_upsert_status(spark, sf_dir):
+def _watched_entries(spark, sf_dir):
+    """Entries of an older watched set, and those that are written to it."""
     e = _emb(spark, sf_dir)
-    old = watched.entries(e.filter("vec_id % 3 != 0"))
     new = e.filter("vec_id % 2 = 0").withColumn("hashes", F.when(F.col("vec_id") % 5 == 0, F.slice("hashes", 1, 2)).otherwise(F.col("hashes")))
-    return watched.upsert_status(old, watched.entries(new)).select("video_id", "status", F.size("hashes").alias("n_hashes"))
+    return watched.entries(e.filter("vec_id % 3 != 0")), watched.entries(new)
+
+
+def watched_upsert_status(spark, sf_dir):
+    return watched.upsert_status(*_watched_entries(spark, sf_dir)).select("video_id", "status", F.size("hashes").alias("n_hashes"))
+
+
+def watched_store(spark, sf_dir):
+    """The stored set after both writes, read back."""
+    at = scratch(spark, "watched")
+    for entries in _watched_entries(spark, sf_dir):
+        watched.write_watched(spark, at, entries, EMB)
+    return watched.read_watched(spark, at)[0].select("video_id", F.array_join(F.transform("hashes", lambda h: F.right(h, F.lit(4))), ",").alias("hashes"))
 
 
 def final_unique(spark, sf_dir):
@@ -221,7 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         frame_sample_indices, frame_hashes_doc, frame_hashes_emb, skipped_inputs, pair_similarity, similar_pairs_brute, similar_pairs_mih, similar_pairs_emb, similar_groups, group_report, watched_nn_distance,
-        watched_split, unwatched_set, cache_classify, cache_stats, cache_prune, cache_upsert, file_listing, watched_upsert_status, final_unique, inspect_db, move_plan,
+        watched_split, unwatched_set, cache_classify, cache_stats, cache_prune, cache_upsert, file_listing, watched_upsert_status, watched_store, final_unique, inspect_db, move_plan,
     )
 }
 
@@ -247,6 +259,8 @@ eh AS (SELECT vec_id, label, path, f, CAST(list_sum(list_transform(range(16), la
   FROM (SELECT *, list_sum(c) / 16 AS m FROM ef))"""
 _W = f"""{_E}, nn AS (SELECT x.h, min(bit_count(xor(x.h, w.h))) AS dist FROM (SELECT DISTINCT h FROM eh WHERE label <> 0) x, (SELECT DISTINCT h FROM eh WHERE label = 0) w GROUP BY x.h),
 sp AS (SELECT path, greatest(0.0, (16.0::DOUBLE - CAST(sum(dist) AS DOUBLE) / 4) / 16) * 100 AS similarity FROM eh JOIN nn USING (h) WHERE label <> 0 GROUP BY path)"""
+_U = f"""{_E}, o AS (SELECT path, list_sort(list(DISTINCT h)) AS hs FROM eh WHERE vec_id % 3 <> 0 GROUP BY path),
+n AS (SELECT path, list_sort(list(DISTINCT h)) AS hs FROM eh WHERE vec_id % 2 = 0 AND (vec_id % 5 <> 0 OR f < 2) GROUP BY path)"""
 _C = f"""{_D}, ls AS (SELECT path, CAST(doc_id % 97 AS DOUBLE) AS mtime FROM d),
 oc AS (SELECT CASE WHEN doc_id % 11 = 0 THEN path || '.gone' ELSE path END AS path, CASE WHEN total_frames >= 20 THEN 'OK' ELSE 'SKIPPED' END AS status, total_frames >= 20 AS ok,
   CASE WHEN doc_id % 5 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(doc_id % 97 AS DOUBLE) END AS mtime, CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 20 END AS num_frames FROM d WHERE doc_id % 3 <> 0),
@@ -279,8 +293,9 @@ ORACLE_SQL: dict[str, str] = {
       FROM documents WHERE text IS NOT NULL), n AS (SELECT *, regexp_replace(path, '^.*/', '') AS name FROM p)
       SELECT doc_id, path, name, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM n
       WHERE regexp_matches(lower(path), '\\.(mp4|avi|mkv|mov|wmv|flv)$') AND NOT regexp_matches(path, '(^|/)(duplicate_videos|watched_videos|skipped_videos)/')""",
-    "watched_upsert_status": f"""WITH {_E}, o AS (SELECT path, list_sort(list(DISTINCT h)) AS hs FROM eh WHERE vec_id % 3 <> 0 GROUP BY path),
-      n AS (SELECT path, list_sort(list(DISTINCT h)) AS hs FROM eh WHERE vec_id % 2 = 0 AND (vec_id % 5 <> 0 OR f < 2) GROUP BY path)
+    "watched_store": f"""WITH {_U} SELECT coalesce(n.path, o.path) AS video_id, array_to_string(list_transform(coalesce(n.hs, o.hs), lambda h: lpad(lower(to_hex(h)), 4, '0')), ',') AS hashes
+      FROM o FULL JOIN n ON o.path = n.path""",
+    "watched_upsert_status": f"""WITH {_U}
       SELECT coalesce(n.path, o.path) AS video_id, CASE WHEN n.path IS NULL THEN 'kept' WHEN o.path IS NULL THEN 'added' WHEN n.hs = o.hs THEN 'refreshed' ELSE 'updated' END AS status,
       CAST(len(coalesce(n.hs, o.hs)) AS INTEGER) AS n_hashes FROM o FULL JOIN n ON o.path = n.path""",
     "final_unique": f"WITH {_PAIRS} SELECT path FROM sg WHERE path NOT IN (SELECT a FROM ed UNION SELECT b FROM ed)",

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.params import Params
-from twinframe.sources.versions import read_version, write_version
+from twinframe.sources.versions import Version, current, read_table, write_version
 
 SCHEMA = "path string, status string, hashes array<bigint>, mtime double, num_frames int, hash_size int"
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return read_version(spark, path, SCHEMA)
+def read_cache(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """A version of the cache, the current one by default; empty if there is none, ``Unreadable`` if it cannot be read."""
+    return read_table(spark, version or current(spark, path), "table", SCHEMA)
 
 
 def classify(files: DataFrame, cache: DataFrame, params: Params) -> DataFrame:
@@ -50,5 +51,6 @@ def rows_of(results: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def write_cache(df: DataFrame, path: str) -> None:
-    write_version(df, path)
+def write_cache(df: DataFrame, path: str, base: Version | None = None) -> None:
+    """Make ``df`` the cache; with ``base``, the version it was made from, another writer's work is not undone (``Conflict``)."""
+    write_version(df, path, base)

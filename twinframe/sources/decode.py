@@ -90,7 +90,7 @@ def hash_media(path: str, params: Params, open_media=VideoMedia) -> tuple[str, s
             out += frame_hash(frame, params.hash_size)
         return "ok", "", out
     except Exception as e:  # one damaged file must not end the job
-        return "failed", f"not decoded: {type(e).__name__}", None
+        return ("failed", f"not decoded: {type(e).__name__}", None) if os.path.exists(path) else ("vanished", "not found", None)
     finally:
         m.close()
 

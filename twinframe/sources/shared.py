@@ -38,16 +38,22 @@ def materialize(df: DataFrame, tag: str = "table", rows: int | None = None, each
     ``each`` of them: a small table is not left in as many files as the shuffle has partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // each)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    _written.append(path)
     return out
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder for files that a caller writes itself; ``sweep()`` deletes it."""
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

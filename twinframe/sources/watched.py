@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.params import Params
-from twinframe.sources.versions import read_version, write_version
+from twinframe.sources.shared import discard, materialize
+from twinframe.sources.versions import Conflict, Unreadable, Version, commit, current, read_table
 
 log = logging.getLogger(__name__)
 
@@ -23,16 +24,28 @@ def base_path(path: str) -> str:
 
 
 def read_watched(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:
-    """The items and their parameters; empty and None if there are none, or none that can be read (which is logged)."""
-    path = base_path(path)
+    """The items and their parameters, for look-ups; empty and None if there are none, or none that can be read (which is logged).
+
+    Parameters that cannot be read are None and leave the items as they are.
+    """
+    path, nothing = base_path(path), spark.createDataFrame([], SCHEMA)
     try:
-        meta = read_version(spark, f"{path}/meta", META).first()
-        items = read_version(spark, f"{path}/items", SCHEMA)
+        version = current(spark, path)
+        items = read_table(spark, version, "items", SCHEMA)
         items.agg(F.max(F.size("hashes"))).first()  # every file is read: a damaged one shows here
     except Exception:
         log.exception("the watched set %s cannot be read", path)
-        return spark.createDataFrame([], SCHEMA), None
-    return items, meta.asDict() if meta else None
+        return nothing, None
+    try:
+        return items, _parameters(spark, version)
+    except Exception:
+        log.exception("the parameters of the watched set %s cannot be read", path)
+        return items, None
+
+
+def _parameters(spark: SparkSession, version: Version) -> dict | None:
+    meta = read_table(spark, version, "meta", META).first()
+    return meta.asDict() if meta else None
 
 
 def entries(signatures: DataFrame, words: int = 1) -> DataFrame:
@@ -51,17 +64,34 @@ def upsert_status(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "video_id", "full").select("video_id", status.alias("status"), F.coalesce("after", "before").alias("hashes"))
 
 
-def write_watched(spark: SparkSession, path: str, new: DataFrame, params: Params) -> dict[str, int]:
-    """Upsert all of ``new`` in one write; other parameters than the table's are refused. Gives counts by status."""
+def write_watched(spark: SparkSession, path: str, new: DataFrame, params: Params, tries: int = 10) -> dict[str, int]:
+    """Upsert all of ``new`` in one write; other parameters than the table's are refused. Gives counts by status.
+
+    A set that is there and cannot be read whole is an error (``Unreadable``) and stays as it is. Items and
+    parameters are one commit. If another writer commits meanwhile, its items are merged with too. Entries
+    without an id are left out; of several with one id the largest array counts.
+    """
     path = base_path(path)
-    old, meta = read_watched(spark, path)
-    if meta and (meta["num_frames"], meta["hash_size"]) != (params.num_frames, params.hash_size):
-        raise ValueError("the watched set was made with other parameters")
-    merged = upsert_status(old, new)
-    counts = {r["status"]: r["count"] for r in merged.groupBy("status").count().collect()}
-    write_version(merged.select("video_id", "hashes"), f"{path}/items")
-    write_version(spark.createDataFrame([(params.num_frames, params.hash_size)], META), f"{path}/meta")
-    return counts
+    new = new.filter("video_id is not null and video_id != ''").groupBy("video_id").agg(F.max("hashes").alias("hashes"))
+    new = materialize(new, "watched-entries")
+    for left in range(tries - 1, -1, -1):
+        version = current(spark, path)
+        meta = _parameters(spark, version)
+        if meta and (meta["num_frames"], meta["hash_size"]) != (params.num_frames, params.hash_size):
+            raise ValueError("the watched set was made with other parameters")
+        merged = materialize(upsert_status(read_table(spark, version, "items", SCHEMA), new), "watched-merged")
+        counts = {r["status"]: r["count"] for r in merged.groupBy("status").count().collect()}
+        if (lost := version.rows.get("items", 0) - sum(n for k, n in counts.items() if k != "added")) > 0:
+            raise Unreadable(f"{path}: {lost} items are missing")
+        try:
+            commit({"items": merged.select("video_id", "hashes"), "meta": spark.createDataFrame([(params.num_frames, params.hash_size)], META).coalesce(1)}, path, version)
+            discard(new)
+            return counts
+        except Conflict:
+            log.info("the watched set %s was changed meanwhile, %d tries left", path, left)
+        finally:
+            discard(merged)
+    raise Conflict(f"{path} was changed by others {tries} times")
 
 
 def pool(watched: DataFrame, words: int = 1) -> DataFrame:
