@@ -85,3 +85,21 @@ def test_size_texts(spark):
 def test_free_names():
     assert plan_names(["m.mp4"] * 3, {"m.mp4", "m_1.mp4"}) == ["m_2.mp4", "m_3.mp4", "m_4.mp4"]
     assert plan_names(["m.mp4"], {"m.mp4", *(f"m_{i}.mp4" for i in range(1, 101))}) == [None]
+
+
+def test_two_decimals_equal_python(spark):
+    rng = random.Random(8)
+    values = [0.0, 0.125, 0.375, 2.675, 1.005, 0.005, 0.015, 1e-9, 99.995, 100.0, 87.5, 1023.995, 70368744177663.99, -1.125, -0.001, 2.0**52 + 0.5, 2.0**60]
+    values += [rng.uniform(0, 10 ** rng.randint(0, 13)) for _ in range(3000)] + [rng.randrange(1 << 22) / 256 for _ in range(3000)] + [k / 100 + 0.005 for k in range(2000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", paths.two_decimals(F.col("v"))).collect()
+    assert [r for r in got if f"{r[0]:.2f}" != r[1]] == []
+    assert spark.range(1).select(paths.two_decimals(F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_sizes_half_way_between_two_texts(spark):
+    """All sizes that are 128 more than a multiple of 256, up to 16 MB, and random ones."""
+    rng = random.Random(9)
+    more = [rng.randrange(1 << rng.randint(1, 50)) for _ in range(5000)]
+    sizes = spark.range(128, 16 << 20, 256).unionByName(spark.createDataFrame([(x,) for x in more], "id bigint"))
+    got = sizes.select("id", paths.human_size(F.col("id"))).collect()
+    assert [r for r in got if paths.human_size_text(r[0]) != r[1]] == []

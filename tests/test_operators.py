@@ -153,3 +153,18 @@ def test_report_and_moves(spark):
     there = spark.createDataFrame([("m.mp4",), ("m_1.mp4",)], "name string")
     assert [r.dest for r in move_plan(files, "/out", there).orderBy("src").collect()] == ["/out/m_2.mp4", "/out/m_3.mp4", "/out/m_4.mp4"]
     assert {r.status for r in move_plan(files, "/out", there, rename=False).collect()} == {"failed"}
+
+
+def test_group_report_equals_its_sql_on_the_larger_table(spark):
+    """Sizes half way between two texts occur there."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS FROM '/root/testdata/sf0.1/documents.parquet'")
+    halves = con.sql("SELECT count(*) FROM documents WHERE n_chars % 1024 IN (128, 640)").fetchone()[0]
+    want = con.sql("SELECT '/media/' || source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.mp4', printf('%.2f KB', n_chars / 1024.0::DOUBLE) FROM documents WHERE n_chars BETWEEN 1024 AND 1048575").fetchall()
+    docs = entry.media._docs(spark, "/root/testdata/sf0.1")
+    alone = docs.selectExpr("path AS group_id", "1.0D AS avg_similarity", "path")
+    rows = group_report(alone.drop("path"), docs, alone.select("group_id", "path"))
+    assert halves > 3 and sorted((r.path, r.size_text) for r in rows.collect() if r.size_text.endswith(" KB")) == sorted(want)
