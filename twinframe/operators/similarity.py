@@ -1,23 +1,35 @@
 """Pairs of similar signatures: an exact Hamming similarity self-join.
 
-Both strategies give the pairs whose summed distance is at most the widest similar one. ``blocks``
-compares all pairs: rows are dealt into blocks, and each pair of blocks is one key of an equi-join,
-so nothing is broadcast and no side has to fit in memory. ``bands`` cuts signatures into bands of
-16 bits; by the pigeonhole principle a similar pair agrees, up to a bit in some of them, in one of
-the bands. One side looks up its own and, where needed, neighbouring band values, and what it meets
-is verified. At the usual settings (128 of 1280 bits) a signature looks up 864 band values, each of which
-meets one in 65536 of all others by chance: that is 38 times fewer comparisons than all pairs, but each
-is a shuffled row and not a few instructions, so blocks are the default and bands are for narrow
-distances. Equal signatures are joined once: copies are classes.
+All strategies give the pairs whose summed distance is at most the widest similar one.
+
+``blocks`` compares all pairs: rows are dealt into blocks, and each pair of blocks is one key of an
+equi-join, so nothing is broadcast and no side has to fit in memory.
+
+``bands`` finds candidates first and verifies them after. Signatures are cut into bands of 16 bits, each
+with a radius r: pairs that agree in a band up to r bits have a match of weight r + 1. The bands in which a
+similar pair has no match cost it r + 1 bits each, so its matches weigh at least the sum of all r + 1 less
+the widest distance. One side lists its bands' values, the other looks up those and, at radius 1, their
+neighbours; what travels is numbers of rows, values and weights. Pairs with enough weight are joined with
+their signatures and compared. A value that more than ``crowd`` signatures share is dealt into blocks,
+every pair of which is a key, so no key has more rows of either side. ``slack`` widens the radii beyond
+what one match needs: more look-ups, and fewer pairs to verify.
+
+At the usual settings (128 of 1280 bits) a signature looks up 864 values, each of which meets one in 65536
+of all others by chance: 38 times fewer comparisons than all pairs, but each is a shuffled row and not a few
+instructions. So ``auto`` takes bands where their look-ups are fewer than a hundredth of all pairs.
+Equal signatures are joined once: copies are classes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import ceil, sqrt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions.signatures import similarity, total_distance, widest
 from twinframe.params import Params
+from twinframe.sources.shared import materialize
 
 BAND = 16
 
@@ -37,43 +49,76 @@ def _close(n: int, most: int):
     return (first <= most) & (_distance(n) <= most)
 
 
+def _blocks(spark: SparkSession, rows: int, block: int) -> int:
+    """Blocks of at most ``block`` rows, and enough pairs of blocks for all cores while they have 256 rows."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, -(-rows // block), min(ceil(sqrt(6 * cores)), rows // 256))
+
+
 def _by_blocks(wide: DataFrame, n: int, most: int, block: int) -> DataFrame:
-    blocks = max(1, -(-wide.count() // block))
+    blocks = _blocks(wide.sparkSession, wide.count(), block)
     own = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
     left = wide.withColumn("lo", own).withColumn("hi", F.explode(F.sequence(F.col("lo"), F.lit(blocks - 1))))
     right = wide.withColumn("hi", own).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("hi"))))
-    a, b = left.alias("a"), right.hint("shuffle_hash").alias("b")
-    met = (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    # One key a pair of blocks, all of them in different partitions as far as there are any.
+    keyed = lambda df: df.withColumn("pair", F.col("lo") * blocks + F.col("hi"))
+    a, b = keyed(left).alias("a"), keyed(right).hint("shuffle_hash").alias("b")
     once = (F.col("a.lo") < F.col("a.hi")) | (F.col("a.path") < F.col("b.path"))
-    return a.join(b, met & once & _close(n, most)).select(
+    return a.join(b, (F.col("a.pair") == F.col("b.pair")) & once & _close(n, most)).select(
         F.least("a.path", "b.path").alias("a"), F.greatest("a.path", "b.path").alias("b"), _distance(n).alias("total")
     )
 
 
-def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int) -> DataFrame:
-    each = -(-word_bits // BAND)
-    bands = n * each
-    # sum(radius + 1) over the bands is most + 1; a band without a share is not needed.
-    near, rest = divmod(most + 1, bands)
-    if near + (rest > 0) > 2:
+def band_radii(most: int, bands: int, slack: int = 0) -> list[int]:
+    """A radius for each band, -1 where it is not used, so that the sum of all r + 1 is ``most`` + 1 + ``slack``, if radii up to 1 allow it."""
+    share, more = divmod(most + 1, bands)
+    if share + (more > 0) > 2:
         raise ValueError("too wide a distance for bands; use blocks")
-    used = bands if near else rest
+    share, more = divmod(min(2 * bands, most + 1 + slack), bands)
+    return [share - 1 + (i < more) for i in range(bands)]
+
+
+def candidates(rows: DataFrame, n: int, most: int, word_bits: int, slack: int = 0, crowd: int = 4096) -> DataFrame:
+    """``(a, b)``, ids of ``rows(id, h0, h1, ...)`` with a < b: all similar pairs, and others whose bands match as well."""
+    each = -(-word_bits // BAND)
+    radii = band_radii(most, n * each, slack)
+    used = [(i, r) for i, r in enumerate(radii) if r >= 0]
     if not used:
-        return wide.select(F.col("path").alias("a"), F.col("path").alias("b"), F.lit(0).alias("total")).limit(0)
-    word = F.expr(f"shiftrightunsigned(element_at(hashes, CAST(band div {each} + 1 AS INT)), CAST((band % {each}) * {BAND} AS INT))")
-    table = wide.withColumn("hashes", F.array(*(f"h{i}" for i in range(n)))).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(used - 1))))
-    table = table.withColumn("band", F.col("band").cast("bigint")).withColumn("key", word.bitwiseAND(F.lit((1 << BAND) - 1))).drop("hashes")
-    # Bands with a radius of 1 look up their value and those one bit away.
-    wider = F.col("band") < (rest if near == 1 else bands if near == 2 else 0)
-    flips = F.array(F.lit(0), *(F.lit(1 << x) for x in range(min(BAND, word_bits)))).cast("array<bigint>")
-    masks = F.when(wider, flips).otherwise(F.array(F.lit(0)).cast("array<bigint>"))
-    probe = table.withColumn("mask", F.explode(masks)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask").alias("b")
-    table = table.alias("a")
-    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.path") < F.col("b.path"))
-    return table.join(probe, met & _close(n, most)).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), _distance(n).alias("total")).distinct()
-
-
-def similar_classes(signatures: DataFrame, params: Params, strategy: str = "blocks", block: int = 4096) -> tuple[DataFrame, DataFrame]:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    value = lambda i: F.shiftrightunsigned(f"h{i // each}", BAND * (i % each)).bitwiseAND(F.lit((1 << BAND) - 1)).cast("int")
+    entry = lambda i, r: F.struct(F.lit(i).cast("short").alias("band"), value(i).alias("key"), F.lit(r + 1).alias("weight"))
+    table = rows.select("id", F.explode(F.array(*(entry(*x) for x in used))).alias("e")).select("id", "e.band", "e.key", "e.weight")
+    crowded = table.groupBy("band", "key").agg(F.count("*").alias("n_")).filter(F.col("n_") > crowd)
+    crowded = materialize(crowded.select("band", "key", F.ceil(F.col("n_") / F.lit(float(crowd))).cast("int").alias("n_")), "crowded")
+    flips = F.array(F.lit(0), *(F.lit(1 << x) for x in range(min(BAND, word_bits))))
+    probe = table.withColumn("mask", F.explode(F.when(F.col("weight") == 2, flips).otherwise(F.array(F.lit(0)))))
+    probe = probe.select("id", "band", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "weight")
+    keys = ["band", "key"]
+    if not crowded.isEmpty():
+        blocks, keys = F.coalesce("n_", F.lit(1)), ["band", "key", "block"]
+        table = table.join(crowded, ["band", "key"], "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("n_")
+        probe = probe.join(crowded, ["band", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n_")
+    met = table.select(F.col("id").alias("a"), *keys).join(probe.withColumnRenamed("id", "b"), keys).filter("a < b")
+    enough = sum(r + 1 for _, r in used) - most
+    return met.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= enough).select("a", "b")
+
+
+def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int, slack: int, crowd: int) -> DataFrame:
+    rows = materialize(wide.withColumn("id", F.monotonically_increasing_id()), "numbered-signatures")
+    ids = candidates(rows, n, most, word_bits, slack, crowd).withColumnsRenamed({"a": "ia", "b": "ib"})
+    found = ids.join(rows.alias("a"), F.col("ia") == F.col("a.id")).join(rows.alias("b"), F.col("ib") == F.col("b.id")).filter(_close(n, most))
+    return found.select(F.least("a.path", "b.path").alias("a"), F.greatest("a.path", "b.path").alias("b"), _distance(n).alias("total"))
+
+
+def _lookups(most: int, bands: int, word_bits: int, slack: int) -> int | None:
+    """Values that a signature looks up; None if bands cannot do it."""
+    try:
+        return sum((1, 1 + min(BAND, word_bits))[r] for r in band_radii(most, bands, slack) if r >= 0)
+    except ValueError:
+        return None
+
+
+def similar_classes(signatures: DataFrame, params: Params, strategy: str = "auto", block: int = 4096, slack: int = 0) -> tuple[DataFrame, DataFrame]:
     """``classes(path, rep)``: the first path of those with equal signatures stands for all; and ``pairs(a, b, similarity)`` of representatives.
 
     Signatures of the wrong length or with nulls are left out.
@@ -84,16 +129,20 @@ def similar_classes(signatures: DataFrame, params: Params, strategy: str = "bloc
     reps = whole.groupBy("hashes").agg(F.min("path").alias("rep"))
     classes = whole.join(reps, "hashes").select("path", "rep")
     wide = _wide(reps.withColumnRenamed("rep", "path"), n)
-    found = _by_bands(wide, n, most, min(64, params.bits)) if strategy == "bands" else _by_blocks(wide, n, most, block)
+    word_bits = min(64, params.bits)
+    if strategy == "auto":
+        lookups = _lookups(most, n * -(-word_bits // BAND), word_bits, slack)
+        strategy = "bands" if lookups is not None and 200 * lookups < wide.count() else "blocks"
+    found = _by_bands(wide, n, most, word_bits, slack, block) if strategy == "bands" else _by_blocks(wide, n, most, block)
     return classes, found.select("a", "b", similarity(F.col("total"), F.lit(params.num_frames), params.bits).alias("similarity"))
 
 
-def similar_pairs(signatures: DataFrame, params: Params, strategy: str = "blocks", block: int = 4096) -> DataFrame:
+def similar_pairs(signatures: DataFrame, params: Params, strategy: str = "auto", block: int = 4096, slack: int = 0) -> DataFrame:
     """``(a, b, similarity)`` with a < b of ``signatures(path, hashes)``, copies as pairs like any other.
 
     The result is as large as the number of pairs; groups are made from ``similar_classes`` instead.
     """
-    classes, found = similar_classes(signatures, params, strategy, block)
+    classes, found = similar_classes(signatures, params, strategy, block, slack)
     left, right = classes.select(F.col("rep").alias("a"), F.col("path").alias("x")), classes.select(F.col("rep").alias("b"), F.col("path").alias("y"))
     between = found.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     if widest(params.threshold, params.num_frames, params.bits) < 0:

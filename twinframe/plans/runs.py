@@ -68,7 +68,7 @@ def _move(files: DataFrame, folder: str, name: str, rename: bool) -> tuple[int,
 
 def find_similar(
     spark: SparkSession, folder: str, params: Params, recursive: bool = False, watched_db: str | None = None, adopt_params: bool = False,
-    move_watched: bool = False, move_duplicates: bool = False, move_skipped: bool = False, open_media=decode.VideoMedia, strategy: str = "blocks", cache_name: str | None = None,
+    move_watched: bool = False, move_duplicates: bool = False, move_skipped: bool = False, open_media=decode.VideoMedia, strategy: str = "auto", cache_name: str | None = None,
 ) -> Found:
     """Watched files are set apart (moved or not), the rest is grouped, and what stays unique joins the watched set."""
     if not os.path.isdir(folder):
