@@ -1,0 +1,79 @@
+"""Free names by claims against names given in turn."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from twinframe.operators import moves
+from twinframe.operators.moves import TRIES, move_plan, plan_names
+
+
+def planned(spark, files, existing=(), rename=True):
+    df = spark.createDataFrame(files, "path string, seq bigint").repartition(3)
+    there = spark.createDataFrame([(x,) for x in existing], "name string") if existing else None
+    return sorted(((r.src, r.dest and r.dest.removeprefix("/out/"), r.status) for r in move_plan(df, "/out", there, rename).collect()), key=repr)
+
+
+def in_turn(files, existing=()):
+    order = sorted(files, key=lambda f: (f[1], f[0]))
+    names = plan_names([p.rsplit("/", 1)[-1] for p, _ in order], set(existing))
+    return sorted(((p, n, "planned" if n else "failed") for (p, _), n in zip(order, names, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_claims_give_the_names_of_a_sequential_plan(spark, seed):
+    rng = random.Random(seed)
+    stems = ["m", "m_1", "m_2", "m_1_1", "m_1_2", "n_01", "n", "..", "_5", "x.y_3", "m_100", "m_101"]
+    name = lambda: rng.choice(stems) + rng.choice((".mp4", ".mp4", ".MP4", ""))
+    files = [(f"/in/{rng.randrange(9)}/{i}/{name()}", rng.randrange(40)) for i in range(150)]
+    existing = {name() for _ in range(4)} | {f"m_{i}.mp4" for i in range(rng.randrange(5), 9)}
+    assert planned(spark, files, existing) == in_turn(files, existing)
+
+
+def test_an_earlier_file_takes_a_name_that_a_later_one_holds(spark):
+    files = [("/a/m.mp4", 1), ("/b/m_1.mp4", 2), ("/c/m_1_1.mp4", 3), ("/d/m_1.mp4", 0)]
+    assert planned(spark, files, {"m.mp4"}) == in_turn(files, {"m.mp4"})
+
+
+def test_more_files_of_a_name_than_it_has_names(spark):
+    files = [(f"/in/{i:03}/m.mp4", 0) for i in range(TRIES + 30)] + [(f"/other/{i}/m_{i}.mp4", i % 3) for i in range(1, 40)]
+    got = planned(spark, files, {"m_7.mp4", "m_50.mp4", "unrelated.avi"})
+    assert got == in_turn(files, {"m_7.mp4", "m_50.mp4", "unrelated.avi"}) and sum(x[2] == "failed" for x in got) > 29
+
+
+def test_rows_that_repeat_and_empty_tables(spark):
+    files = [("/in/m.mp4", 1)] * 3
+    assert planned(spark, files) == in_turn(files)
+    assert planned(spark, files, rename=False) == [("/in/m.mp4", "m.mp4", "planned"), ("/in/m.mp4", None, "failed"), ("/in/m.mp4", None, "failed")]
+    assert move_plan(spark.createDataFrame([], "path string, seq bigint"), "/out").collect() == []
+
+
+def test_without_renaming_the_first_gets_the_name(spark):
+    files = [("/b/m.mp4", 1), ("/a/m.mp4", 1), ("/c/m.mp4", 0), ("/d/n.mp4", 5), ("/e/o.mp4", 1)]
+    assert planned(spark, files, {"n.mp4"}, rename=False) == [
+        ("/a/m.mp4", None, "failed"), ("/b/m.mp4", None, "failed"), ("/c/m.mp4", "m.mp4", "planned"), ("/d/n.mp4", None, "failed"), ("/e/o.mp4", "o.mp4", "planned"),
+    ]
+
+
+def test_numbered_files_of_one_family_are_many_tasks(spark, monkeypatch):
+    parts, tables = spark.conf.get("spark.sql.shuffle.partitions"), []
+    plain = moves.materialize
+
+    def keep(df, tag):
+        out = plain(df, tag)
+        if tag == "claims":
+            tables.append([r["n"] for r in out.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()])
+        return out
+
+    monkeypatch.setattr(moves, "materialize", keep)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plan = move_plan(spark.range(20_000).selectExpr("concat('/in/IMG_', id, '.jpg') AS path", "id AS seq"), "/out")
+        assert plan.filter("dest is not null").count() == 20_000
+        assert len(tables) == 1 and len(tables[0]) == 16 and max(tables[0]) < 2000  # one round
+        assert "Python" not in plan._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -1,20 +1,27 @@
 """Move plans. Spark plans; a driver-side function moves.
 
 Names are free of collisions: name.ext, name_1.ext up to name_100.ext, the first that is neither on
-disk nor planned. All names that one name can lead to share its stem without trailing numbers, so
-such families are independent of each other and are planned each in its own task.
+disk nor taken by a file before it in the order of the plan. Files claim names in rounds. Each claims
+the first name that it may still get, a name goes to the first in order of those that claim it, and
+who loses goes on to the next name; a file that holds a name loses it when an earlier one comes to
+claim it. When nobody loses, every file has the name that it would have got in turn.
+
+Files of the same name have the same list of names and get them in order, each a later one than the file
+before it. So the k-th of them begins at the k-th name of the list, those beyond the last name fail
+without a claim, and only as many as the list has names take part: a name that very many files share
+costs one task no more than that, and numbered files of one family are as many lists as there are names.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions.paths import basename, extension, stem
+from twinframe.sources.shared import discard, materialize
 
 TRIES = 100
 
@@ -31,33 +38,59 @@ def plan_names(names: list[str], existing: set[str]) -> list[str | None]:
     return out
 
 
+def _taken(existing: DataFrame) -> DataFrame:
+    """``(stem, ext, taken)``: for each list of names the places that files on disk hold."""
+    name = existing.select(stem(F.col("name")).alias("stem"), extension(F.col("name")).alias("ext"))
+    number = F.regexp_extract("stem", r"^(.*)_([1-9][0-9]{0,2})$", 2)
+    places = F.array(F.struct("stem", F.lit("0").alias("place")), F.struct(F.regexp_extract("stem", r"^(.*)_([1-9][0-9]{0,2})$", 1).alias("stem"), number.alias("place")))
+    rows = name.select("ext", F.explode(places).alias("p")).filter("p.place != ''").select("p.stem", "ext", F.col("p.place").cast("int").alias("place"))
+    return rows.filter(F.col("place") <= TRIES).groupBy("stem", "ext").agg(F.collect_set("place").alias("taken"))  # TRIES + 1 at most
+
+
+def _claims(src: DataFrame, there: DataFrame) -> DataFrame:
+    """``(id, dest_name)`` of the files that get a name."""
+    in_order = Window.partitionBy("stem", "ext").orderBy("seq", "path", "id")
+    now = src.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= TRIES + 1)
+    free = F.array_except(F.sequence(F.lit(0), F.lit(TRIES)), F.coalesce("taken", F.array().cast("array<int>")))
+    now = now.join(_taken(there), ["stem", "ext"], "left").withColumn("free", free).drop("taken").withColumn("at", F.col("rank") - 1)
+    now = materialize(now.select("id", "seq", "path", "stem", "ext", "rank", "free", "at"), "claims")
+    place = F.get("free", F.col("at"))
+    claimed = F.when(place == 0, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit("_"), place.cast("string"), "ext"))
+    order = F.struct("moves", "seq", "path", "id")
+    held = there.select("name", F.lit(False).alias("moves"), *(F.lit(None).cast(t).alias(c) for c, t in (("seq", "bigint"), ("path", "string"), ("id", "bigint"))))
+    while True:
+        # Two lists at most can come to one name, and each claims a name once.
+        asked = now.filter(place.isNotNull()).select(claimed.alias("name"), F.lit(True).alias("moves"), "seq", "path", "id").unionByName(held)
+        lost = asked.withColumn("first", F.min(order).over(Window.partitionBy("name"))).filter(F.col("moves") & (F.col("first.id").isNull() | (F.col("first.id") != F.col("id"))))
+        lost = materialize(lost.select("id", F.lit(1).alias("lost")), "lost-claims")
+        if lost.isEmpty():
+            return now.filter(place.isNotNull()).select("id", claimed.alias("dest_name"))
+        # Each begins after the one before it.
+        at = F.col("at") + F.coalesce("lost", F.lit(0))
+        before = Window.partitionBy("stem", "ext").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        moved = now.join(lost, "id", "left").withColumn("at", F.max(at - F.col("rank")).over(before) + F.col("rank")).drop("lost")
+        later = materialize(moved, "claims")
+        discard(now, lost)
+        now = later
+
+
 def move_plan(files: DataFrame, folder: str, existing: DataFrame | None = None, rename: bool = True) -> DataFrame:
-    """``(src, dest, action, status)`` of ``files(path, seq)``, in the order of seq; ``existing(name)`` is in the folder already.
+    """``(src, dest, action, status)`` of ``files(path, seq)``, in the order of seq and path; ``existing(name)`` is in the folder already.
 
     Without ``rename`` a name that is taken is a failure.
     """
-    src = files.select("path", F.col("seq").cast("long").alias("seq"), basename("path").alias("name"), F.lit(True).alias("moves"))
-    family = lambda p: (F.regexp_replace(stem(F.col(p)), r"(_\d+)+$", ""), extension(F.col(p)))
-    if existing is not None:
-        there = existing.select(F.lit(None).cast("string").alias("path"), F.lit(-1).cast("long").alias("seq"), "name", F.lit(False).alias("moves"))
-        src = src.unionByName(there)
-    root, ext = family("name")
-
-    def plan(pdf):
-        import pandas as pd
-
-        mine = pdf[pdf["moves"]].sort_values(["seq", "path"])
-        taken = set(pdf.loc[~pdf["moves"], "name"])
-        if rename:
-            names = plan_names(mine["name"].tolist(), taken)
-        else:
-            names = []
-            for x in mine["name"]:
-                names.append(None if x in taken else x)
-                taken.add(x)
-        return pd.DataFrame({"src": mine["path"], "dest": [f"{folder}/{x}" if x else None for x in names], "action": "move", "status": ["planned" if x else "failed" for x in names]})
-
-    return src.withColumn("root", root).withColumn("ext", ext).groupBy("root", "ext").applyInPandas(plan, "src string, dest string, action string, status string")
+    src = files.select("path", F.col("seq").cast("long").alias("seq"), basename("path").alias("name"))
+    src = materialize(src.select("*", stem(F.col("name")).alias("stem"), extension(F.col("name")).alias("ext"), F.monotonically_increasing_id().alias("id")), "moves")
+    there = (src.limit(0) if existing is None else existing).select("name").distinct()
+    if rename:
+        got = _claims(src, there)
+    else:
+        first = src.groupBy("name").agg(F.min(F.struct("seq", "path", "id"))["id"].alias("id"))
+        got = first.join(there, "name", "left_anti").select("id", F.col("name").alias("dest_name"))
+    out = src.join(got, "id", "left")
+    return out.select(
+        F.col("path").alias("src"), F.concat(F.lit(f"{folder}/"), "dest_name").alias("dest"), F.lit("move").alias("action"), F.when(F.col("dest_name").isNull(), "failed").otherwise("planned").alias("status")
+    )
 
 
 def apply_moves(plan: DataFrame) -> tuple[int, int, set[str]]:
@@ -74,8 +107,3 @@ def apply_moves(plan: DataFrame) -> tuple[int, int, set[str]]:
         except OSError:
             failed += 1
     return len(moved), failed, moved
-
-
-def family_of(name: str) -> tuple[str, str]:
-    root, ext = os.path.splitext(name)
-    return re.sub(r"(_\d+)+$", "", root), ext
