@@ -7,7 +7,7 @@ import pytest
 from test_operators import brute, signatures
 
 from twinframe.functions.signatures import widest
-from twinframe.operators import similarity
+from twinframe.operators import crowds, similarity
 from twinframe.operators.similarity import band_radii, candidates, similar_pairs
 from twinframe.params import Params
 
@@ -81,7 +81,7 @@ def test_more_slack_leaves_fewer_pairs_to_verify(spark):
 def test_no_key_has_more_rows_than_a_block(spark, monkeypatch):
     """A value that all share is dealt out: what meets in one key stays near the bound."""
     seen = []
-    monkeypatch.setattr(similarity, "materialize", lambda df, *a: seen.append(df) or df)
+    monkeypatch.setattr(crowds, "materialize", lambda df, *a: seen.append(df) or df)
     df = spark.range(640).selectExpr("id", "0L AS h0", "id AS h1")
     got = candidates(df, 2, 0, 64, 0, 64)
     assert [r["n_"] for r in seen[0].collect()] == [10]

@@ -55,7 +55,7 @@ def test_a_damaged_set_is_not_written_to(spark, tmp_path, params, part):
     watched.write_watched(spark, at, entries(spark, {"a": [1], "b": [2], "c": [3]}), P)
     tree = lambda: sorted(x.relative_to(tmp_path) for x in (tmp_path / "seen").rglob("*.parquet"))
     before = tree()
-    damage(versions.current(spark, at).folder(part))
+    damage(*versions.current(spark, at).folders(part))
     with pytest.raises(ValueError if part == "items" and params != P else versions.Unreadable):
         watched.write_watched(spark, at, entries(spark, {"d": [4]}), params)
     assert tree() == before and versions.current(spark, at).number == 1
@@ -67,11 +67,11 @@ def test_files_that_a_session_would_pass_over_are_missed(spark, tmp_path, settin
     at = f"{tmp_path}/seen"
     new = entries(spark, {str(i): [i] for i in range(40)}).repartition(4)
     version = versions.commit({"items": new}, at, versions.Version())
-    files = sorted(Path(version.folder("items")).rglob("*.parquet"))
+    files = sorted(Path(*version.folders("items")).rglob("*.parquet"))
     spark.conf.set(setting, "true")
     try:
         if "Corrupt" in setting:
-            damage(version.folder("items"), keep=1)
+            damage(*version.folders("items"), keep=1)
         else:
             files[0].unlink()
         with pytest.raises(versions.Unreadable):
@@ -151,7 +151,7 @@ def test_an_unreadable_cache_is_logged_and_replaced(spark, tmp_path, caplog):
     media(tmp_path / "in" / "a.mp4", 1)
     p, at = Params(4, 8), str(tmp_path / "in" / "c")
     runs.hash_folder(spark, str(tmp_path / "in"), p, cache_name="c", open_media=ArrayMedia)
-    damage(versions.current(spark, at).folder("table"))
+    damage(tmp_path / "in" / "c")
     signatures, _ = runs.hash_folder(spark, str(tmp_path / "in"), p, cache_name="c", open_media=ArrayMedia)
     assert signatures.count() == 1 and "cannot be read" in caplog.text and cache.read_cache(spark, at).count() == 1
 
@@ -160,3 +160,65 @@ def test_a_failed_job_is_not_taken_for_an_unreadable_cache(spark, tmp_path, monk
     monkeypatch.setattr(cache, "classify", lambda *_: spark.range(1).selectExpr("raise_error('broken plan') AS path"))
     with pytest.raises(Exception, match="broken plan"):
         runs.hash_folder(spark, str(tmp_path), Params(4, 8), open_media=ArrayMedia)
+
+
+def cache_rows(spark, rows):
+    return spark.createDataFrame([(p, "OK", [h], m, 4, 8) for p, h, m in rows], cache.SCHEMA)
+
+
+def held(spark, at):
+    return {r.path: (r.hashes[0], r.mtime) for r in cache.read_cache(spark, at).collect()}
+
+
+def files_of(at):
+    return {p: p.stat().st_mtime_ns for p in Path(at).rglob("*.parquet")}
+
+
+def test_a_cache_writes_the_buckets_that_change(spark, tmp_path):
+    at, rows = f"{tmp_path}/cache", [(f"/m/{i}.mp4", i, 1.0) for i in range(300)]
+    cache.write_cache(cache_rows(spark, rows), at)
+    base, before = versions.current(spark, at), files_of(at)
+    assert len(base.tables["table"]) > cache.BUCKETS // 2
+    new = cache_rows(spark, [("/m/5.mp4", 50, 2.0), ("/m/new.mp4", 7, 2.0)])
+    gone = spark.createDataFrame([("/m/9.mp4",), ("/m/never.mp4",)], "path string")
+    made = cache.write_changes(spark, at, base, new, gone)
+    want = {p: (h, m) for p, h, m in rows} | {"/m/5.mp4": (50, 2.0), "/m/new.mp4": (7, 2.0)}
+    del want["/m/9.mp4"]
+    assert held(spark, at) == want and made.number == 2
+    kept = {p for p, x in made.tables["table"].items() if base.tables["table"].get(p) == x}
+    assert len(made.tables["table"]) - len(kept) <= 4
+    assert versions.vacuum(spark, at) > 0 and versions.vacuum(spark, at) == 0
+    after = files_of(at)
+    assert held(spark, at) == want and sum(after.get(p) == t for p, t in before.items()) >= len(kept)
+    assert len([p for p in before if p not in after]) >= 3  # what only the older version held
+    for n in range(3):  # parts of several versions side by side
+        cache.write_changes(spark, at, versions.current(spark, at), cache_rows(spark, [(f"/m/{n}.mp4", 100 + n, 3.0)]), gone.limit(0))
+        versions.vacuum(spark, at)
+    assert held(spark, at) == want | {f"/m/{n}.mp4": (100 + n, 3.0) for n in range(3)}
+
+
+def test_a_cache_without_changes_is_not_written(spark, tmp_path):
+    at = f"{tmp_path}/cache"
+    cache.write_cache(cache_rows(spark, [("/m/1.mp4", 1, 1.0)]), at)
+    base, before = versions.current(spark, at), files_of(at)
+    none = cache_rows(spark, [])
+    assert cache.write_changes(spark, at, base, none, none) == base and files_of(at) == before
+
+
+def test_a_cache_changed_by_another_is_a_conflict(spark, tmp_path):
+    at, one = f"{tmp_path}/cache", [("/m/1.mp4", 1, 1.0)]
+    base = cache.write_cache(cache_rows(spark, one), at)
+    cache.write_changes(spark, at, base, cache_rows(spark, [("/m/2.mp4", 2, 1.0)]), cache_rows(spark, []))
+    with pytest.raises(versions.Conflict):
+        cache.write_changes(spark, at, base, cache_rows(spark, [("/m/3.mp4", 3, 1.0)]), cache_rows(spark, []))
+    assert set(held(spark, at)) == {"/m/1.mp4", "/m/2.mp4"}
+
+
+def test_a_bucket_may_become_empty_and_the_last_row_may_go(spark, tmp_path):
+    at, one = f"{tmp_path}/cache", [("/m/1.mp4", 1, 1.0)]
+    base = cache.write_cache(cache_rows(spark, one), at)
+    none = cache_rows(spark, [])
+    base = cache.write_changes(spark, at, base, none, cache_rows(spark, one))
+    assert held(spark, at) == {} and base.rows("table") == 0
+    cache.write_changes(spark, at, base, cache_rows(spark, one), none)
+    assert held(spark, at) == {"/m/1.mp4": (1, 1.0)}

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions.signatures import similarity, total_distance, widest
+from twinframe.operators.crowds import dealt
 from twinframe.params import Params
 from twinframe.sources.shared import materialize
 
@@ -88,16 +89,10 @@ def candidates(rows: DataFrame, n: int, most: int, word_bits: int, slack: int =
     value = lambda i: F.shiftrightunsigned(f"h{i // each}", BAND * (i % each)).bitwiseAND(F.lit((1 << BAND) - 1)).cast("int")
     entry = lambda i, r: F.struct(F.lit(i).cast("short").alias("band"), value(i).alias("key"), F.lit(r + 1).alias("weight"))
     table = rows.select("id", F.explode(F.array(*(entry(*x) for x in used))).alias("e")).select("id", "e.band", "e.key", "e.weight")
-    crowded = table.groupBy("band", "key").agg(F.count("*").alias("n_")).filter(F.col("n_") > crowd)
-    crowded = materialize(crowded.select("band", "key", F.ceil(F.col("n_") / F.lit(float(crowd))).cast("int").alias("n_")), "crowded")
     flips = F.array(F.lit(0), *(F.lit(1 << x) for x in range(min(BAND, word_bits))))
     probe = table.withColumn("mask", F.explode(F.when(F.col("weight") == 2, flips).otherwise(F.array(F.lit(0)))))
     probe = probe.select("id", "band", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "weight")
-    keys = ["band", "key"]
-    if not crowded.isEmpty():
-        blocks, keys = F.coalesce("n_", F.lit(1)), ["band", "key", "block"]
-        table = table.join(crowded, ["band", "key"], "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("n_")
-        probe = probe.join(crowded, ["band", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n_")
+    table, probe, keys = dealt(table.select("id", "band", "key"), probe, ["band", "key"], crowd)
     met = table.select(F.col("id").alias("a"), *keys).join(probe.withColumnRenamed("id", "b"), keys).filter("a < b")
     enough = sum(r + 1 for _, r in used) - most
     return met.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= enough).select("a", "b")

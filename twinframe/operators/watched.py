@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions.signatures import hamming, similarity
+from twinframe.operators.crowds import dealt
 from twinframe.params import Params
 from twinframe.sources.shared import materialize
 
@@ -61,15 +62,8 @@ def _by_index(asked: DataFrame, pool: DataFrame, words: int, segments, radius: i
 
     balls = F.concat(*(ball(i, s) for i, s in enumerate(segments) if s[2] >= radius))
     probe = asked.select("hash", F.explode(balls).alias("e")).select("hash", "e.seg", "e.key")
-    # Values that very many hashes share are dealt into blocks, each of which is asked.
-    crowded = table.groupBy("seg", "key").agg(F.count("*").alias("n_")).filter(F.col("n_") > CROWD).select("seg", "key", F.ceil(F.col("n_") / F.lit(float(CROWD))).cast("int").alias("n_"))
-    crowded = materialize(crowded, "crowded")
-    if not crowded.isEmpty():
-        n = F.coalesce("n_", F.lit(1))
-        table = table.join(crowded, ["seg", "key"], "left").withColumn("block", F.pmod(F.xxhash64("seen"), n).cast("int")).drop("n_")
-        probe = probe.join(crowded, ["seg", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), n - 1))).drop("n_")
-        return probe.join(table, ["seg", "key", "block"]).select("hash", "seen")
-    return probe.join(table, ["seg", "key"]).select("hash", "seen")
+    table, probe, keys = dealt(table, probe, ["seg", "key"], CROWD)
+    return probe.join(table, keys).select("hash", "seen")
 
 
 def _by_blocks(asked: DataFrame, pool: DataFrame, size: int, block: int) -> DataFrame:

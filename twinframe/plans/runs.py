@@ -17,7 +17,7 @@ from twinframe.params import CACHE_NAME, RESERVED_FOLDERS, Params
 from twinframe.sources import cache, decode, watched
 from twinframe.sources.listing import cache_path, list_media
 from twinframe.sources.shared import materialize
-from twinframe.sources.versions import Unreadable, current
+from twinframe.sources.versions import Unreadable, Version, current, last_number, vacuum
 
 log = logging.getLogger(__name__)
 
@@ -26,19 +26,23 @@ def hash_folder(spark: SparkSession, folder: str, params: Params, recursive: boo
     """``signatures(path, hashes)`` and ``skipped(path, reason)``; what is cached is not hashed again."""
     files = materialize(list_media(spark, folder, recursive), "files")
     at = cache_path(folder, cache_name or CACHE_NAME)
-    base = None
     try:
         base = current(spark, at)
         stored = cache.read_cache(spark, at, base)
     except Unreadable:  # costs time and no more; it is replaced
         log.exception("the cache %s cannot be read", at)
-        stored = spark.createDataFrame([], cache.SCHEMA)
+        base, stored = None, spark.createDataFrame([], cache.SCHEMA)
     known = materialize(cache.prune(stored, files), "known")
     classified = materialize(cache.classify(files, known, params), "classified")
     todo = classified.filter(F.col("class").isin("miss", "stale"))
     done = materialize(decode.hash_files(todo, params, open_media), "hashed")
     try:
-        cache.write_cache(cache.upsert(known, cache.rows_of(done, params)), at, base)
+        rows = cache.rows_of(done, params)
+        if base is None:
+            cache.write_cache(rows, at, Version(last_number(spark, at)))
+        else:
+            cache.write_changes(spark, at, base, rows, stored.join(files, "path", "left_anti"))
+            vacuum(spark, at)
     except Exception:  # the next run hashes again
         log.exception("the cache %s was not written", at)
     hits = classified.filter("class = 'hit'").select("path", "hashes")

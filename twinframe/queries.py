@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinframe.functions import paths
 from twinframe.functions.signatures import aligned_similarity, average_hash, frame_indices, to_hex
+from twinframe.operators import metric_index
 from twinframe.operators.groups import group_members, group_scores
 from twinframe.operators.groups import group_report as report_of
 from twinframe.operators.groups import similar_groups as groups_of
@@ -24,6 +25,7 @@ from twinframe.params import Params
 from twinframe.plans.runs import final_unique as unique_of
 from twinframe.sources import cache, watched
 from twinframe.sources.shared import materialize, scratch
+from twinframe.sources.versions import vacuum
 
 DOC = Params()
 EMB = Params(num_frames=4, hash_size=4, threshold=70.0)
@@ -134,6 +136,16 @@ def watched_nn_distance(spark, sf_dir):
     return near.select(to_hex(F.col("hash"), 16).alias("hash"), F.col("distance").cast("int").alias("distance"))
 
 
+def metric_index_range(spark, sf_dir):
+    """An index made of one label's frames, to which another's are added, asked for what is within 2 bits of the others'."""
+    e, at = _emb(spark, sf_dir), scratch(spark, "metric-index")
+    frames = lambda which: e.filter(which).select(F.explode("hashes").alias("hash"))
+    metric_index.create(spark, at, frames("label = 0"))
+    metric_index.add(spark, at, frames("label = 1"))
+    near = metric_index.ask(spark, at, frames("label > 1"), 2)
+    return near.select(to_hex(F.col("hash"), 16).alias("hash"), to_hex(F.col("seen"), 16).alias("seen"), "distance")
+
+
 def watched_split(spark, sf_dir):
     e = _emb(spark, sf_dir)
     return split_watched(e.filter("label != 0"), _pool(e), EMB_WATCHED)
@@ -181,6 +193,17 @@ def cache_upsert(spark, sf_dir):
     return cache.upsert(kept, cache.rows_of(new, DOC)).select("path", "status", "mtime", "num_frames", "hash_size", F.size("hashes").alias("n_hashes"))
 
 
+def cache_store(spark, sf_dir):
+    """The same through the stored cache: written whole, then the changes alone, and read back."""
+    at = scratch(spark, "cache")
+    base = cache.write_cache(_old_cache(spark, sf_dir), at)
+    classified = _classified(spark, sf_dir)
+    new = classified.filter(F.col("class").isin("miss", "stale")).select("path", "mtime", F.lit("ok").alias("status"), F.array(F.lit(1).cast("bigint")).alias("hashes"))
+    cache.write_changes(spark, at, base, cache.rows_of(new, DOC), cache.read_cache(spark, at, base).join(classified, "path", "left_anti"))
+    vacuum(spark, at)
+    return cache.read_cache(spark, at).select("path", "status", "mtime", "num_frames", "hash_size", F.size("hashes").alias("n_hashes"))
+
+
 #: Names that a listing of the documents' folder would hold.
 ENDINGS = ("mp4", "MKV", "txt", "tar.mov", "Wmv", "mp4.part", "flv")
 FOLDERS = ("", "sub/", "watched_videos/", "sub/duplicate_videos/deep/", "my_watched_videos/")
@@ -232,8 +255,8 @@ def move_plan(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        frame_sample_indices, frame_hashes_doc, frame_hashes_emb, skipped_inputs, pair_similarity, similar_pairs_brute, similar_pairs_mih, similar_pairs_emb, similar_groups, group_report, watched_nn_distance,
-        watched_split, unwatched_set, cache_classify, cache_stats, cache_prune, cache_upsert, file_listing, watched_upsert_status, watched_store, final_unique, inspect_db, move_plan,
+        frame_sample_indices, frame_hashes_doc, frame_hashes_emb, skipped_inputs, pair_similarity, similar_pairs_brute, similar_pairs_mih, similar_pairs_emb, similar_groups, group_report, watched_nn_distance, metric_index_range,
+        watched_split, unwatched_set, cache_classify, cache_stats, cache_prune, cache_upsert, cache_store, file_listing, watched_upsert_status, watched_store, final_unique, inspect_db, move_plan,
     )
 }
 
@@ -282,6 +305,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT group_no, co.x AS path, avg_similarity, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.2f B', CAST(n_chars AS DOUBLE)) WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.2f MB', n_chars / 1048576.0::DOUBLE) END AS size_text
       FROM nr JOIN co ON co.g = nr.group_id JOIN d ON d.path = co.x""",
     "watched_nn_distance": f"WITH {_W} SELECT lpad(lower(to_hex(h)), 4, '0') AS hash, CAST(least(dist, 16) AS INTEGER) AS distance FROM nn",
+    "metric_index_range": f"""WITH {_E}, s AS (SELECT DISTINCT h FROM eh WHERE label IN (0, 1)), q AS (SELECT DISTINCT h FROM eh WHERE label > 1)
+      SELECT lpad(lower(to_hex(q.h)), 4, '0') AS hash, lpad(lower(to_hex(s.h)), 4, '0') AS seen, CAST(bit_count(xor(q.h, s.h)) AS INTEGER) AS distance FROM q JOIN s ON bit_count(xor(q.h, s.h)) <= 2""",
     "watched_split": f"WITH {_W} SELECT path, similarity, similarity >= 85 AS is_watched FROM sp",
     "unwatched_set": f"WITH {_W} SELECT path FROM sp WHERE similarity < 85",
     "cache_classify": f"WITH {_C} SELECT path, state FROM cl",
@@ -304,3 +329,4 @@ ORACLE_SQL: dict[str, str] = {
       SELECT src, CASE WHEN k <= 100 THEN '/media/duplicate_videos/' || root || CASE WHEN k > 0 THEN '_' || CAST(k AS VARCHAR) ELSE '' END || '.mp4' END AS dest, 'move' AS action, CASE WHEN k <= 100 THEN 'planned' ELSE 'failed' END AS status FROM n""",
     "inspect_db": "SELECT count(*) AS n_videos, 4 AS num_frames, 4 AS hash_size FROM embeddings WHERE label = 0 AND len(embedding) = 64",
 }
+ORACLE_SQL["cache_store"] = ORACLE_SQL["cache_upsert"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.params import Params
-from twinframe.sources.versions import Version, current, read_table, write_version
+from twinframe.sources.shared import discard, materialize
+from twinframe.sources.versions import Version, commit, current, read_table
 
+#: Parts of a stored cache, by a hash of the path: what changes decides which of them are written anew.
+BUCKETS = 64
 SCHEMA = "path string, status string, hashes array<bigint>, mtime double, num_frames int, hash_size int"
 
 
@@ -51,6 +54,28 @@ def rows_of(results: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def write_cache(df: DataFrame, path: str, base: Version | None = None) -> None:
-    """Make ``df`` the cache; with ``base``, the version it was made from, another writer's work is not undone (``Conflict``)."""
-    write_version(df, path, base)
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+
+
+def write_cache(df: DataFrame, path: str, base: Version | None = None) -> Version:
+    """Make ``df`` the whole cache; with ``base``, the version it was made from, another writer's work is not undone (``Conflict``)."""
+    rows = df.withColumn("bucket", _bucket())
+    return commit({"table": rows.repartition("bucket")}, path, base or current(df.sparkSession, path), by="bucket")
+
+
+def write_changes(spark: SparkSession, path: str, base: Version, new: DataFrame, gone: DataFrame) -> Version:
+    """The version after ``base`` with the rows of ``new`` (one a path) in place of older ones, and without the paths ``gone``.
+
+    Only buckets that have such paths are read and written; the others' files stay. Without any, nothing is written.
+    """
+    new = materialize(new.withColumn("bucket", _bucket()), "cache-changes")
+    gone = materialize(gone.select("path").withColumn("bucket", _bucket()), "cache-gone")
+    touched = [str(r[0]) for r in new.select("bucket").union(gone.select("bucket")).distinct().collect()]  # BUCKETS at most
+    if touched:
+        old = read_table(spark, base, "table", SCHEMA, touched)
+        merged = upsert(old.join(gone, "path", "left_anti"), new).withColumn("bucket", _bucket())
+        keep = [p for p in base.tables.get("table", {}) if p not in touched]
+        base = commit({"table": merged.repartition("bucket")}, path, base, {"table": keep}, "bucket")
+    discard(new, gone)
+    return base

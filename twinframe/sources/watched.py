@@ -81,7 +81,7 @@ def write_watched(spark: SparkSession, path: str, new: DataFrame, params: Params
             raise ValueError("the watched set was made with other parameters")
         merged = materialize(upsert_status(read_table(spark, version, "items", SCHEMA), new), "watched-merged")
         counts = {r["status"]: r["count"] for r in merged.groupBy("status").count().collect()}
-        if (lost := version.rows.get("items", 0) - sum(n for k, n in counts.items() if k != "added")) > 0:
+        if (lost := version.rows("items") - sum(n for k, n in counts.items() if k != "added")) > 0:
             raise Unreadable(f"{path}: {lost} items are missing")
         try:
             commit({"items": merged.select("video_id", "hashes"), "meta": spark.createDataFrame([(params.num_frames, params.hash_size)], META).coalesce(1)}, path, version)

@@ -19,9 +19,8 @@ def maintain_cache(files: DataFrame, path: str, params: Params, checkpoint: str,
         known = cache.read_cache(spark, path, base)
         todo = cache.classify(batch.dropDuplicates(["path"]), known, params)
         done = materialize(decode.hash_files(todo.filter("class in ('miss', 'stale')"), params, open_media), "hashed")
-        if not done.isEmpty():
-            cache.write_cache(cache.upsert(known, cache.rows_of(done, params)), path, base)
-            vacuum(spark, path)
+        cache.write_changes(spark, path, base, cache.rows_of(done, params), done.limit(0))
+        vacuum(spark, path)
         discard(done)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
