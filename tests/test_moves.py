@@ -1,6 +1,7 @@
 """Free names by claims against names given in turn."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,76 @@ def test_numbered_files_of_one_family_are_many_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.fixture
+def some(spark, tmp_path):
+    """A plan over files of their own names' contents, some of which cannot be moved."""
+
+    def make(name):
+        folder = tmp_path / name
+        (folder / "out").mkdir(parents=True)
+        rows = []
+        for i in range(12):
+            (folder / f"f{i}.mp4").write_text(f"{name} {i}")
+            rows.append((f"{folder}/f{i}.mp4", f"{folder}/out/g{i}.mp4", "move", "failed" if i == 5 else "planned"))
+        (folder / "f7.mp4").unlink()
+        (folder / "out" / "g8.mp4").write_text("there")
+        return folder, spark.createDataFrame(rows, "src string, dest string, action string, status string").coalesce(1)
+
+    return make
+
+
+def tree(folder):
+    return {str(p.relative_to(folder)): p.read_text().split()[-1] for p in folder.rglob("*.mp4")}
+
+
+@pytest.mark.parametrize("stop", range(9))
+@pytest.mark.parametrize("when", ["before", "copied", "after"])
+def test_moves_that_were_stopped_are_finished(some, monkeypatch, stop, when):
+    whole, plan = some("whole")
+    want = moves.apply_moves(plan)
+    folder, plan = some("stopped")
+    journal, n = str(folder / ".journal"), iter(range(100))
+    plain = moves.shutil.move
+
+    def stopping(src, dest):
+        k = next(n)
+        if k == stop and when != "after":
+            if when == "copied":
+                Path(dest).write_text("half")
+            raise KeyboardInterrupt
+        out = plain(src, dest)
+        if k == stop:
+            raise KeyboardInterrupt
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(moves.shutil, "move", stopping)
+        with pytest.raises(KeyboardInterrupt):
+            moves.apply_moves(plan, journal)
+    with open(f"{journal}/log", "a") as f:
+        f.write("1")  # a line that was cut off
+    got = moves.resume_moves(journal)
+    names = lambda paths: {Path(p).name for p in paths}
+    assert got[:2] == want[:2] == (9, 3) and names(got[2]) == names(want[2]) and tree(folder) == tree(whole)
+    assert not Path(journal).exists() and moves.resume_moves(journal) == (0, 0, set())
+
+
+def test_a_plan_that_was_not_stored_whole_is_not_begun(some, monkeypatch):
+    folder, plan = some("draft")
+    with monkeypatch.context() as m:
+        m.setattr(moves.os, "replace", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            moves.apply_moves(plan, str(folder / ".journal"))
+    assert moves.resume_moves(str(folder / ".journal")) == (0, 0, set()) and len(tree(folder)) == 12
+    assert moves.apply_moves(plan, str(folder / ".journal"))[:2] == (9, 3)
+
+
+def test_stats_are_lines_of_csv(tmp_path):
+    from twinframe.plans.stats import append_stats
+
+    at = str(tmp_path / "stats.csv")
+    append_stats(at, {"a": 1, "other": 3}, ["a", "b"])
+    append_stats(at, {"b": "x,y"}, ["a", "b"])
+    assert Path(at).read_text().splitlines() == ["a,b", "1,N/A", 'N/A,"x,y"']

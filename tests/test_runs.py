@@ -106,3 +106,23 @@ def test_cache_is_kept_from_a_stream(spark, folder, tmp_path):
         maintain_cache(stream, str(tmp_path / "cache"), P, str(tmp_path / "checkpoint"), ArrayMedia).awaitTermination(120)
         kept = cache.read_cache(spark, str(tmp_path / "cache"))
         assert {r.path.rsplit("/", 1)[1]: r.status for r in kept.collect()} == {"a.mp4": "OK", "b.MKV": "OK", "c.avi": "OK", "short.mov": "SKIPPED", "cut.flv": "SKIPPED", "bad.mp4": "SKIPPED"}
+
+
+def test_a_run_finishes_the_moves_of_one_that_was_stopped(spark, folder, monkeypatch):
+    from twinframe.operators import moves
+
+    n, plain = iter(range(100)), moves.shutil.move
+
+    def stopping(src, dest):
+        if next(n) == 1:
+            raise KeyboardInterrupt
+        return plain(src, dest)
+
+    with monkeypatch.context() as m:
+        m.setattr(moves.shutil, "move", stopping)
+        with pytest.raises(KeyboardInterrupt):
+            runs.find_similar(spark, str(folder), P, move_duplicates=True, move_skipped=True, open_media=ArrayMedia)
+    found = runs.find_similar(spark, str(folder), P, move_duplicates=True, move_skipped=True, open_media=ArrayMedia)
+    assert found.moved == {"duplicates": (2, 0), "skipped": (3, 0)}
+    assert sorted(x.name for x in (folder / "duplicate_videos").iterdir()) == ["a.mp4", "b.MKV"]
+    assert sorted(x.name for x in (folder / "skipped_videos").iterdir()) == ["bad.mp4", "cut.flv", "short.mov"]

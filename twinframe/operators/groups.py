@@ -59,3 +59,11 @@ def group_report(scores: DataFrame, files: DataFrame, members: DataFrame | None
     order = numbered(scores.select("group_id", "avg_similarity"), "group_no", F.desc("avg_similarity"), "group_id")
     rows = members.join(order, "group_id")
     return rows.join(files.select("path", "size_bytes"), "path", "left").select("group_no", "path", "avg_similarity", human_size(F.col("size_bytes")).alias("size_text"))
+
+
+def totals(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: the numbers of items and of their pairs, of groups, and of the files in groups, all of which are moved."""
+    items = classes.agg(F.count("*").alias("n_items"))
+    found = groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum("n_members"), F.lit(0)).cast("bigint").alias("n_to_move"))
+    both = items.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one")
+    return both.select("n_items", (F.col("n_items") * (F.col("n_items") - 1) / 2).cast("bigint").alias("n_pairs"), "n_groups", "n_to_move")

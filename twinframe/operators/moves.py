@@ -14,8 +14,10 @@ costs one task no more than that, and numbered files of one family are as many l
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,17 +95,108 @@ def move_plan(files: DataFrame, folder: str, existing: DataFrame | None = None,
     )
 
 
-def apply_moves(plan: DataFrame) -> tuple[int, int, set[str]]:
-    """Moves what is planned, from the driver: numbers of files moved and failed, and the paths moved."""
-    moved, failed = set(), 0
-    for r in plan.toLocalIterator():
-        if r["status"] != "planned" or not os.path.isabs(r["src"]) or not os.path.exists(r["src"]) or os.path.exists(r["dest"]):
-            failed += 1
-            continue
-        try:
-            os.makedirs(os.path.dirname(r["dest"]), exist_ok=True)
-            shutil.move(r["src"], r["dest"])
-            moved.add(r["src"])
-        except OSError:
-            failed += 1
+class Journal:
+    """A plan that is being carried out, and what has been done of it, in a folder of its own.
+
+    The plan is stored before the first move, and each move is noted before it begins and after it ended. A run
+    that was stopped goes on from there, and ends with the files and counts of one that was not.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.plan, self.log = folder, os.path.join(folder, "plan"), os.path.join(folder, "log")
+
+    def exists(self) -> bool:
+        return os.path.exists(self.plan)
+
+    def store(self, plan: DataFrame) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        with open(self.plan + ".draft", "w", encoding="utf-8") as f:
+            for r in plan.toLocalIterator():
+                f.write(json.dumps([r["src"], r["dest"], r["status"]]) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(self.plan + ".draft", self.plan)
+
+    def read(self) -> tuple[Iterator[tuple[str, str | None, str]], dict[int, str]]:
+        """The plan's rows, and the last word on each that was begun: "begun", "moved" or "failed"."""
+        said: dict[int, str] = {}
+        if os.path.exists(self.log):
+            with open(self.log, encoding="utf-8") as f:
+                for line in f:
+                    x = line.split()
+                    if line.endswith("\n") and len(x) == 2 and x[1] in ("begun", "moved", "failed"):  # else it was cut off
+                        said[int(x[0])] = x[1]
+        return (tuple(json.loads(x)) for x in open(self.plan, encoding="utf-8")), said
+
+    def end(self) -> None:
+        shutil.rmtree(self.folder)
+
+
+def _move(src: str, dest: str) -> bool:
+    try:
+        os.makedirs(os.path.dirname(dest), exist_ok=True)
+        shutil.move(src, dest)
+        return True
+    except OSError:
+        return False
+
+
+def _can_move(src: str, dest: str | None, status: str) -> bool:
+    return status == "planned" and dest is not None and os.path.isabs(src) and os.path.exists(src) and not os.path.exists(dest)
+
+
+def apply_moves(plan: DataFrame, journal: str | None = None) -> tuple[int, int, set[str]]:
+    """Moves what is planned, from the driver: numbers of files moved and failed, and the paths moved.
+
+    ``journal`` is a folder for a ``Journal``; an unfinished one there is finished first, and counts too.
+    """
+    if journal is None:
+        rows = ((r["src"], r["dest"], r["status"]) for r in plan.toLocalIterator())
+        done = [(src, _can_move(src, dest, status) and _move(src, dest)) for src, dest, status in rows]
+        moved = {src for src, ok in done if ok}
+        return len(moved), len(done) - len(moved), moved
+    before = resume_moves(journal)
+    Journal(journal).store(plan)
+    after = resume_moves(journal)
+    return before[0] + after[0], before[1] + after[1], before[2] | after[2]
+
+
+def resume_moves(journal: str) -> tuple[int, int, set[str]]:
+    """Finish what a journal says; the counts are those of the whole plan. Without a journal nothing is done."""
+    book, moved, failed = Journal(journal), set(), 0
+    if not book.exists():
+        return 0, 0, moved
+    rows, said = book.read()
+    with open(book.log, "a", encoding="utf-8") as log:
+
+        def say(i: int, word: str) -> None:
+            log.write(f"{i} {word}\n")
+            log.flush()
+            os.fsync(log.fileno())
+
+        log.write("" if os.path.getsize(book.log) == 0 else "\n" * _cut_off(book.log))
+        for i, (src, dest, status) in enumerate(rows):
+            word = said.get(i)
+            if word == "begun":  # the name was free then: what is there now is this move's
+                if not os.path.exists(src):
+                    word = "moved" if os.path.exists(dest) else "failed"
+                elif os.path.exists(dest):
+                    os.remove(dest)  # half a copy
+            if word not in ("moved", "failed"):
+                word = "failed"
+                if _can_move(src, dest, status):
+                    say(i, "begun")
+                    word = "moved" if _move(src, dest) else "failed"
+                say(i, word)
+            failed += word == "failed"
+            if word == "moved":
+                moved.add(src)
+    book.end()
     return len(moved), failed, moved
+
+
+def _cut_off(path: str) -> bool:
+    """Whether a file ends within a line."""
+    with open(path, "rb") as f:
+        f.seek(-1, os.SEEK_END)
+        return f.read(1) != b"\n"

@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.operators.groups import group_members, group_report, group_scores
-from twinframe.operators.moves import apply_moves, move_plan
+from twinframe.operators.groups import group_members, group_report, group_scores, totals
+from twinframe.operators.moves import apply_moves, move_plan, resume_moves
 from twinframe.operators.similarity import similar_classes
 from twinframe.operators.watched import split_watched
 from twinframe.params import CACHE_NAME, RESERVED_FOLDERS, Params
@@ -64,10 +64,14 @@ class Found:
     added: dict[str, int]
 
 
+def _journal(folder: str, name: str) -> str:
+    return os.path.join(folder, f".moves_to_{name}")
+
+
 def _move(files: DataFrame, folder: str, name: str, rename: bool) -> tuple[int, int, set[str]]:
     to = os.path.join(folder, name)
     there = files.sparkSession.createDataFrame([(x,) for x in (os.listdir(to) if os.path.isdir(to) else [])], "name string")
-    return apply_moves(move_plan(files, to, there, rename))
+    return apply_moves(move_plan(files, to, there, rename), _journal(folder, name))
 
 
 def find_similar(
@@ -86,26 +90,34 @@ def find_similar(
             if not adopt_params:
                 raise ValueError("the watched set was made with other parameters")
             params = Params(meta["num_frames"], meta["hash_size"], params.threshold, params.skip_duration)
+    # Moves that an earlier run began are finished first; they count among this run's.
+    begun = {kind: resume_moves(_journal(folder, name))[:2] for kind, name in zip(("duplicates", "watched", "skipped"), RESERVED_FOLDERS, strict=True)}
+    moved: dict[str, tuple[int, int]] = {}
+
+    def move(kind: str, files: DataFrame, name: str, rename: bool) -> None:
+        n, failed, _ = _move(files, folder, name, rename)
+        moved[kind] = (begun[kind][0] + n, begun[kind][1] + failed)
+
     signatures, skipped = hash_folder(spark, folder, params, recursive, cache_name, open_media)
     signatures, skipped = materialize(signatures, "signatures"), materialize(skipped, "skipped")
-    moved: dict[str, tuple[int, int]] = {}
     split, rest = None, signatures
     if seen is not None:
         split = materialize(split_watched(signatures, watched.pool(seen, params.words), params), "split")
         rest = signatures.join(split.filter("not is_watched"), "path", "left_semi")
         if move_watched:
-            moved["watched"] = _move(split.filter("is_watched").select("path", F.lit(0).alias("seq")), folder, RESERVED_FOLDERS[1], True)[:2]
+            move("watched", split.filter("is_watched").select("path", F.lit(0).alias("seq")), RESERVED_FOLDERS[1], True)
     classes, pairs = (materialize(x, "similar") for x in similar_classes(rest, params, strategy))
     members = materialize(group_members(classes, pairs), "members")
     groups = materialize(group_scores(classes, pairs, members), "groups")
-    log.info("%d similar pairs of distinct signatures, %d groups", pairs.count(), groups.count())
+    total = totals(classes, groups).first()
+    log.info("%d items, %d pairs of them compared; %d similar pairs of distinct signatures, %d groups, %d files to move", total["n_items"], total["n_pairs"], pairs.count(), total["n_groups"], total["n_to_move"])
     report = materialize(group_report(groups, list_media(spark, folder, recursive), members), "report")
     gone = rest.limit(0).select("path")
     if move_duplicates:
-        moved["duplicates"] = _move(report.select("path", F.col("group_no").alias("seq")), folder, RESERVED_FOLDERS[0], True)[:2]
+        move("duplicates", report.select("path", F.col("group_no").alias("seq")), RESERVED_FOLDERS[0], True)
         gone = report.select("path")
     if move_skipped:
-        moved["skipped"] = _move(skipped.select("path", F.lit(0).alias("seq")), folder, RESERVED_FOLDERS[2], False)[:2]
+        move("skipped", skipped.select("path", F.lit(0).alias("seq")), RESERVED_FOLDERS[2], False)
     unique = final_unique(rest, gone)
     added = watched.write_watched(spark, watched_db, watched.entries(unique, params.words), params) if watched_db else {}
     return Found(groups, members, report, split, unique, skipped, moved, added)

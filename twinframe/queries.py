@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinframe.functions import paths
 from twinframe.functions.signatures import aligned_similarity, average_hash, frame_indices, to_hex
 from twinframe.operators import metric_index
-from twinframe.operators.groups import group_members, group_scores
+from twinframe.operators.groups import group_members, group_scores, totals
 from twinframe.operators.groups import group_report as report_of
 from twinframe.operators.groups import similar_groups as groups_of
 from twinframe.operators.moves import move_plan as plan_of
@@ -126,6 +126,11 @@ def group_report(spark, sf_dir):
     return report_of(scores, _docs(spark, sf_dir).select("path", "size_bytes"), members)
 
 
+def group_totals(spark, sf_dir):
+    classes, pairs = _classes(spark, sf_dir)
+    return totals(classes, group_scores(classes, pairs, materialize(group_members(classes, pairs), "members")))
+
+
 def _pool(e: DataFrame) -> DataFrame:
     return e.filter("label = 0").select(F.explode("hashes").alias("hash"))
 
@@ -255,7 +260,7 @@ def move_plan(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        frame_sample_indices, frame_hashes_doc, frame_hashes_emb, skipped_inputs, pair_similarity, similar_pairs_brute, similar_pairs_mih, similar_pairs_emb, similar_groups, group_report, watched_nn_distance, metric_index_range,
+        frame_sample_indices, frame_hashes_doc, frame_hashes_emb, skipped_inputs, pair_similarity, similar_pairs_brute, similar_pairs_mih, similar_pairs_emb, similar_groups, group_report, group_totals, watched_nn_distance, metric_index_range,
         watched_split, unwatched_set, cache_classify, cache_stats, cache_prune, cache_upsert, cache_store, file_listing, watched_upsert_status, watched_store, final_unique, inspect_db, move_plan,
     )
 }
@@ -304,6 +309,8 @@ ORACLE_SQL: dict[str, str] = {
     "group_report": f"""WITH RECURSIVE {_GROUPS}, nr AS (SELECT group_id, avg_similarity, CAST(row_number() OVER (ORDER BY avg_similarity DESC, group_id) AS INTEGER) AS group_no FROM sc)
       SELECT group_no, co.x AS path, avg_similarity, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.2f B', CAST(n_chars AS DOUBLE)) WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.2f MB', n_chars / 1048576.0::DOUBLE) END AS size_text
       FROM nr JOIN co ON co.g = nr.group_id JOIN d ON d.path = co.x""",
+    "group_totals": f"""WITH RECURSIVE {_GROUPS}, n AS (SELECT count(*) AS n FROM sg)
+      SELECT n AS n_items, CAST(n * (n - 1) // 2 AS BIGINT) AS n_pairs, (SELECT count(*) FROM gr) AS n_groups, CAST((SELECT coalesce(sum(n_members), 0) FROM gr) AS BIGINT) AS n_to_move FROM n""",
     "watched_nn_distance": f"WITH {_W} SELECT lpad(lower(to_hex(h)), 4, '0') AS hash, CAST(least(dist, 16) AS INTEGER) AS distance FROM nn",
     "metric_index_range": f"""WITH {_E}, s AS (SELECT DISTINCT h FROM eh WHERE label IN (0, 1)), q AS (SELECT DISTINCT h FROM eh WHERE label > 1)
       SELECT lpad(lower(to_hex(q.h)), 4, '0') AS hash, lpad(lower(to_hex(s.h)), 4, '0') AS seen, CAST(bit_count(xor(q.h, s.h)) AS INTEGER) AS distance FROM q JOIN s ON bit_count(xor(q.h, s.h)) <= 2""",
