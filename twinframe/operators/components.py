@@ -67,3 +67,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     leaves = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+def add_edges(components: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component)`` after new edges, from what they were before.
+
+    Ends are replaced by the components they are in, so only new edges between components are contracted, and
+    the nodes of components that meet get the smallest of their labels. Nodes that are new join.
+    """
+    label = components.select(F.col("node").alias("end_"), F.col("component").alias("label_"))
+    known = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    for end in (src, dst):
+        known = known.join(label.withColumnRenamed("end_", end), end, "left").withColumn(f"{end}_", F.coalesce("label_", end)).drop("label_")
+    met = connected_components(known.select(F.col(f"{src}_").alias("src"), F.col(f"{dst}_").alias("dst")))
+    moved = met.select(F.col("node").alias("component"), F.col("component").alias("to_"))
+    old = components.join(moved, "component", "left").select("node", F.coalesce("to_", "component").alias("component"))
+    return old.unionByName(met.join(components, "node", "left_anti"))

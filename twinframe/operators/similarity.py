@@ -70,6 +70,19 @@ def _by_blocks(wide: DataFrame, n: int, most: int, block: int) -> DataFrame:
     )
 
 
+def pairs_between(new: DataFrame, old: DataFrame, params: Params, block: int = 4096) -> DataFrame:
+    """``(a, b, similarity)``, a from ``new`` and b from ``old`` (path, hashes): all similar pairs, by blocks."""
+    n, most = params.num_frames * params.words, widest(params.threshold, params.num_frames, params.bits)
+    sides = [_wide(x.filter(F.size("hashes") == n), n) for x in (new, old)]
+    of_new, of_old = (_blocks(x.sparkSession, x.count(), block) for x in sides)
+    own = lambda k: F.pmod(F.xxhash64("path"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = sides[0].withColumn("x", own(of_new)).withColumn("y", every(of_old)).alias("a")
+    b = sides[1].withColumn("y", own(of_old)).withColumn("x", every(of_new)).hint("shuffle_hash").alias("b")
+    met = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & _close(n, most))
+    return met.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), similarity(_distance(n), F.lit(params.num_frames), params.bits).alias("similarity"))
+
+
 def band_radii(most: int, bands: int, slack: int = 0) -> list[int]:
     """A radius for each band, -1 where it is not used, so that the sum of all r + 1 is ``most`` + 1 + ``slack``, if radii up to 1 allow it."""
     share, more = divmod(most + 1, bands)

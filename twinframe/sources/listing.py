@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import operator
 import os
+import time
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from twinframe.params import CACHE_NAME, MEDIA_EXTENSIONS, RESERVED_FOLDERS
 
@@ -37,7 +38,7 @@ def _media(name: str) -> bool:
 def _row(path: str):
     try:
         s = os.stat(path)
-        return path, s.st_mtime, s.st_size
+        return (path, s.st_mtime, s.st_size), s.st_ctime
     except OSError:
         return None
 
@@ -78,6 +79,10 @@ class _Reader(DataSourceReader):
         return out + [Folder(f, self.recursive) for f in level]
 
     def read(self, partition) -> Iterator[tuple]:
+        return (row for row, _ in self.found(partition))
+
+    def found(self, partition) -> Iterator[tuple[tuple, float]]:
+        """Rows, each with the time at which the file came into being, was moved here or was changed last."""
         try:
             for folder, below, names in os.walk(partition.path):
                 below[:] = [x for x in below if x not in RESERVED_FOLDERS and self._may_hold(os.path.join(folder, x))] if partition.deep else []
@@ -86,14 +91,44 @@ class _Reader(DataSourceReader):
                     if not _media(x) or not all(path.startswith(b) for b in self.begins) or not (self.recursive or os.path.isfile(path)):
                         continue
                     row = _row(path)
-                    if row and all(TESTS[kind](row[at], value) for at, kind, value in self.tests):
+                    if row and all(TESTS[kind](row[0][at], value) for at, kind, value in self.tests):
                         yield row
         except OSError:
             return
 
 
+class Between(Folder):
+    """What a folder got after one time and up to another."""
+
+    def __init__(self, folder: Folder, after: float, until: float):
+        super().__init__(folder.path, folder.deep)
+        self.after, self.until = after, until
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are times: a batch has the files that came, were moved here or were changed between two of them."""
+
+    def __init__(self, reader: _Reader, lag: float):
+        self.reader, self.lag = reader, lag
+
+    def initialOffset(self) -> dict:
+        return {"until": 0.0}
+
+    def latestOffset(self) -> dict:
+        return {"until": time.time() - self.lag}
+
+    def partitions(self, start: dict, end: dict):
+        return [Between(f, start["until"], end["until"]) for f in self.reader.partitions()]
+
+    def read(self, partition) -> Iterator[tuple]:
+        return (row for row, at in self.reader.found(partition) if partition.after < at <= partition.until)
+
+
 class MediaFiles(DataSource):
-    """``spark.read.format("media_files").option("recursive", "true").load(folder)``; the session has to allow pushed filters (``PUSHDOWN``)."""
+    """``spark.read.format("media_files").option("recursive", "true").load(folder)``; the session has to allow pushed filters (``PUSHDOWN``).
+
+    As a stream, ``lag`` seconds (1 by default) are waited for clocks that differ and for changes that are not seen at once.
+    """
 
     @classmethod
     def name(cls):
@@ -102,6 +137,9 @@ class MediaFiles(DataSource):
     def schema(self):
         return "path string, mtime double, size_bytes bigint"
 
+    def streamReader(self, schema):
+        return _StreamReader(self.reader(schema), float(self.options.get("lag", "1")))
+
     def reader(self, schema):
         return _Reader(self.options["path"], str(self.options.get("recursive", "false")).lower() == "true", int(self.options.get("folders", "256")))
 
@@ -113,5 +151,11 @@ def list_media(spark: SparkSession, folder: str, recursive: bool = False, folder
     return spark.read.format("media_files").option("recursive", str(recursive).lower()).option("folders", str(folders)).load(os.path.abspath(folder))
 
 
+def stream_media(spark: SparkSession, folder: str, recursive: bool = False, lag: float = 1.0) -> DataFrame:
+    """A stream of the same rows: each file when it comes and whenever it changes."""
+    spark.dataSource.register(MediaFiles)
+    return spark.readStream.format("media_files").option("recursive", str(recursive).lower()).option("lag", str(lag)).load(os.path.abspath(folder))
+
+
 def cache_path(folder: str, name: str = CACHE_NAME) -> str:
     return os.path.abspath(os.path.join(folder, name))
