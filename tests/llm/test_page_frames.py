@@ -111,3 +111,70 @@ def test_whole_operator_against_brute_force(spark):
     assert sum("Sent by" in t for t in want.values()) < 60
     assert n > 300
     assert html_text.shared_lines(html_text.parse_pages(df)).selectExpr("sum(n_shared)").first()[0] == n
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>It <b title=don't>is</b> here</p><p>and don't go</p>", "It is here and don't go"),
+    ("<p title='a>b' data-x=\"c>d\">one</p><p class= x>two</p><p class=a=\"b>c\">three</p>", 'one two c">three'),
+    ('<p><a href="unclosed>link</a> text</p><p>more</p>', "link text more"),
+    ('<form id="aspnetForm"><input><div>Menu bar</div><article><p>Body</p></article><p>Below</p></form>', "Body"),
+    ('<form id="aspnetForm"><nav>Menu</nav><div class="x"><p>All of it</p></div></form>', "All of it"),
+    ("<p>Text</p><form><p>Name</p><p>Address</p></form>", "Text"),
+    ('<article><p>Text</p><form><p>Leave a message</p></form></article>', "Text"),
+    ('<article><p>T</p></article><article id="comment-12"><p>First!</p></article><article class="comment"><p>Second</p></article>', "T"),
+    ('<article class="post comments-open"><p>Open</p></article>', "Open"),
+    ('<div class="comments"><article><p>Of a reader</p></article></div><article><p>T</p></article>', "T"),
+    ('<nav>a<article><p>one</p></article><article><p>two</p></article>', "one two"),
+])
+def test_markup_that_is_not_as_it_should_be(page, want):
+    assert main_lines(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<b>x", "<p>x<b>", "<nav>x<article>y", "</div>", "<i></b>", "<form>x", "<div><b></i>", '<a b="', "<p x='"])
+def test_deep_and_malformed_pages_take_time_in_proportion(unit):
+    import time
+
+    def seconds(k):
+        began = time.process_time()
+        html_text.lines("<i><div>" + unit * k)
+        return time.process_time() - began
+
+    seconds(100)
+    few, many = min(seconds(5000) for _ in range(3)), seconds(50_000)
+    assert many < 30 * few + 0.5
+
+
+def test_lines_equal_a_parser_of_its_own():
+    """Texts and their elements in well-formed pages, against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    rng = random.Random(5)
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.found = [], []
+
+        def handle_starttag(self, tag, attrs):
+            around = [t for t, _ in self.open]
+            frame = tag in ("nav", "aside", "footer") or dict(attrs).get("class") in ("sidebar", "comment") or tag == "header" and "article" not in around
+            self.open.append((tag, frame))
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.found.append((" ".join(data.split()), any(f for _, f in self.open), any(t == "article" for t, _ in self.open)))
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "<p>" + "".join(rng.choice(("a &amp; b ", "caf&eacute; ", "x\n y ", "1 &lt; 2 ")) for _ in range(rng.randint(1, 3))) + "</p>"
+        name = rng.choice(("div", "section", "nav", "aside", "footer", "header", "article", 'div class="sidebar"', "div class=comment", "div title=it's"))
+        return f"<{name}>" + "".join(node(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{name.split()[0]}>"
+
+    for _ in range(200):
+        page = "<html><body>" + "".join(node(4) for _ in range(3)) + "</body></html>"
+        parser = Texts()
+        parser.feed(page)
+        assert [(x.text, x.outside, x.article) for x in html_text.lines(page)] == parser.found, page

@@ -15,7 +15,10 @@ other lines, which the nearest witness decides, the next one is asked.
 
 What a class, id or role says about an element counts if the whole word is known for page frames, or
 all parts between hyphens are known or say nothing (``cookie-banner-wrapper``, but not ``ad-free``).
-It counts for nothing on body and article elements.
+It counts for nothing on body elements, and on an article's element only if it says that this is a reader's comment.
+
+A form is no main text, unless an article's element begins in it or nothing else on the page can be main
+text: some sites put one form around the whole page.
 
 Neighbours are found without a window over a host: light rows (line hashes only) are put in order
 by a range exchange, numbered, and cut into blocks of consecutive rows with the neighbours on
@@ -36,6 +39,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,16 +48,17 @@ from pyspark.sql import types as T
 
 from twinframe.sources.shared import materialize
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
+#: A comment or declaration, or a tag; quotes in a tag count only where a value begins.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""")
 
 # Element names and words in class, id and role attributes.
 RAW = frozenset("script style noscript template iframe canvas audio video noembed noframes textarea title".split())
 NESTED = frozenset("template noscript canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math object q rp rt ruby s samp small span strike strong sub sup svg time tt u var".split())
-WHOLE = frozenset("html body article main".split())
-NEVER = frozenset("nav aside footer head form button select option label fieldset menu dialog datalist input map".split())
+WHOLE = frozenset("html body main".split())
+NEVER = frozenset("nav aside footer head button select option label fieldset menu dialog datalist input map".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption caption address".split())
 ARTICLE_WORDS = frozenset("article-body articlebody post-content entry-content post-body story-body main-content article-content story article post entry content".split())
 OUTSIDE_WORDS = frozenset(
@@ -65,13 +70,96 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 CLOSED_BY = {"li": {"li"}, "p": set(), "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+# What an open element is besides an element.
+FRAME, COMMENT, FORM, ARTICLE, TEXT = 1, 2, 4, 8, 16
+KINDS = (FRAME, COMMENT, FORM, ARTICLE, TEXT)
+
+
 class Line:
     """A block's text: where it stands decides what differencing may do with it."""
 
-    __slots__ = ("text", "outside", "article", "prose")
-
-    def __init__(self, text: str, outside: bool, article: bool, prose: bool):
-        self.text, self.outside, self.article, self.prose = text, outside, article, prose
+    __slots__ = ("text", "outside", "form", "article", "prose")
+
+    def __init__(self, text: str, outside: bool, form: bool, article: bool, prose: bool):
+        self.text, self.outside, self.form, self.article, self.prose = text, outside, form, article, prose
+
+
+class Open:
+    """The open elements, outermost first. How many of a kind are open, and where the last one of a name is, is known without a search."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.kinds: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        self.places: dict[int, list[int]] = {k: [] for k in KINDS}
+        self.marked: Counter = Counter()  # open elements of a name that are no main text
+
+    def push(self, name: str, kind: int) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        for k in KINDS:
+            if kind & k:
+                self.places[k].append(len(self.names))
+        self.marked[name] += kind & (FRAME | COMMENT | FORM) > 0
+        self.names.append(name)
+        self.kinds.append(kind)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        while len(self.names) > depth:
+            name, kind = self.names.pop(), self.kinds.pop()
+            self.at[name].pop()
+            for k in KINDS:
+                if kind & k:
+                    self.places[k].pop()
+            self.marked[name] -= kind & (FRAME | COMMENT | FORM) > 0
+
+    def last(self, names) -> int:
+        """The depth of the innermost of these elements, -1 if none is open."""
+        return max((own[-1] for x in names if (own := self.at.get(x))), default=-1)
+
+    def close(self, names, stop=()) -> None:
+        """Close the innermost of these, and what is in it, unless one of ``stop`` is open in it."""
+        depth = self.last(names)
+        if depth >= 0 and depth > self.last(stop):
+            self.cut(depth)
+
+    def free_forms(self) -> None:
+        """The open forms hold a page, not fields."""
+        for depth in self.places[FORM]:
+            self.kinds[depth] &= ~FORM
+            self.marked[self.names[depth]] -= not self.kinds[depth] & (FRAME | COMMENT)
+        self.places[FORM] = []
+
+    def has(self, kind: int) -> bool:
+        return bool(self.places[kind])
+
+    def line(self, text: str) -> Line:
+        return Line(text, self.has(FRAME) or self.has(COMMENT), self.has(FORM), self.has(ARTICLE), self.has(TEXT))
+
+
+class Closings:
+    """Whether elements that are open at a place of a page are closed later on; each name's tags are looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.of = page, {}
+
+    def _tags(self, name: str) -> tuple[list[int], list[int], list[int]]:
+        """Places of a name's tags, how many are open after each, and the least of that from each place on."""
+        if name not in self.of:
+            found = [(m.start(), -1 if m[1] else 1) for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", self.page, re.I)]
+            after = list(accumulate((x for _, x in found), initial=0))
+            least = list(accumulate(reversed(after), min))[::-1]
+            self.of[name] = [x for x, _ in found], after, least
+        return self.of[name]
+
+    def all_closed(self, at: int, names: list[str]) -> bool:
+        """Whether the rest of the page closes all these open elements."""
+        for name, n in Counter(names).items():
+            places, after, least = self._tags(name)
+            k = bisect_left(places, at)
+            if least[k] > after[k] - n:
+                return False
+        return True
 
 
 def _named(attrs: str) -> tuple[bool, bool, bool, str]:
@@ -105,41 +193,18 @@ def _raw_end(page: str, name: str, at: int) -> int:
     return len(page)
 
 
-def _closed_later(page: str, at: int, names: list[str]) -> bool:
-    """Whether all these open elements are closed in the rest of a page, so that what begins now is inside them."""
-    for name in set(names):
-        left = names.count(name)
-        for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(page, at):
-            left += -1 if m[1] else 1
-            if not left:
-                break
-        if left:
-            return False
-    return True
-
-
 def lines(page: str) -> list[Line]:
     """A page's text lines in order, white space within a line as single spaces."""
     out: list[Line] = []
-    # Open elements: name, what they are (0 nothing, 1 outside, 2 outside because of comments), article, prose.
-    stack: list[tuple[str, int, bool, bool]] = []
-    text: list[str] = []
+    stack, closings, text = Open(), Closings(page), []
 
     def flush() -> None:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Line(joined, any(e[1] for e in stack), any(e[2] for e in stack), any(e[3] for e in stack)))
+                out.append(stack.line(joined))
             text.clear()
 
-    def close(names: set[str], stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -154,21 +219,21 @@ def lines(page: str) -> list[Line]:
             at = lt + 1
             continue
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if name in INLINE:
-                if any(e[0] == name and e[1] for e in stack):
+                if stack.marked[name]:
                     flush()
-                close({name}, frozenset(("p", "div", "article", "section", "li", "td", "body")))
-            elif any(e[0] == name for e in stack):
+                stack.close((name,), ("p", "div", "article", "section", "li", "td", "body"))
+            elif stack.at.get(name):
                 flush()
-                close({name})
+                stack.close((name,))
             elif name == "p":
                 flush()
             continue
-        attrs = m[3] or m[6] or ""
+        attrs = m[3] or ""
         if name == "br":
             text.append(" ")
             continue
@@ -181,31 +246,34 @@ def lines(page: str) -> list[Line]:
                 flush()
             continue
         frame, comments, body, role = _named(attrs) if attrs and name not in WHOLE else (False, False, False, "")
-        inside = any(e[2] for e in stack)
-        outside = 0
-        if comments:
-            outside = 2
-        elif name in NEVER or role in OUTSIDE_ROLES or frame or name == "header" and not inside:
-            outside = 1
-        article = not outside and (name in ("article", "main") or role in ("article", "main") or name in ("div", "section") and body)
+        kind = 0
+        if name == "article":
+            kind = COMMENT if comments and not body else FRAME if role in OUTSIDE_ROLES else 0
+        elif comments:
+            kind = COMMENT
+        elif name in NEVER or role in OUTSIDE_ROLES or frame or name == "header" and not stack.has(ARTICLE):
+            kind = FRAME
+        elif name == "form":
+            kind = FORM
+        if not kind & (FRAME | COMMENT) and (name in ("article", "main") or role in ("article", "main") or name in ("div", "section") and body):
+            kind |= ARTICLE
         if name in INLINE:
-            if outside:
+            if kind & (FRAME | COMMENT):
                 flush()
-                stack.append((name, outside, False, False))
-            else:
-                stack.append((name, 0, False, False))
+            stack.push(name, kind & (FRAME | COMMENT))
             continue
         flush()
-        if name in ("article", "main") and not outside and not any(e[1] == 2 for e in stack):
+        if kind & ARTICLE:
+            stack.free_forms()
+        if kind & ARTICLE and name in ("article", "main") and not stack.has(COMMENT) and stack.has(FRAME):
             # An article begins: what of the page's frame was left open ends here, unless it is closed later on.
-            first = next((k for k, e in enumerate(stack) if e[1]), None)
-            if first is not None and not _closed_later(page, at, [e[0] for e in stack[first:] if e[1]]):
-                del stack[first:]
+            if not closings.all_closed(at, [stack.names[k] for k in stack.places[FRAME]]):
+                stack.cut(stack.places[FRAME][0])
         if name != "p" and name in CLOSED_BY:
-            close(CLOSED_BY[name], frozenset(("ul", "ol", "dl", "table", "menu", "select", "article", "div", "section", "nav")))
+            stack.close(CLOSED_BY[name], ("ul", "ol", "dl", "table", "menu", "select", "article", "div", "section", "nav"))
         else:
-            close({"p"}, frozenset(("article", "main", "div", "section", "li", "td", "blockquote", "nav", "aside", "footer", "form")))
-        stack.append((name, outside, article, name in PROSE))
+            stack.close(("p",), ("article", "main", "div", "section", "li", "td", "blockquote", "nav", "aside", "footer", "form"))
+        stack.push(name, kind | (TEXT if name in PROSE else 0))
     flush()
     return out
 
@@ -285,8 +353,9 @@ def _few_pairs(own: list[int], other: list[int]) -> list[int]:
 
 
 def candidates(found: list[Line]) -> list[Line]:
-    """The lines that may be main text, before differencing: those in article elements if there are any, without the page's frame."""
+    """The lines that may be main text, before differencing: those in article elements if there are any, without the page's frame and forms."""
     free = [x for x in found if not x.outside]
+    free = [x for x in free if not x.form] or free
     return [x for x in free if x.article] if any(x.article for x in free) else free
 
 
