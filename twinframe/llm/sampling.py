@@ -21,7 +21,10 @@ def smallest(df: DataFrame, by: Column, n: int) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
-    """The rows with the largest counts, at most ``most``: whole classes of counts, eighths of a power of two, from the top."""
+    """The rows with the largest counts, at most ``most``: whole classes of counts, eighths of a power of two, from the top.
+
+    Where the top class alone has more, about half of ``most`` of its rows are taken by their hash.
+    """
     step = F.floor(F.log2(F.col(n_col).cast("double")) * 8)
     classes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()  # at most 512 rows
     left, edge = most, None
@@ -30,4 +33,7 @@ def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
         if left < 0:
             break
         edge = r["step"]
-    return counts.filter(step >= edge) if edge is not None else counts.limit(0)
+    if edge is None and classes:
+        top = counts.filter(step == max(r["step"] for r in classes))
+        return smallest(top, F.xxhash64(*counts.columns), max(1, most // 2))
+    return counts.filter(step >= edge) if classes else counts.limit(0)
