@@ -162,7 +162,7 @@ def test_group_report_equals_its_sql_on_the_larger_table(spark):
 
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS FROM '/root/testdata/sf0.1/documents.parquet'")
-    halves = con.sql("SELECT count(*) FROM documents WHERE n_chars % 1024 IN (128, 640)").fetchone()[0]
+    halves = con.sql("SELECT count(*) FROM documents WHERE n_chars % 1024 IN (128, 640)").fetchall()[0][0]
     want = con.sql("SELECT '/media/' || source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.mp4', printf('%.2f KB', n_chars / 1024.0::DOUBLE) FROM documents WHERE n_chars BETWEEN 1024 AND 1048575").fetchall()
     docs = entry.media._docs(spark, "/root/testdata/sf0.1")
     alone = docs.selectExpr("path AS group_id", "1.0D AS avg_similarity", "path")

@@ -19,5 +19,5 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
         before += r["n"]
     starts = F.broadcast(df.sparkSession.createDataFrame(starts, "part_ long, before_ long"))
     own = F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
-    out = rows.withColumn("part_", part).join(starts, "part_").withColumn(name, (F.col("before_") + own + 1).cast("int"))
+    out = rows.withColumn("part_", part).join(starts, "part_").withColumn(name, F.col("before_") + own + 1)
     return out.drop("part_", "before_", "at_")

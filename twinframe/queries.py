@@ -123,7 +123,8 @@ def group_report(spark, sf_dir):
     classes, pairs = _classes(spark, sf_dir)
     members = materialize(group_members(classes, pairs), "members")
     scores = group_scores(classes, pairs, members).withColumn("avg_similarity", F.round("avg_similarity", 6))
-    return report_of(scores, _docs(spark, sf_dir).select("path", "size_bytes"), members)
+    rows = report_of(scores, _docs(spark, sf_dir).select("path", "size_bytes"), members)
+    return rows.withColumn("group_no", F.col("group_no").cast("int"))
 
 
 def group_totals(spark, sf_dir):
