@@ -10,6 +10,7 @@ from twinframe.params import Params
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="twinframe", description=__doc__)
+    # The options' names, kinds and defaults.
     what = p.add_mutually_exclusive_group(required=True)
     what.add_argument("directory", nargs="?")
     what.add_argument("--create-watched-db-from", metavar="DIR")
