@@ -14,6 +14,9 @@ every two neighbours in it are what BPE makes of them, so of all pieces that end
 goes with the state where it begins. Words that start with several marks, whose pieces tie in rank,
 are merged step by step instead. All ways give the library's ids.
 
+A task holds a part of a batch (500 texts or 4 MiB of text, one longer text alone) and the words
+encoded so far, which are forgotten beyond ``remember`` bytes.
+
 Edge cases. A null text is encoded as an empty one, which has no pieces. Unknown characters become
 byte pieces if the model has them, else the unknown piece. Rows with null or repeated ids are kept;
 extra columns are ignored; an empty table gives none. Decoding gives back every text without U+2581
@@ -32,16 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinframe.llm.slices import slices
+
 MARK = "▁"
 #: Within this module a mark is a space.
 WORDS = re.compile(" *[^ ]+| +")
 UNIGRAM, BPE = 1, 2
+#: What an entry of the table of words takes in Python beside its characters and ids, about.
+ENTRY = 180
 
 
 class Codec:
-    """One model's pieces, and the words encoded so far (a table with a bound)."""
+    """One model's pieces, and the words encoded so far, in about ``remember`` bytes and one part's words."""
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 192 << 20):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -77,7 +84,7 @@ class Codec:
                 self.halves[i] = whole[p][1]
         else:
             self.candidates = self.ids
-        self.remember, self.marked, self.whole = remember, {}, {}
+        self.remember, self.held, self.marked, self.whole = remember, 0, {}, {}
         self.end_of_line = array("i", self._unknown("\n")).tobytes()
 
     # BPE
@@ -197,12 +204,14 @@ class Codec:
 
     def learn(self, marked: set[str], whole: set[str]) -> None:
         """Encode the words that aren't known: with a mark before them, or as they are."""
-        if len(self.marked) + len(self.whole) > self.remember:
+        if self.held > self.remember:
             self.marked.clear()
             self.whole.clear()
+            self.held = 0
         new = {" " + w for w in marked if w not in self.marked} | {w for w in whole if w not in self.whole}
         for w, ids in self.encode_sorted(sorted(new)):
             got = array("i", ids).tobytes()
+            self.held += ENTRY + len(w) + len(got)
             if w[0] == " " and w[1:] in marked:
                 self.marked[w[1:]] = got
             if w in whole:
@@ -246,13 +255,14 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True, id_col: str = "doc
 
         codec = Codec(path)
         for b in batches:
-            texts = b.column("text_").to_pylist()
-            got = codec.encode(texts)
-            same = [codec.decode(g) == (t or "") for g, t in zip(got, texts, strict=True)]
-            cols = [b.column("id_"), pa.array([len(g) // 4 for g in got], type=pa.int64()), pa.array(map(zlib.crc32, got), type=pa.int64()), pa.array(same)]
-            if keep_ids:
-                cols.append(pa.array([np.frombuffer(g, dtype="<i4") for g in got], type=pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+            for part in slices(b, "text_", 500):
+                texts = part.column("text_").to_pylist()
+                got = codec.encode(texts)
+                same = [codec.decode(g) == (t or "") for g, t in zip(got, texts, strict=True)]
+                cols = [part.column("id_"), pa.array([len(g) // 4 for g in got], type=pa.int64()), pa.array(map(zlib.crc32, got), type=pa.int64()), pa.array(same)]
+                if keep_ids:
+                    cols.append(pa.array([np.frombuffer(g, dtype="<i4") for g in got], type=pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     return src.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id_", id_col)
 
