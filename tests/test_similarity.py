@@ -106,3 +106,38 @@ def test_blocks_are_as_many_as_cores_need(spark):
     cores = spark.sparkContext.defaultParallelism
     many = similarity._blocks(spark, 10_000, 4096)
     assert many * (many + 1) // 2 >= 3 * cores and similarity._blocks(spark, 100, 4096) == 1 and similarity._blocks(spark, 10**6, 4096) == 245
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+@pytest.mark.parametrize("n, most, word_bits", [(20, 128, 64), (4, 19, 16), (3, 0, 64), (2, 60, 64), (8, 51, 64)])
+def test_close_pairs_of_a_task(indexed, n, most, word_bits):
+    """The sketch and the index lose no pair and give none twice, of one block or of two."""
+    import numpy as np
+
+    from twinframe.operators.kernels import Close
+
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 1 << 63, (40, n), dtype=np.uint64)[rng.integers(0, 40, 150)]
+    for row in x:  # copies with up to twice as many bits changed
+        for bit in rng.integers(0, 64 * n, rng.integers(0, 2 * most + 2)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    x = x & np.uint64((1 << word_bits) - 1)
+    far = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=int)
+    close = Close(n, most, word_bits, indexed)
+    for a, b, same in ((x, x, True), (x[:70], x[70:], False)):
+        got = sorted(p for i, j, d in close.pairs(a, b, same) for p in zip(i.tolist(), j.tolist(), d.tolist(), strict=True))
+        want = [(i, j, int(far[i, j if same else j + 70])) for i in range(len(a)) for j in range(len(b)) if (not same or i < j)]
+        assert got == [p for p in want if p[2] <= most] and got
+
+
+@pytest.mark.parametrize("strategy", ["blocks", "bands"])
+def test_wide_distances_shuffle_signatures_and_not_candidates(spark, strategy):
+    """Bits that most frames share: each pair agrees in some band. Blocks of one row and empty ones are among them."""
+    rng, p = random.Random(9), Params(20, 8, 90.0)
+    common = [rng.getrandbits(64) for _ in range(20)]
+    sig = {f"p{i:03}": noisy(rng, common, rng.choice((20, 60, 200, 500))) for i in range(60)}
+    df = signatures(spark, sig)
+    got = [(r.a, r.b, r.similarity) for r in similar_pairs(df, p, strategy, 2).collect()]
+    assert len(got) == len(set(got)) and {(a, b): s for a, b, s in got} == brute(sig, p)
+    plan = similar_pairs(df, p, strategy, 2)._jdf.queryExecution().toString()
+    assert "weight" not in plan

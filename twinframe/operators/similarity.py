@@ -2,21 +2,24 @@
 
 All strategies give the pairs whose summed distance is at most the widest similar one.
 
-``blocks`` compares all pairs: rows are dealt into blocks, and each pair of blocks is one key of an
-equi-join, so nothing is broadcast and no side has to fit in memory.
-
-``bands`` finds candidates first and verifies them after. Signatures are cut into bands of 16 bits, each
-with a radius r: pairs that agree in a band up to r bits have a match of weight r + 1. The bands in which a
-similar pair has no match cost it r + 1 bits each, so its matches weigh at least the sum of all r + 1 less
-the widest distance. One side lists its bands' values, the other looks up those and, at radius 1, their
-neighbours; what travels is numbers of rows, values and weights. Pairs with enough weight are joined with
+``blocks`` compares all pairs: rows are dealt into blocks, and each pair of blocks is one group of a
+task, so nothing is broadcast, no side has to fit in memory, and only signatures and the pairs found
+travel. ``operators.kernels`` compares a group's rows in tiles.
+
+``bands`` finds candidates first and verifies them after. Where few bits may differ, signatures are cut
+into bands of 16 bits, each with a radius r: pairs that agree in a band up to r bits have a match of weight
+r + 1. The bands in which a similar pair has no match cost it r + 1 bits each, so its matches weigh at least
+the sum of all r + 1 less the widest distance. One side lists its bands' values, the other looks up those;
+what travels is numbers of rows, values and weights. Pairs with enough weight are joined with
 their signatures and compared. A value that more than ``crowd`` signatures share is dealt into blocks,
 every pair of which is a key, so no key has more rows of either side. ``slack`` widens the radii beyond
 what one match needs: more look-ups, and fewer pairs to verify.
 
-At the usual settings (128 of 1280 bits) a signature looks up 864 values, each of which meets one in 65536
-of all others by chance: 38 times fewer comparisons than all pairs, but each is a shuffled row and not a few
-instructions. So ``auto`` takes bands where their look-ups are fewer than a hundredth of all pairs.
+Where neighbours of a value have to be looked up as well, or values are so common that more than MATCHES rows
+a signature would meet, none of that is shuffled: each pair of blocks has an index of its bands in its task
+(at 128 of 1280 bits: 65 bands, 1365 look-ups), and candidates are compared where they are found.
+``auto`` takes bands where they can be shuffled and their look-ups are fewer than a hundredth of all pairs,
+else blocks. At such wide distances both are quadratic in the end, in time only.
 Equal signatures are joined once: copies are classes.
 """
 
@@ -28,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions.signatures import similarity, total_distance, widest
-from twinframe.operators.crowds import dealt
+from twinframe.operators.crowds import CROWD, dealt
+from twinframe.operators.kernels import Close, dealt_pairs
 from twinframe.params import Params
 from twinframe.sources.shared import materialize
 
 BAND = 16
+#: Rows of a block at most, in one task; and pairs a signature that may meet in a shuffle of bands.
+BLOCK, MATCHES = 262_144, 200
 
 
 def _wide(signatures: DataFrame, n: int) -> DataFrame:
@@ -56,18 +62,29 @@ def _blocks(spark: SparkSession, rows: int, block: int) -> int:
     return max(1, -(-rows // block), min(ceil(sqrt(6 * cores)), rows // 256))
 
 
-def _by_blocks(wide: DataFrame, n: int, most: int, block: int) -> DataFrame:
-    blocks = _blocks(wide.sparkSession, wide.count(), block)
-    own = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
-    left = wide.withColumn("lo", own).withColumn("hi", F.explode(F.sequence(F.col("lo"), F.lit(blocks - 1))))
-    right = wide.withColumn("hi", own).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("hi"))))
-    # One key a pair of blocks, all of them in different partitions as far as there are any.
-    keyed = lambda df: df.withColumn("pair", F.col("lo") * blocks + F.col("hi"))
-    a, b = keyed(left).alias("a"), keyed(right).hint("shuffle_hash").alias("b")
-    once = (F.col("a.lo") < F.col("a.hi")) | (F.col("a.path") < F.col("b.path"))
-    return a.join(b, (F.col("a.pair") == F.col("b.pair")) & once & _close(n, most)).select(
-        F.least("a.path", "b.path").alias("a"), F.greatest("a.path", "b.path").alias("b"), _distance(n).alias("total")
-    )
+def _numbered(wide: DataFrame) -> DataFrame:
+    return materialize(wide.withColumn("id", F.monotonically_increasing_id()), "numbered-signatures")
+
+
+def _named(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(a, b, total)`` with paths for the numbers ``ia`` and ``ib``."""
+    of = lambda x: rows.select(F.col("id").alias(f"i{x}"), F.col("path").alias(x))
+    return found.join(of("a"), "ia").join(of("b"), "ib").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
+
+
+def _in_blocks(rows: DataFrame, n: int, most: int, block: int, word_bits: int, indexed: bool) -> DataFrame:
+    """``(ia, ib, total)`` of the close pairs of ``rows(id, h0, h1, ...)``, each pair of blocks in one task."""
+    blocks = _blocks(rows.sparkSession, rows.count(), block)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = rows.select("id", F.array(*(f"h{i}" for i in range(n))).alias("h"), own.alias("own")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("id", "h", "own", (F.least("own", "met") * blocks + F.greatest("own", "met")).alias("pair"))
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * (blocks + 1) // 2))
+    return met.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(dealt_pairs(Close(n, most, word_bits, indexed), blocks), "ia long, ib long, total int")
+
+
+def _by_blocks(wide: DataFrame, n: int, most: int, block: int, word_bits: int = 64) -> DataFrame:
+    rows = _numbered(wide)
+    return _named(_in_blocks(rows, n, most, block, word_bits, False), rows)
 
 
 def pairs_between(new: DataFrame, old: DataFrame, params: Params, block: int = 4096) -> DataFrame:
@@ -99,8 +116,7 @@ def candidates(rows: DataFrame, n: int, most: int, word_bits: int, slack: int =
     used = [(i, r) for i, r in enumerate(radii) if r >= 0]
     if not used:
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    value = lambda i: F.shiftrightunsigned(f"h{i // each}", BAND * (i % each)).bitwiseAND(F.lit((1 << BAND) - 1)).cast("int")
-    entry = lambda i, r: F.struct(F.lit(i).cast("short").alias("band"), value(i).alias("key"), F.lit(r + 1).alias("weight"))
+    entry = lambda i, r: F.struct(F.lit(i).cast("short").alias("band"), _value(i, each).alias("key"), F.lit(r + 1).alias("weight"))
     table = rows.select("id", F.explode(F.array(*(entry(*x) for x in used))).alias("e")).select("id", "e.band", "e.key", "e.weight")
     flips = F.array(F.lit(0), *(F.lit(1 << x) for x in range(min(BAND, word_bits))))
     probe = table.withColumn("mask", F.explode(F.when(F.col("weight") == 2, flips).otherwise(F.array(F.lit(0)))))
@@ -111,8 +127,32 @@ def candidates(rows: DataFrame, n: int, most: int, word_bits: int, slack: int =
     return met.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= enough).select("a", "b")
 
 
-def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int, slack: int, crowd: int) -> DataFrame:
-    rows = materialize(wide.withColumn("id", F.monotonically_increasing_id()), "numbered-signatures")
+def _value(i: int, each: int):
+    """The value of band ``i``, of ``each`` bands a word."""
+    return F.shiftrightunsigned(f"h{i // each}", BAND * (i % each)).bitwiseAND(F.lit((1 << BAND) - 1)).cast("int")
+
+
+def _few_matches(rows: DataFrame, n: int, most: int, word_bits: int, slack: int) -> bool:
+    """Whether bands look up no neighbours, and no more than MATCHES pairs a signature agree in one."""
+    each = -(-word_bits // BAND)
+    try:
+        radii = band_radii(most, n * each, slack)
+    except ValueError:
+        return False
+    if max(radii) > 0:
+        return False
+    used = [F.struct(F.lit(i).alias("band"), _value(i, each).alias("key")) for i, r in enumerate(radii) if r >= 0]
+    if not used:
+        return True
+    same = rows.select(F.explode(F.array(*used)).alias("e")).groupBy("e.band", "e.key").agg(F.count("*").cast("double").alias("n"))
+    met = same.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    return met <= MATCHES * rows.count()
+
+
+def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int, slack: int, crowd: int, block: int = BLOCK) -> DataFrame:
+    rows = _numbered(wide)
+    if not _few_matches(rows, n, most, word_bits, slack):
+        return _named(_in_blocks(rows, n, most, block, word_bits, True), rows)
     ids = candidates(rows, n, most, word_bits, slack, crowd).withColumnsRenamed({"a": "ia", "b": "ib"})
     found = ids.join(rows.alias("a"), F.col("ia") == F.col("a.id")).join(rows.alias("b"), F.col("ib") == F.col("b.id")).filter(_close(n, most))
     return found.select(F.least("a.path", "b.path").alias("a"), F.greatest("a.path", "b.path").alias("b"), _distance(n).alias("total"))
@@ -126,7 +166,7 @@ def _lookups(most: int, bands: int, word_bits: int, slack: int) -> int | None:
         return None
 
 
-def similar_classes(signatures: DataFrame, params: Params, strategy: str = "auto", block: int = 4096, slack: int = 0) -> tuple[DataFrame, DataFrame]:
+def similar_classes(signatures: DataFrame, params: Params, strategy: str = "auto", block: int | None = None, slack: int = 0) -> tuple[DataFrame, DataFrame]:
     """``classes(path, rep)``: the first path of those with equal signatures stands for all; and ``pairs(a, b, similarity)`` of representatives.
 
     Signatures of the wrong length or with nulls are left out.
@@ -140,12 +180,16 @@ def similar_classes(signatures: DataFrame, params: Params, strategy: str = "auto
     word_bits = min(64, params.bits)
     if strategy == "auto":
         lookups = _lookups(most, n * -(-word_bits // BAND), word_bits, slack)
-        strategy = "bands" if lookups is not None and 200 * lookups < wide.count() else "blocks"
-    found = _by_bands(wide, n, most, word_bits, slack, block) if strategy == "bands" else _by_blocks(wide, n, most, block)
+        many = lookups is not None and 200 * lookups < wide.count()
+        strategy = "bands" if many and _few_matches(wide, n, most, word_bits, slack) else "blocks"
+    if strategy == "bands":
+        found = _by_bands(wide, n, most, word_bits, slack, block or CROWD, block or BLOCK)
+    else:
+        found = _by_blocks(wide, n, most, block or BLOCK, word_bits)
     return classes, found.select("a", "b", similarity(F.col("total"), F.lit(params.num_frames), params.bits).alias("similarity"))
 
 
-def similar_pairs(signatures: DataFrame, params: Params, strategy: str = "auto", block: int = 4096, slack: int = 0) -> DataFrame:
+def similar_pairs(signatures: DataFrame, params: Params, strategy: str = "auto", block: int | None = None, slack: int = 0) -> DataFrame:
     """``(a, b, similarity)`` with a < b of ``signatures(path, hashes)``, copies as pairs like any other.
 
     The result is as large as the number of pairs; groups are made from ``similar_classes`` instead.
