@@ -77,3 +77,17 @@ def test_comparisons_of_the_registered_table(spark):
     compared = sum(n for k, n in counts.items() if k not in ("hashes", "pool"))
     print(counts)
     assert compared < counts["hashes"] * counts["pool"] / 4
+
+
+def test_tables_whose_rows_become_many_are_not_broadcast(spark):
+    """A look-up makes hundreds of rows of one, which Spark's estimate of sizes leaves out; a broadcast goes through the driver."""
+    from twinframe.operators import watched
+    from twinframe.sources.shared import materialize
+
+    asked, pool = (materialize(spark.range(5000).selectExpr(f"xxhash64(id, {k}) AS {c}"), c) for k, c in ((1, "hash"), (2, "seen")))
+    met = watched._by_index(asked, pool, 1, watched._segments(64, 5000), 2)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rest = watched._by_blocks(asked, pool, 1, 5000, 5000, 1500)
+    assert "Join" not in rest._jdf.queryExecution().executedPlan().toString()
+    assert rest.groupBy("hash").count().filter("count = 4").count() == 5000  # each met every block of the pool

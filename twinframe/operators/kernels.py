@@ -160,3 +160,44 @@ def dealt_pairs(close: Close, blocks: int) -> Callable:
             yield from compared()
 
     return run
+
+
+def nearest_in(words: int) -> Callable:
+    """A function for ``mapInArrow`` over ``(h, asks, pair)``, sorted by pair: every asking hash of a pair of blocks with its smallest distance to the others."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def compared():
+            h, asks = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = h[asks], h[~asks]
+            if not len(a) or not len(b):
+                return
+            far = np.full(len(a), 64 * words, dtype=np.int32)
+            for p in range(0, len(a), TILE[0]):
+                for q in range(0, len(b), TILE[1]):
+                    total = sum(np.bitwise_count(a[p : p + TILE[0], None, w] ^ b[None, q : q + TILE[1], w]).astype(np.uint8 if words < 4 else np.int32) for w in range(words))
+                    np.minimum(far[p : p + TILE[0]], total.min(axis=1), out=far[p : p + TILE[0]])
+            at = pa.array(np.arange(len(a) + 1, dtype=np.int32) * words)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(a.ravel().view(np.int64))), pa.array(far)], ["h", "met"])
+
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair = batch.column("pair").to_numpy()
+            h = batch.column("h").flatten().to_numpy().reshape(-1, words).view(np.uint64)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and pair[x] != at:
+                    yield from compared()
+                    held.clear()
+                at = int(pair[x])
+                held.append((h[x:y], asks[x:y]))
+        if held:
+            yield from compared()
+
+    return run

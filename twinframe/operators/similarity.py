@@ -122,7 +122,7 @@ def candidates(rows: DataFrame, n: int, most: int, word_bits: int, slack: int =
     probe = table.withColumn("mask", F.explode(F.when(F.col("weight") == 2, flips).otherwise(F.array(F.lit(0)))))
     probe = probe.select("id", "band", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "weight")
     table, probe, keys = dealt(table.select("id", "band", "key"), probe, ["band", "key"], crowd)
-    met = table.select(F.col("id").alias("a"), *keys).join(probe.withColumnRenamed("id", "b"), keys).filter("a < b")
+    met = table.select(F.col("id").alias("a"), *keys).join(probe.withColumnRenamed("id", "b").hint("merge"), keys).filter("a < b")
     enough = sum(r + 1 for _, r in used) - most
     return met.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= enough).select("a", "b")
 

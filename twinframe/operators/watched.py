@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from twinframe.functions.signatures import hamming, similarity
 from twinframe.operators.crowds import dealt
+from twinframe.operators.kernels import nearest_in
 from twinframe.params import Params
 from twinframe.sources.shared import materialize
 
 #: Look-ups of one hash in one segment beyond which the pool is compared as a whole, and hashes of one segment's value in one block.
 MOST_LOOKUPS, CROWD = 800, 4096
+#: Hashes of a block of either side, where the pool is compared as a whole.
+BLOCK = 262_144
 
 
 def _apart(a, b, words: int):
@@ -63,17 +66,27 @@ def _by_index(asked: DataFrame, pool: DataFrame, words: int, segments, radius: i
     balls = F.concat(*(ball(i, s) for i, s in enumerate(segments) if s[2] >= radius))
     probe = asked.select("hash", F.explode(balls).alias("e")).select("hash", "e.seg", "e.key")
     table, probe, keys = dealt(table, probe, ["seg", "key"], CROWD)
-    return probe.join(table, keys).select("hash", "seen")
-
-
-def _by_blocks(asked: DataFrame, pool: DataFrame, size: int, block: int) -> DataFrame:
-    """``(hash, seen)``: all pairs, by an equi-join on the pool's block."""
-    blocks = max(1, -(-size // block))
-    dealt = pool.withColumn("block", F.pmod(F.xxhash64("seen"), F.lit(blocks)).cast("int"))
-    return asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").select("hash", "seen")
-
-
-def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int = 4096, counts: dict[str, int] | None = None) -> DataFrame:
+    # Each row became many, which Spark's estimate of a table's size leaves out: neither side may be broadcast.
+    return probe.join(table.hint("merge"), keys).select("hash", "seen")
+
+
+def _by_blocks(asked: DataFrame, pool: DataFrame, words: int, rows: int, size: int, block: int) -> DataFrame:
+    """``(hash, met)``: every hash's smallest distance to each block of the pool, a pair of blocks in one task."""
+    conf = asked.sparkSession.conf
+    of_pool, enough = max(1, -(-size // block)), 3 * asked.sparkSession.sparkContext.defaultParallelism
+    of_asked = max(1, -(-rows // block), min(-(-enough // of_pool), rows // 256))
+    long = lambda c: F.array(c) if words == 1 else F.col(c)
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("long")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    a = asked.select(long("hash").alias("h"), F.lit(True).alias("asks"), own("hash", of_asked).alias("x"), every(of_pool).alias("y"))
+    b = pool.select(long("seen").alias("h"), F.lit(False).alias("asks"), own("seen", of_pool).alias("y"), every(of_asked).alias("x"))
+    met = a.unionByName(b).select("h", "asks", (F.col("x") * of_pool + F.col("y")).alias("pair"))
+    parts = max(1, min(int(conf.get("spark.sql.shuffle.partitions")), of_asked * of_pool))
+    out = met.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(nearest_in(words), "h array<bigint>, met int")
+    return out.select((F.get("h", F.lit(0)) if words == 1 else F.col("h")).alias("hash"), "met")
+
+
+def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int = BLOCK, counts: dict[str, int] | None = None) -> DataFrame:
     """``(hash, distance)``: each distinct hash's smallest distance to the pool, ``bits`` if the pool is empty.
 
     A hash is a long, or an array of longs where it has more than 64 bits. Nulls are left out on both
@@ -89,9 +102,9 @@ def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int =
     far = lambda df: df.select("hash", F.lit(bits).alias("distance"))
     if not size:
         return far(h)
-    same = h.join(p, F.col("hash") == F.col("seen"), "left_semi").withColumn("distance", F.lit(0))
+    same = h.join(p.hint("merge"), F.col("hash") == F.col("seen"), "left_semi").withColumn("distance", F.lit(0))
     nearest = lambda met: met.groupBy("hash").agg(F.min(_apart(F.col("hash"), F.col("seen"), words)).alias("met"), F.count("*").alias("n"))
-    found, left = [same], materialize(far(h.join(p, F.col("hash") == F.col("seen"), "left_anti")), "asking")
+    found, left = [same], materialize(far(h.join(p.hint("merge"), F.col("hash") == F.col("seen"), "left_anti")), "asking")
     segments = _segments(bits, size)
     for radius in range(bits):
         lookups = sum(comb(w, radius) for *_, w in segments)
@@ -107,7 +120,8 @@ def nearest_distance(hashes: DataFrame, pool: DataFrame, bits: int, block: int =
         left = now.filter(~settled).select("hash", "distance")
     if counts is not None:
         counts["blocks"] = left.count() * size
-    out = nearest(_by_blocks(left.select("hash"), p, size, block)).select("hash", F.col("met").alias("distance"))
+    rest = _by_blocks(left.select("hash"), p, words, left.count(), size, block)
+    out = rest.groupBy("hash").agg(F.min("met").alias("distance"))
     for df in found:
         out = out.unionByName(df)
     return out.select("hash", F.least("distance", F.lit(bits)).alias("distance"))
@@ -123,6 +137,6 @@ def split_watched(signatures: DataFrame, pool: DataFrame, params: Params) -> Dat
     whole = F.col("hashes") if words == 1 else F.transform(begins, lambda i: F.slice("hashes", i, words))
     frames = signatures.filter(F.size("hashes") > 0).select("path", F.explode(whole).alias("hash"))
     near = nearest_distance(frames, pool, params.bits)
-    per = frames.join(near, "hash").groupBy("path").agg(F.sum("distance").alias("total"), F.count("*").alias("n"))
+    per = frames.join(near.hint("merge"), "hash").groupBy("path").agg(F.sum("distance").alias("total"), F.count("*").alias("n"))
     score = similarity(F.col("total"), F.col("n"), params.bits)
     return per.select("path", score.alias("similarity"), (score >= params.threshold).alias("is_watched"))
