@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinframe.llm import licenses
 
@@ -160,3 +161,22 @@ def test_unseen_wordings(spark, model):
     assert sum(r.family == r.want for r in got) >= 0.8 * n
     assert sum(r.family == r.want and r.confirmed for r in got) >= 0.6 * n
     assert all(r.family == r.want for r in got if r.confirmed)
+
+
+def test_every_paragraph_counts(spark):
+    """Beyond the weight of a thousand examples too: counts are those of all distinct paragraphs, and so is the threshold."""
+    lines = [f"the rights of number {i}" for i in range(3000)] + ["all rights of the author", "no paragraph of this kind"]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::50])) for i in range(50)] * 2, "doc_id long, text string")
+    grams = ["rights", "of", "the", "author"]
+    rows = licenses._background(docs, "text", grams)
+    blocks = 50  # each text of several lines is a paragraph too
+    assert rows.agg(F.sum("n")).first()[0] == len(lines) + blocks
+    assert rows.filter(F.array_contains("g", "author")).agg(F.sum("n")).first()[0] == 2
+    scores = lambda xs: spark.createDataFrame(xs, "p double, n long")
+    assert licenses._threshold(scores([(0.9, 1), (0.6, 3), (0.1, 995)])) == pytest.approx(0.95, abs=1e-3)
+    assert licenses._threshold(scores([(0.9, 1), (0.6, 3), (0.1, 996)])) == pytest.approx(0.65, abs=1e-3)
+    assert licenses._threshold(scores([])) == 0.5
+    rng, some = random.Random(3), ["rights", "of", "the", "author", "rights of", "^ all", "author $", "^ rights"]
+    texts = spark.createDataFrame([([rng.choice(("all", "rights", "of", "the", "author", "x")) for _ in range(rng.randrange(9))],) for _ in range(200)], "words array<string>")
+    got = texts.select(F.array_sort(licenses._grams_of(F.col("words"), some)).alias("a"), F.array_sort(F.array_intersect(licenses._grams(F.col("words")), F.lit(some))).alias("b"))
+    assert got.filter("a != b").count() == 0

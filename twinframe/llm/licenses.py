@@ -4,16 +4,17 @@ A paragraph is a line, or a block of two lines or more between blank lines, so a
 wrapped over lines is seen as a whole. Its features are the distinct word uni- and bigrams (lower
 case, letters and digits) that occur in the licence templates: a sparse multinomial logistic regression over the
 licence families and a class ``unknown`` is trained on the templates, on variants of them with
-words left out, and on paragraphs of the corpus for ``unknown``. The unknown class is calibrated on
-paragraphs that training did not see: a family must reach a probability above all of theirs. A
+words left out, and on the distinct paragraphs of the corpus for ``unknown``, two thirds of which are
+trained on. The unknown class is calibrated on the other third: a family must reach a probability
+above all of theirs, or where they are a thousand or more, of all but one in a thousand. A
 prediction is confirmed by comparing the paragraph with the family's templates: the part of a
 template's bigrams that the paragraph has.
 
 The bigram weights are bounded by the templates, not by the corpus, and are joined to paragraphs by
 broadcast. Paragraphs that cannot win are left out before that by a bound, not by a guess: a family
 can beat ``unknown`` only through a feature that favours it, and each such feature has a word of the
-anchor set. The training sample is ``background`` distinct paragraphs with the smallest hashes; a
-sketch of their number gives a bound on the hash, so only about twice that many are sorted.
+anchor set. Every paragraph
+counts in training and calibration; those with the same features are one weighted row.
 
 A licence is reported by its line, or by its block's first line. A block that holds a confirmed line
 is not reported itself; of two licences wrapped within one block only the likelier is.
@@ -53,6 +54,8 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this work is prohibited."],
 }
 
+#: Parts of a probability that are told apart in calibration.
+STEPS = 4096
 KEY = ["d1", "d2"]
 PLACE = [*KEY, "paragraph", "last"]
 SPACE = " \t\r\f\x0b"
@@ -69,6 +72,15 @@ def _grams(words) -> F.Column:
     return F.array_distinct(F.concat(words, two))
 
 
+def _grams_of(words, grams: list[str]) -> F.Column:
+    """Those of ``grams`` that ``_grams(words)`` has; words that occur in none of them are passed over early."""
+    own = sorted({w for g in grams for w in g.split(" ")})
+    ends = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
+    both = lambda a, b: F.when(a.isin(own) & b.isin(own), F.concat_ws(" ", a, b))
+    two = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), both)
+    return F.array_distinct(F.concat(F.filter(words, lambda w: w.isin(grams)), F.filter(two, lambda x: x.isin(grams))))
+
+
 def _paragraphs(docs: DataFrame, text_col: str, *keep) -> DataFrame:
     """``(*keep, paragraph, last, line)``: every line, and every block of lines, with its first and last line's number."""
     src = docs.filter(F.length(text_col) > 0).select(*keep, F.split(text_col, "\n").alias("lines"))
@@ -86,16 +98,29 @@ def _doc_keys(id_col: str, text_col: str) -> list:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("d1"), F.xxhash64(F.lit(3), F.col(text_col), F.col(id_col)).alias("d2")]
 
 
-def _background(docs: DataFrame, text_col: str, grams: list[str], n: int) -> DataFrame:
-    """``(h, g)``: hash, and those of ``grams`` that it has, of the ``n`` distinct paragraphs with the smallest hashes."""
-    units = _paragraphs(docs, text_col).select(F.xxhash64("line").alias("h"), "line")
-    found = lambda u: u.withColumn("g", F.array_intersect(_grams(_words(F.col("line"))), F.lit(grams))).groupBy("h").agg(F.first("g").alias("g"))
-    share = 2 * n / max(1, units.agg(F.approx_count_distinct("h")).first()[0])
-    near = units if share >= 1 else units.filter(F.col("h") <= -(1 << 63) + int((1 << 64) * share))
-    near = materialize(found(near), "near-background")
-    if share < 1 and near.count() < n:  # the sketch was far off
-        near = found(units)
-    return materialize(near.orderBy("h").limit(n), "background")
+def _background(docs: DataFrame, text_col: str, grams: list[str]) -> DataFrame:
+    """``(g, test, n)``: how many distinct paragraphs that are not nearly a template have those of ``grams``, and whether they are kept from training."""
+    units = _paragraphs(docs, text_col).select(F.xxhash64("line").alias("h"), _words(F.col("line")).alias("words"))
+    units = units.select("h", _grams_of(F.col("words"), grams).alias("g"))
+    shapes = [sorted(_bigrams(t)) for ts in TEMPLATES.values() for t in ts]
+    overlap = F.exists(F.lit(shapes), lambda s: F.size(F.array_intersect(s, F.col("g"))) >= 0.5 * F.size(s))
+    enough = F.size(F.filter("g", lambda x: F.contains(x, F.lit(" ")))) >= min(map(len, shapes)) / 2
+    # A paragraph that many documents share is one example.
+    rows = units.distinct().groupBy(F.array_sort("g").alias("g"), (F.pmod("h", F.lit(3)) == 0).alias("test")).agg(F.count("*").alias("n"))
+    return materialize(rows.filter(~F.when(enough, overlap).otherwise(False)), "background")
+
+
+def _threshold(scores: DataFrame) -> float:
+    """What a family has to reach, from the probabilities ``(p, n)`` that ``n`` paragraphs have: above all of theirs but one in a thousand."""
+    steps = {r["step"]: r["n"] for r in scores.groupBy(F.ceil(F.col("p") * STEPS).alias("step")).agg(F.sum("n").alias("n")).collect()}  # STEPS rows at most
+    left = sum(steps.values()) // 1000
+    held = 0.0
+    for step in sorted(steps, reverse=True):
+        left -= steps[step]
+        if left < 0:
+            held = step / STEPS
+            break
+    return max(0.5, min(held + 0.05, (1 + held) / 2))
 
 
 class LicenseModel:
@@ -111,9 +136,10 @@ def _template_rows(spark: SparkSession) -> DataFrame:
 
 
 def fit(docs: DataFrame, background: int = 1000, variants: int = 6, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """A model from the templates and at most ``background`` paragraphs of the corpus."""
+    """A model from the templates and all distinct paragraphs of the corpus, which together weigh as much as ``background`` examples at most."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
     templates = _template_rows(spark)
@@ -122,33 +148,33 @@ def fit(docs: DataFrame, background: int = 1000, variants: int = 6, id_col: str
     left_out = lambda v: F.filter("words", lambda w, i: F.pmod(F.xxhash64(w, i, v), F.lit(6)) != 0)
     varied = templates.select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("v"))
     varied = varied.select("family", F.when(F.col("v") == 0, F.col("words")).otherwise(left_out(F.col("v"))).alias("words"))
-    # Paragraphs that are nearly a template are no examples of the unknown class.
-    shapes = F.lit([sorted(_bigrams(t)) for ts in TEMPLATES.values() for t in ts])
-    overlap = F.exists(shapes, lambda s: F.size(F.array_intersect(s, F.col("g"))) >= 0.5 * F.size(s))
-    # A paragraph that many documents share is one example.
-    other = _background(docs, text_col, grams, background).filter(~overlap)
-    other = other.select(F.lit(UNKNOWN).alias("family"), "g", (F.pmod("h", F.lit(3)) == 0).alias("test"))
-    nothing = spark.createDataFrame([(UNKNOWN, [], False)], "family string, g array<string>, test boolean")  # an empty corpus has the class too
-    known = varied.select("family", _grams(F.col("words")).alias("g"), F.lit(False).alias("test"))
-    rows = known.unionByName(other).unionByName(nothing)
+    other = _background(docs, text_col, grams)
+    total = other.groupBy("test").agg(F.sum("n").alias("n")).collect()
+    total, trained = sum(r["n"] for r in total), sum(r["n"] for r in total if not r["test"])
     # Grams that one corpus paragraph in a hundred has say nothing about licences.
-    common = other.select(F.explode("g").alias("x")).groupBy("x").count().filter(F.col("count") > 0.01 * other.count()).collect()  # bounded by ``background``
+    common = other.select(F.explode("g").alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n")).filter(F.col("n") > 0.01 * total).collect()  # bounded by TEMPLATES
     grams = sorted(set(grams) - {r["x"] for r in common})
+    # Paragraphs with the same features are one row with their number; all of them together weigh ``background`` examples at most.
+    weight = min(1.0, background * 2 / 3 / max(1, trained))
+    other = other.groupBy(F.array_sort(F.array_intersect("g", F.lit(grams))).alias("g"), "test").agg(F.sum("n").alias("n"))
+    other = other.select(F.lit(UNKNOWN).alias("family"), "g", "test", "n", (F.col("n") * weight).alias("weight"))
+    nothing = spark.createDataFrame([(UNKNOWN, [], False, 0, 1.0)], "family string, g array<string>, test boolean, n long, weight double")  # an empty corpus has the class too
+    known = varied.select("family", _grams(F.col("words")).alias("g"), F.lit(False).alias("test"), F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("weight"))
+    rows = known.unionByName(other).unionByName(nothing)
     index = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i)))])
-    vector = F.transform(F.lit(grams), lambda x: F.array_contains(F.col("g"), x).cast("double"))
-    rows = rows.select(index[F.col("family")].alias("label"), "test", "g", array_to_vector(vector).alias("features"))
-    rows = materialize(rows.coalesce(1), "training").cache()  # the templates and ``background`` rows
-    lr = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40, standardization=False)
+    vectors = CountVectorizerModel.from_vocabulary(grams, inputCol="g", outputCol="features").setBinary(True)
+    rows = vectors.transform(rows.select(index[F.col("family")].alias("label"), "test", "g", "n", "weight"))
+    rows = materialize(rows, "training").cache()
+    lr = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40, standardization=False, weightCol="weight")
     model = lr.fit(rows.filter("not test"))
     coef, icpt = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     at = len(families) - 1
     weights = [(g, f, float(coef[i, j] - coef[at, j])) for i, f in enumerate(families[:-1]) for j, g in enumerate(grams) if coef[i, j] != coef[at, j]]
     p = vector_to_array("probability")
-    held = model.transform(rows.filter("test")).select((1 - p[at]).alias("p")).agg(F.max("p")).first()[0]
-    held = held or 0.0
-    threshold = max(0.5, min(held + 0.05, (1 + held) / 2))  # above all of theirs
+    threshold = _threshold(model.transform(rows.filter("test")).select((1 - p[at]).alias("p"), "n"))
     intercepts = {f: float(icpt[i] - icpt[at]) for i, f in enumerate(families[:-1])}
-    often = dict(rows.filter(F.col("label") == at).select(F.explode("g").alias("x")).groupBy("x").count().collect())  # bounded by ``background``
+    often = dict(rows.filter(F.col("label") == at).select(F.explode("g").alias("x"), "n").groupBy("x").agg(F.sum("n")).collect())  # bounded by TEMPLATES
+    often |= {r["x"]: r["n"] for r in common}
     rows.unpersist()
     return LicenseModel(weights, intercepts, threshold, _anchors(weights, intercepts, often))
 
