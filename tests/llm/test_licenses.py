@@ -180,3 +180,26 @@ def test_every_paragraph_counts(spark):
     texts = spark.createDataFrame([([rng.choice(("all", "rights", "of", "the", "author", "x")) for _ in range(rng.randrange(9))],) for _ in range(200)], "words array<string>")
     got = texts.select(F.array_sort(licenses._grams_of(F.col("words"), some)).alias("a"), F.array_sort(F.array_intersect(licenses._grams(F.col("words")), F.lit(some))).alias("b"))
     assert got.filter("a != b").count() == 0
+
+
+def test_words_are_made_once(table, monkeypatch):
+    """A condition on grams that is pushed down to the paragraphs has their making in it, once for each use."""
+    plans, write = [], licenses.materialize
+    monkeypatch.setattr(licenses, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, tag))
+    licenses._background(table, "text", licenses._template_grams())
+    assert len(plans) == 1 and plans[0].count("[^a-z0-9]+") == 1
+
+
+def test_repeated_rows_count_once(table, model):
+    """A repeated row's paragraphs have the same probability as one's."""
+    rows = lambda df: {(r.d1, r.paragraph, r.last): (r.family, round(r.probability, 9)) for r in licenses.scan(df, model).collect()}
+    once = rows(table)
+    assert once and rows(table.unionAll(table)) == once
+
+
+def test_runs_of_unknown_words_part_what_is_known(spark):
+    """A run is one null, so no two words or ends meet over it."""
+    df = spark.createDataFrame([(["x", "y", "all", "x", "x", "rights", "reserved", "z", "z"],), (["all", "rights"],), ([],), (["x"],)], "words array<string>")
+    grams = ["all", "rights", "^ all", "all rights", "rights reserved", "reserved $", "rights $", "^ $"]
+    got = [sorted(r[0]) for r in df.select(licenses._grams_of(F.col("words"), grams)).collect()]
+    assert got == [["all", "rights", "rights reserved"], ["^ all", "all", "all rights", "rights", "rights $"], ["^ $"], []]

@@ -10,7 +10,8 @@ above all of theirs, or where they are a thousand or more, of all but one in a t
 prediction is confirmed by comparing the paragraph with the family's templates: the part of a
 template's bigrams that the paragraph has.
 
-The bigram weights are bounded by the templates, not by the corpus, and are joined to paragraphs by
+Grams are bounded by the templates, not by the corpus: a paragraph is stored as those that it has, for training and for
+the scan. Weights are joined to them by
 broadcast. Paragraphs that cannot win are left out before that by a bound, not by a guess: a family
 can beat ``unknown`` only through a feature that favours it, and each such feature has a word of the
 anchor set. Every paragraph
@@ -28,6 +29,7 @@ columns are ignored. An empty table gives none.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +64,7 @@ SPACE = " \t\r\f\x0b"
 
 
 def _words(text) -> F.Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def _grams(words) -> F.Column:
@@ -72,25 +74,49 @@ def _grams(words) -> F.Column:
     return F.array_distinct(F.concat(words, two))
 
 
-def _grams_of(words, grams: list[str]) -> F.Column:
-    """Those of ``grams`` that ``_grams(words)`` has; words that occur in none of them are passed over early."""
+def _with(x, f) -> F.Column:
+    """``f`` of a value that is made once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _marked(words, grams: list[str]) -> F.Column:
+    """An array of words with one null for each run of words that occur in none of ``grams``."""
     own = sorted({w for g in grams for w in g.split(" ")})
-    ends = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
-    both = lambda a, b: F.when(a.isin(own) & b.isin(own), F.concat_ws(" ", a, b))
-    two = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), both)
-    return F.array_distinct(F.concat(F.filter(words, lambda w: w.isin(grams)), F.filter(two, lambda x: x.isin(grams))))
+    known = F.transform(words, lambda w: F.when(w.isin(own), w))
+    return _with(known, lambda ws: F.filter(ws, lambda w, i: w.isNotNull() | (i == 0) | F.get(ws, i - 1).isNotNull()))
+
+
+def _grams_in(marked, grams: list[str]) -> F.Column:
+    """Those of ``grams`` that a paragraph with these marked words has."""
+    two = lambda ws: F.transform(ws, lambda w, i: F.when(w.isNotNull() & F.get(ws, i + 1).isNotNull(), F.concat_ws(" ", w, F.get(ws, i + 1))))
+    known = lambda ws: F.filter(ws, lambda w: w.isin(grams))
+    ends = F.concat(F.array(F.lit("^")), marked, F.array(F.lit("$")))
+    return _with(ends, lambda ws: F.array_distinct(F.concat(known(ws), known(two(ws)))))
 
 
-def _paragraphs(docs: DataFrame, text_col: str, *keep) -> DataFrame:
-    """``(*keep, paragraph, last, line)``: every line, and every block of lines, with its first and last line's number."""
+def _grams_of(words, grams: list[str]) -> F.Column:
+    """Those of ``grams`` that ``_grams(words)`` has."""
+    return _grams_in(_marked(words, grams), grams)
+
+
+def _paragraphs(docs: DataFrame, text_col: str, grams: list[str], *keep) -> DataFrame:
+    """``(*keep, paragraph, last, h, g)``: every line, and every block of lines, with its first and last line's number, its text's hash and those of ``grams`` that it has.
+
+    A line is split into words once: its block takes the words from there.
+    """
     src = docs.filter(F.length(text_col) > 0).select(*keep, F.split(text_col, "\n").alias("lines"))
+    names = src.columns[:-1]
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.btrim(F.get("lines", i), F.lit(SPACE))) == 0)
-    src = src.withColumn("blank", blank)
-    unit = lambda a, b, text: F.struct(a.cast("int").alias("paragraph"), b.cast("int").alias("last"), text.alias("line"))
+    src = src.select("*", blank.alias("blank"), F.transform("lines", lambda x: _marked(_words(x), grams)).alias("words"))
+    unit = lambda a, b, text, words: F.struct(
+        a.cast("int").alias("paragraph"), b.cast("int").alias("last"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("h"), words.alias("marked")
+    )
     ends = F.transform(F.concat("blank", F.array(F.size("lines"))), lambda b, k: F.struct(F.when(k == 0, 0).otherwise(F.get("blank", k - 1) + 1).alias("a"), (b - 1).alias("b")))
-    blocks = F.transform(F.filter(ends, lambda e: e["b"] > e["a"]), lambda e: unit(e["a"], e["b"], F.array_join(F.slice("lines", e["a"] + 1, e["b"] - e["a"] + 1), " ")))
-    units = F.concat(F.transform("lines", lambda x, i: unit(i, i, x)), blocks)
-    return src.select(*src.columns[:-2], F.inline(units)).filter(F.length("line") > 0)
+    part = lambda c, e: F.slice(c, e["a"] + 1, e["b"] - e["a"] + 1)
+    blocks = F.transform(F.filter(ends, lambda e: e["b"] > e["a"]), lambda e: unit(e["a"], e["b"], F.array_join(part("lines", e), " "), F.flatten(part("words", e))))
+    units = F.concat(F.transform("lines", lambda x, i: unit(i, i, x, F.get("words", i))), blocks)
+    units = src.select(*names, F.inline(units)).filter(F.col("h").isNotNull())
+    return units.select(*names, "paragraph", "last", "h", F.sort_array(_grams_in(F.col("marked"), grams)).alias("g"))
 
 
 def _doc_keys(id_col: str, text_col: str) -> list:
@@ -100,14 +126,19 @@ def _doc_keys(id_col: str, text_col: str) -> list:
 
 def _background(docs: DataFrame, text_col: str, grams: list[str]) -> DataFrame:
     """``(g, test, n)``: how many distinct paragraphs that are not nearly a template have those of ``grams``, and whether they are kept from training."""
-    units = _paragraphs(docs, text_col).select(F.xxhash64("line").alias("h"), _words(F.col("line")).alias("words"))
-    units = units.select("h", _grams_of(F.col("words"), grams).alias("g"))
+    return _examples(_paragraphs(docs, text_col, grams))
+
+
+def _examples(paragraphs: DataFrame) -> DataFrame:
+    """The same of ``paragraphs(h, g)``."""
     shapes = [sorted(_bigrams(t)) for ts in TEMPLATES.values() for t in ts]
     overlap = F.exists(F.lit(shapes), lambda s: F.size(F.array_intersect(s, F.col("g"))) >= 0.5 * F.size(s))
     enough = F.size(F.filter("g", lambda x: F.contains(x, F.lit(" ")))) >= min(map(len, shapes)) / 2
     # A paragraph that many documents share is one example.
-    rows = units.distinct().groupBy(F.array_sort("g").alias("g"), (F.pmod("h", F.lit(3)) == 0).alias("test")).agg(F.count("*").alias("n"))
-    return materialize(rows.filter(~F.when(enough, overlap).otherwise(False)), "background")
+    rows = paragraphs.select("h", "g").distinct().groupBy("g", (F.pmod("h", F.lit(3)) == 0).alias("test")).agg(F.count("*").alias("n"))
+    # Templates are compared once for each set of grams: a condition would be pushed down to the paragraphs, with the making of their grams in it.
+    rows = rows.withColumn("near", F.when(enough, overlap).otherwise(False))
+    return materialize(rows, "background").filter("not near").drop("near")
 
 
 def _threshold(scores: DataFrame) -> float:
@@ -137,18 +168,22 @@ def _template_rows(spark: SparkSession) -> DataFrame:
 
 def fit(docs: DataFrame, background: int = 1000, variants: int = 6, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
     """A model from the templates and all distinct paragraphs of the corpus, which together weigh as much as ``background`` examples at most."""
+    return _fit(_paragraphs(docs, text_col, _template_grams()), background, variants)
+
+
+def _fit(paragraphs: DataFrame, background: int = 1000, variants: int = 6) -> LicenseModel:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    spark = docs.sparkSession
+    spark = paragraphs.sparkSession
     templates = _template_rows(spark)
     families = sorted(TEMPLATES) + [UNKNOWN]
-    grams = sorted(r[0] for r in templates.select(F.explode(_grams(F.col("words")))).distinct().collect())  # bounded by TEMPLATES
+    grams = _template_grams()
     left_out = lambda v: F.filter("words", lambda w, i: F.pmod(F.xxhash64(w, i, v), F.lit(6)) != 0)
     varied = templates.select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("v"))
     varied = varied.select("family", F.when(F.col("v") == 0, F.col("words")).otherwise(left_out(F.col("v"))).alias("words"))
-    other = _background(docs, text_col, grams)
+    other = _examples(paragraphs)
     total = other.groupBy("test").agg(F.sum("n").alias("n")).collect()
     total, trained = sum(r["n"] for r in total), sum(r["n"] for r in total if not r["test"])
     # Grams that one corpus paragraph in a hundred has say nothing about licences.
@@ -179,13 +214,20 @@ def fit(docs: DataFrame, background: int = 1000, variants: int = 6, id_col: str
     return LicenseModel(weights, intercepts, threshold, _anchors(weights, intercepts, often))
 
 
-def _bigrams(template: str) -> set[str]:
-    import re
+def _template_words(template: str) -> list[str]:
+    return [x for x in re.split("[^a-z0-9]+", template.lower()) if x]
+
 
-    w = ["^", *(x for x in re.split("[^a-z0-9]+", template.lower()) if x), "$"]
+def _bigrams(template: str) -> set[str]:
+    w = ["^", *_template_words(template), "$"]
     return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
 
 
+def _template_grams() -> list[str]:
+    """All uni- and bigrams of the templates."""
+    return sorted({g for ts in TEMPLATES.values() for t in ts for g in (*_template_words(t), *_bigrams(t))})
+
+
 def _anchors(weights, intercepts, often: dict[str, int]) -> list[str]:
     """Words of which a paragraph must have one to score above the unknown class for any family.
 
@@ -208,9 +250,13 @@ def _anchors(weights, intercepts, often: dict[str, int]) -> list[str]:
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(d1, d2, paragraph, last, family, probability, similarity, confirmed)`` of the paragraphs that a family wins."""
-    spark = docs.sparkSession
-    found = _paragraphs(docs, text_col, *_doc_keys(id_col, text_col)).select(*PLACE, _words(F.col("line")).alias("words"))
-    found = found.filter(F.exists("words", lambda w: w.isin(model.anchors)))
+    return _scan(_paragraphs(docs, text_col, _template_grams(), *_doc_keys(id_col, text_col)), model)
+
+
+def _scan(paragraphs: DataFrame, model: LicenseModel) -> DataFrame:
+    """The same of ``paragraphs(d1, d2, paragraph, last, g)``, which have the grams of the templates: no others have weights, are anchors or are compared."""
+    spark = paragraphs.sparkSession
+    found = paragraphs.filter(F.arrays_overlap("g", F.lit(model.anchors).cast("array<string>"))).select(*PLACE, "g").dropDuplicates(PLACE)
     families = sorted(TEMPLATES)
     # Every bigram of a template is looked up, for the comparison, whether the classifier gives it a weight or not.
     grams = {g: [0.0] * len(families) for ts in TEMPLATES.values() for t in ts for g in _bigrams(t)} | {"": [0.0] * len(families)}
@@ -218,7 +264,7 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
         grams.setdefault(g, [0.0] * len(families))[families.index(f)] = w
     table = F.broadcast(spark.createDataFrame(list(grams.items()), "gram string, w array<double>"))  # bounded by TEMPLATES
     # One row for each feature that a paragraph has, and one without any, so that none is lost.
-    has = found.select(*PLACE, F.explode(F.concat(_grams(F.col("words")), F.array(F.lit("")))).alias("gram")).join(table, "gram")
+    has = found.select(*PLACE, F.explode(F.concat("g", F.array(F.lit("")))).alias("gram")).join(table, "gram")
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(families))]
     bigrams = F.collect_set("gram").alias("seen")  # at most the templates' grams
     scored = has.groupBy(*PLACE).agg(*sums, bigrams)
@@ -237,7 +283,8 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id_col, n_paragraphs, licenses, paragraphs)`` of every row: the confirmed families in alphabetical order, and the first lines of the paragraphs that declare them."""
-    hits = scan(docs, fit(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col).filter("confirmed")
+    paragraphs = materialize(_paragraphs(docs, text_col, _template_grams(), *_doc_keys(id_col, text_col)), "paragraphs")
+    hits = _scan(paragraphs, _fit(paragraphs, **options)).filter("confirmed")
     per = hits.groupBy(*KEY).agg(F.collect_list(F.struct("paragraph", "last", "family")).alias("hits"))  # a document's own
     lines = F.filter("hits", lambda h: h["paragraph"] == h["last"])
     apart = lambda h: ~F.exists(lines, lambda x: (x["paragraph"] >= h["paragraph"]) & (x["paragraph"] <= h["last"]))
