@@ -134,6 +134,46 @@ def test_moves_that_were_stopped_are_finished(some, monkeypatch, stop, when):
     assert not Path(journal).exists() and moves.resume_moves(journal) == (0, 0, set())
 
 
+def test_many_moves_wait_for_the_disk_once(some, monkeypatch):
+    folder, plan = some("synced")
+    journal, n, plain = str(folder / ".journal"), [], moves.os.fsync
+    moves.Journal(journal).store(plan)
+    with monkeypatch.context() as m:
+        m.setattr(moves.os, "fsync", lambda f: n.append(f) or plain(f))
+        assert moves.resume_moves(journal)[:2] == (9, 3)
+    assert len(n) <= 4  # one and one for each that cannot be moved; two for each move before
+
+
+def test_moves_that_wait_for_each_other(tmp_path):
+    """A name that an earlier move makes free, a file that an earlier move brings, and a name that is taken twice."""
+    import json
+
+    for x in "abc":
+        (tmp_path / x).write_text(x)
+    at = lambda x: str(tmp_path / x)
+    (tmp_path / "journal").mkdir()
+    rows = [("a", "d"), ("b", "a"), ("d", "e"), ("c", "f"), ("a", "f"), ("gone", "g")]
+    (tmp_path / "journal" / "plan").write_text("".join(json.dumps([at(x), at(y), "planned"]) + "\n" for x, y in rows))
+    assert moves.resume_moves(at("journal")) == (4, 2, {at(x) for x in "abdc"})
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"e": "a", "a": "b", "f": "c"}
+
+
+def test_files_of_others_stay(some, monkeypatch):
+    """Only the move that was under way can have left half a copy; a file at a later begun name is somebody's."""
+    folder, plan = some("others")
+    journal = str(folder / ".journal")
+    with monkeypatch.context() as m:
+        m.setattr(moves.shutil, "move", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            moves.apply_moves(plan, journal)
+    rows, said = moves.Journal(journal).read()
+    rows = list(rows)
+    later = sorted(i for i, word in said.items() if word == "begun")[-1]
+    Path(rows[later][1]).write_text("theirs")
+    moves.resume_moves(journal)
+    assert Path(rows[later][1]).read_text() == "theirs" and Path(rows[later][0]).exists()
+
+
 def test_a_plan_that_was_not_stored_whole_is_not_begun(some, monkeypatch):
     folder, plan = some("draft")
     with monkeypatch.context() as m:

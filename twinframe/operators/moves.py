@@ -98,7 +98,7 @@ def move_plan(files: DataFrame, folder: str, existing: DataFrame | None = None,
 class Journal:
     """A plan that is being carried out, and what has been done of it, in a folder of its own.
 
-    The plan is stored before the first move, and each move is noted before it begins and after it ended. A run
+    The plan is stored before the first move, and moves are noted before they begin, many at once, and each after it ended. A run
     that was stopped goes on from there, and ends with the files and counts of one that was not.
     """
 
@@ -161,36 +161,65 @@ def apply_moves(plan: DataFrame, journal: str | None = None) -> tuple[int, int,
     return before[0] + after[0], before[1] + after[1], before[2] | after[2]
 
 
-def resume_moves(journal: str) -> tuple[int, int, set[str]]:
-    """Finish what a journal says; the counts are those of the whole plan. Without a journal nothing is done."""
+def resume_moves(journal: str, together: int = 1000) -> tuple[int, int, set[str]]:
+    """Finish what a journal says; the counts are those of the whole plan. Without a journal nothing is done.
+
+    ``together`` moves are noted as begun at once, when all their names are free, with one wait for the disk. They are
+    done in order, so of those begun only the first whose file is still there can have left half a copy.
+    """
     book, moved, failed = Journal(journal), set(), 0
     if not book.exists():
         return 0, 0, moved
     rows, said = book.read()
     with open(book.log, "a", encoding="utf-8") as log:
 
-        def say(i: int, word: str) -> None:
-            log.write(f"{i} {word}\n")
+        def keep() -> None:
             log.flush()
             os.fsync(log.fileno())
 
+        def say(i: int, src: str, word: str) -> None:
+            nonlocal failed
+            log.write(f"{i} {word}\n")
+            log.flush()
+            failed += word == "failed"
+            if word == "moved":
+                moved.add(src)
+
+        def carry_out() -> None:
+            log.writelines(f"{i} begun\n" for i, _, _ in begun)
+            keep()
+            for i, src, dest in begun:
+                ok = _can_move(src, dest, "planned") and _move(src, dest)
+                say(i, src, "moved" if ok else "failed")
+                if not ok:
+                    keep()  # its file is still there
+            begun.clear()
+
         log.write("" if os.path.getsize(book.log) == 0 else "\n" * _cut_off(book.log))
+        begun: list[tuple[int, str, str]] = []
+        halves = True
         for i, (src, dest, status) in enumerate(rows):
             word = said.get(i)
-            if word == "begun":  # the name was free then: what is there now is this move's
+            if word == "begun":
                 if not os.path.exists(src):
                     word = "moved" if os.path.exists(dest) else "failed"
-                elif os.path.exists(dest):
-                    os.remove(dest)  # half a copy
-            if word not in ("moved", "failed"):
-                word = "failed"
-                if _can_move(src, dest, status):
-                    say(i, "begun")
-                    word = "moved" if _move(src, dest) else "failed"
-                say(i, word)
-            failed += word == "failed"
-            if word == "moved":
-                moved.add(src)
+                elif halves:
+                    halves = False
+                    if os.path.exists(dest):  # the name was free then: what is there now is this move's
+                        os.remove(dest)  # half a copy
+            if word in ("moved", "failed"):
+                say(i, src, word)
+                continue
+            if begun and not _can_move(src, dest, status):
+                carry_out()  # a move before it may make it possible
+            if _can_move(src, dest, status):
+                begun.append((i, src, dest))
+                if len(begun) == together:
+                    carry_out()
+            else:
+                say(i, src, "failed")
+        if begun:
+            carry_out()
     book.end()
     return len(moved), failed, moved
 
