@@ -11,8 +11,7 @@ prediction is confirmed by comparing the paragraph with the family's templates:
 template's bigrams that the paragraph has.
 
 Grams are bounded by the templates, not by the corpus: a paragraph is stored as those that it has, for training and for
-the scan. Weights are joined to them by
-broadcast. Paragraphs that cannot win are left out before that by a bound, not by a guess: a family
+the scan. Weights are joined to them by broadcast. Paragraphs that cannot win are left out before that by a bound, not by a guess: a family
 can beat ``unknown`` only through a feature that favours it, and each such feature has a word of the
 anchor set. Every paragraph
 counts in training and calibration; those with the same features are one weighted row.
