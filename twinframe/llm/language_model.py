@@ -19,7 +19,9 @@ start, whose parameters are averaged by their uses, vector by vector, in one agg
 that no task used keeps its start. There is one task a core, since each returns parameters. Only the
 parameters (units x ``dim``), never data, come back to the driver.
 
-Scores are batched matrix products, group by group. Counts of the ``head`` commonest words and of
+Words are cut and looked up in Arrow. A score is a sum over the two context places, so the sums of
+a softmax are inner products of one exponentiated vector a place; they are made once for each unit
+that a block's contexts share, or else as batched matrix products, group by group. Counts of the ``head`` commonest words and of
 all units are broadcast; the counts of all other words come by a join, from which each document's
 sums are made.
 
@@ -32,8 +34,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,6 +52,36 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def split(texts):
+    """The words of all texts, one after another, as an Arrow array of binary, and the number of words of each text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.binary()), b"").view(pa.string())  # ASCII functions take any bytes
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes, flat = pc.list_value_length(parts).to_numpy().astype(np.int64), parts.flatten()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty part
+    if not full.all():
+        before, ends = np.concatenate(([0], np.cumsum(full))), np.cumsum(sizes)
+        flat, sizes = flat.filter(pa.array(full)), before[ends] - before[ends - sizes]
+    return flat.view(pa.binary()), sizes
+
+
+def places(ws, table) -> np.ndarray:
+    """The place of each word in a table, -1 if it isn't there."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(ws, value_set=table), -1).to_numpy().astype(np.int32)
+
+
+def with_ends(of_words: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """Numbers of words, with one more after each text's; ``sizes`` counts both."""
+    out, is_word = np.full(len(of_words) + len(sizes), end, dtype=of_words.dtype), np.ones(len(of_words) + len(sizes), dtype=bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    out[is_word] = of_words
+    return out
+
+
 class Units(dict):
     """Numbers of words' units: frequent words, then the end token, then classes; one more only begins documents.
 
@@ -59,10 +89,17 @@ class Units(dict):
     """
 
     def __init__(self, frequent: list[bytes], classes: int, remember: int = 200_000):
+        import pyarrow as pa
+
         super().__init__({w: i for i, w in enumerate(frequent)})
         self.classes, self.end, self.remember = classes, len(frequent), remember
         self[END] = self.end
         self.size = self.start = self.end + 1 + classes
+        self.table = pa.array([*frequent, END], type=pa.binary())
+        # The same classes by tables: of the first two bytes, of a lone byte, and of the last one.
+        starts = [bytes((a, b)) for a in range(256) for b in range(256)] + [bytes((a,)) for a in range(256)]
+        self.by_start = np.array([zlib.crc32(w) % (classes // 2) * 2 for w in starts], dtype=np.int32)
+        self.by_last = np.array([not (bytes((a,)).isalnum() or a > 127) for a in range(256)], dtype=np.int32)
 
     def __missing__(self, w: bytes) -> int:
         """The class of a word that isn't frequent."""
@@ -74,23 +111,32 @@ class Units(dict):
     def __reduce__(self):
         return Units, (list(self)[: self.end], self.classes, self.remember)
 
-    def sequence(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, ws) -> np.ndarray:
+        """Units of an Arrow array of words."""
+        import pyarrow as pa
+
+        out = places(ws, self.table)
+        rare = np.flatnonzero(out < 0)
+        if len(rare):
+            ws = ws.take(pa.array(rare))
+            cuts, data = np.frombuffer(ws.buffers()[1], dtype=np.int32)[ws.offset : ws.offset + len(ws) + 1], np.frombuffer(ws.buffers()[2], dtype=np.uint8)
+            first, last = cuts[:-1], cuts[1:] - 1
+            start = np.where(last > first, data[first].astype(np.int32) * 256 + data[np.minimum(first + 1, last)], 65536 + data[first].astype(np.int32))
+            out[rare] = self.end + 1 + self.by_start[start] + self.by_last[data[last]]
+        return out
+
+    def sequence(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Units of all tokens of some texts, and the number of tokens of each text."""
-        out, sizes, of, end = [], [], self.__getitem__, self.end
-        for t in texts:
-            n = len(out)
-            out += map(of, words(t))
-            out.append(end)
-            sizes.append(len(out) - n)
-        return np.array(out, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        ws, sizes = split(texts)
+        return with_ends(self.numbers(ws), sizes + 1, self.end), sizes + 1
 
     def context(self, units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The units one and two places before each token, within its text."""
         first = np.zeros(len(units), dtype=bool)
         first[np.cumsum(sizes) - sizes] = True
-        one = np.concatenate(([self.start], units[:-1])) if len(units) else units
+        one = np.concatenate((units[:1], units[:-1]))
         one[first] = self.start
-        two = np.concatenate(([self.start], one[:-1])) if len(units) else units
+        two = np.concatenate((one[:1], one[:-1]))
         two[first] = self.start
         return one, two
 
@@ -131,7 +177,7 @@ class LogBilinear:
         def contrast(q, t, rows, cdf, log_kp):
             """Gradients of the predicted vectors, and of the rows of targets and noise."""
             k = np.searchsorted(cdf, rng.random_sample(noise) * cdf[-1])
-            rt, rk = rows[t], rows[k]
+            rt, rk = rows.take(t, axis=0), rows.take(k, axis=0)
             own = np.einsum("ij,ij->i", q, rt[:, :dim])
             own += rt[:, dim]
             own -= log_kp[t]
@@ -150,8 +196,8 @@ class LogBilinear:
 
         for at in range(0, len(target), batch):
             t, a, b = target[at : at + batch], one[at : at + batch], two[at : at + batch]
-            q = self.q1[a]
-            q += self.q2[b]
+            q = self.q1.take(a, axis=0)
+            q += self.q2.take(b, axis=0)
             gq, unit, gr = contrast(q, t, *levels[0])
             changes = [(0, unit, gr)]
             if len(self.groups) > 1:
@@ -162,49 +208,106 @@ class LogBilinear:
             for i, index, g in (*changes, (1, a, gq), (2, b, gq)):
                 rows, uses, g = _by_row(index, g)
                 g *= scale
-                s = state[i][rows]
+                s, x = state[i].take(rows, axis=0), tables[i].take(rows, axis=0)
                 s += g * g
                 state[i][rows] = s
                 np.sqrt(s, out=s)
                 g /= s
                 g *= np.float32(rate)
-                tables[i][rows] -= g
+                x -= g
+                tables[i][rows] = x
                 if used is not None:
                     used[i][rows] += uses
         return state
 
-    def log_probability(self, target, one, two, at_once: int = 256, block: int = 1 << 19) -> np.ndarray:
+    def log_probability(self, target, one, two, at_once: int = 256, block: int = 1 << 20) -> np.ndarray:
         """Natural log of each target's normalised probability after its context, in blocks of bounded size."""
-        parts = [self._log_probability(*(x[i : i + block] for x in (target, one, two)), at_once) for i in range(0, len(target), block)]
+        parts = [self._log_probability(*(x[i : i + block].astype(np.int64) for x in (target, one, two)), at_once) for i in range(0, len(target), block)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def _log_probability(self, target, one, two, at_once: int) -> np.ndarray:
-        """What tokens share is made once: a context's vector and groups, and a context's units of one group."""
-        context, at = np.unique(one * len(self.q2) + two, return_inverse=True)
-        first, second = np.divmod(context, len(self.q2))
-        q = np.ones((len(context), self.q1.shape[1] + 1), dtype=np.float32)  # the last column is for the bias
-        np.add(self.q1[first], self.q2[second], out=q[:, :-1])
+        """What tokens share is made once: a context's groups, and a context's units of one group."""
+        n = len(self.q2)
+        context, at = _distinct(one * n + two)
+        first, second = np.divmod(context, n)
         out, group, several = np.empty(len(target)), target // self.per, len(self.groups) > 1
-        for i in range(0, len(target), 1 << 14):
-            here = slice(i, i + (1 << 14))
-            own = self.r[target[here]]
+        for i in range(0, len(target), 1 << 13):
+            here = slice(i, i + (1 << 13))
+            own = self.r.take(target[here], axis=0)
             if several:
-                own += self.groups[group[here]]
-            out[here] = np.einsum("ij,ij->i", q[at[here]], own)
+                own += self.groups.take(group[here], axis=0)
+            q = self.q1.take(one[here], axis=0)
+            q += self.q2.take(two[here], axis=0)
+            out[here] = np.einsum("ij,ij->i", q, own[:, :-1]) + own[:, -1]
         if several:
-            out -= _log_sums(q, self.groups, at_once)[at]
-        pair, of = np.unique(group * len(context) + at, return_inverse=True)
+            out -= self._log_sums(first, second, self.groups, at_once)[at]
+        pair, of = _distinct(group * len(context) + at)
+        del at
         cuts, sums = np.searchsorted(pair, np.arange(len(self.groups) + 1) * len(context)), np.empty(len(pair))
         for g in np.flatnonzero(np.diff(cuts)):
             here = slice(cuts[g], cuts[g + 1])
-            sums[here] = _log_sums(q[pair[here] - g * len(context)], self.r[g * self.per : (g + 1) * self.per], at_once)
+            mine = pair[here] - g * len(context)
+            sums[here] = self._log_sums(first[mine], second[mine], self.r[g * self.per : (g + 1) * self.per], at_once)
         out -= sums[of]
         return out
 
+    def _log_sums(self, first, second, rows: np.ndarray, at_once: int, least: int = 1000) -> np.ndarray:
+        """For each context the log of the sum of its exponentiated scores over all rows; equal first units are neighbours.
+
+        A score is a sum over the two places, so its exponential is a product of one factor a place. Where many
+        contexts share few units, factors are made once a unit instead of exponentials for each context.
+        """
+        if len(first) >= least:
+            (a, i), (b, j) = _distinct(first), _distinct(second)
+            if 4 * (len(a) + len(b)) < 3 * len(first):
+                found = _log_sums_of_products(self.q1[a], i, self.q2[b], j, rows)
+                if found is not None:
+                    return found
+        found, dim = np.empty(len(first)), self.q1.shape[1]
+        for at in range(0, len(first), 1 << 13):
+            here = slice(at, at + (1 << 13))
+            q = np.ones((len(first[here]), dim + 1), dtype=np.float32)  # the last column is for the bias
+            np.add(self.q1[first[here]], self.q2[second[here]], out=q[:, :-1])
+            found[here] = _log_sums(q, rows, at_once)
+        return found
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (not negative) in order, and each key's place among them."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 62:
+        return np.unique(keys, return_inverse=True)
+    both = keys << bits  # keys and places as one number are sorted faster than places by keys
+    both |= np.arange(len(keys))
+    both.sort()
+    place = (both & ((1 << bits) - 1)).astype(np.int32)
+    both >>= bits
+    new = np.concatenate(([True], both[1:] != both[:-1]))
+    at = np.empty(len(keys), dtype=np.int32)
+    at[place] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return both[new], at
+
+
+def _log_sums_of_products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, rows: np.ndarray, width: int = 32, at_once: int = 1024) -> np.ndarray | None:
+    """Logs of sums over rows of exp(x[i] row) exp(y[j] row + bias), some rows at a time; None if factors may leave single precision."""
+    sums = np.zeros(len(i), dtype=np.float32)
+    for c in range(0, len(rows), width):
+        part = rows[c : c + width]
+        e, f = x @ part[:, :-1].T, y @ part[:, :-1].T
+        f += part[:, -1]
+        if max(float(e.max()), -float(e.min())) + max(float(f.max()), -float(f.min())) > 75:
+            return None
+        np.exp(e, out=e)
+        np.exp(f, out=f)
+        for at in range(0, len(i), at_once):
+            here = slice(at, at + at_once)
+            sums[here] += np.einsum("ij,ij->i", e.take(i[here], axis=0), f.take(j[here], axis=0))
+    return np.log(sums, dtype=np.float64)
+
 
 def _log_sums(q: np.ndarray, rows: np.ndarray, at_once: int) -> np.ndarray:
     """For each vector the log of the sum of its exponentiated inner products with all rows."""
-    found, columns = np.empty(len(q)), np.ascontiguousarray(rows.T)
+    found, columns, ones = np.empty(len(q)), np.ascontiguousarray(rows.T), np.ones(len(rows), dtype=np.float32)
     # No score is larger than the product of the norms (Cauchy and Schwarz).
     small = (np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", rows, rows).max()) < 60.0**2
     for i in range(0, len(q), at_once):
@@ -213,7 +316,7 @@ def _log_sums(q: np.ndarray, rows: np.ndarray, at_once: int) -> np.ndarray:
             top = s.max(axis=1)
             s -= top[:, None]
         np.exp(s, out=s)
-        found[i : i + at_once] = top + np.log(s.sum(axis=1, dtype=np.float32))
+        found[i : i + at_once] = top + np.log(s @ ones)
     return found
 
 
@@ -228,10 +331,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _by_row(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, how often each occurs, and the sums of their gradients."""
-    order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
-    index = index[order]
+    bits = len(index).bit_length()
+    both = (index.astype(np.int64) << bits) | np.arange(len(index))
+    both.sort()
+    order, index = both & ((1 << bits) - 1), both >> bits
     begins = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-    return index[begins], np.diff(np.append(begins, len(index))), np.add.reduceat(g[order], begins, axis=0)
+    return index[begins], np.diff(np.append(begins, len(index))), np.add.reduceat(g.take(order, axis=0), begins, axis=0)
 
 
 def held_out(id_col: str, folds: int = 5) -> F.Column:
@@ -245,12 +350,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b, i in ((b, i) for b in batches for i in range(0, b.num_rows, 4000)):
-            got: Counter = Counter()
-            part = b.column("text").slice(i, 4000).to_pylist()
-            for t in part:
-                got.update(words(t))
-            got[END] += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), type=pa.binary()), pa.array(got.values(), type=pa.int64())], ["word", "n"])
+            ws, sizes = split(b.column("text").slice(i, 4000))
+            got = ws.value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([got.field("values"), pa.array([END])]), pa.concat_arrays([got.field("counts"), pa.array([len(sizes)])])], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
 
@@ -259,34 +361,37 @@ class Scorer:
     """All that a task needs: the model, and the counts of common words and of classes."""
 
     def __init__(self, units: Units, model: LogBilinear, head: dict[bytes, int], total: int, distinct: int, class_n: np.ndarray, class_v: np.ndarray):
+        import pyarrow as pa
+
         self.units, self.model, self.total, self.distinct = units, model, total, distinct
-        self.place = {w: i for i, w in enumerate(head)}
+        self.head = pa.array(list(head), type=pa.binary())
         self.log = np.log10(np.array([*head.values(), 0]) + 0.5)
-        self.unit = np.array([*(units[w] for w in head), -1])
+        self.unit = np.append(units.numbers(self.head), np.int32(-1))
         self.known_end = END in head
+        self.end = list(head).index(END) if self.known_end else -1
         #: log10 of what a word's count plus a half is divided by, among all words and in its class
         self.all = math.log10(total + 0.5 * (distinct + 1))
         self.within = np.log10(class_n + 0.5 * (class_v + 1))
 
-    def score(self, texts: list[bytes | None]) -> dict:
+    def score(self, texts) -> dict:
         """Sums of each text without the counts of words outside the head; those words and their numbers, and where each text's begin."""
-        u, flat, sizes = self.units, [], []
-        for t in texts:
-            n = len(flat)
-            flat += words(t)
-            flat.append(END)
-            sizes.append(len(flat) - n)
-        at, sizes = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat)), np.array(sizes, dtype=np.int64)
+        import pyarrow as pa
+
+        u, (ws, sizes) = self.units, split(texts)
+        at = places(ws, self.head)
+        lost = np.flatnonzero(at < 0)  # among words; a text's end comes after them
+        text = np.searchsorted(np.cumsum(sizes), lost, side="right")
+        others, at, sizes = ws.take(pa.array(lost)), with_ends(at, sizes + 1, self.end), sizes + 1
+        del ws
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        target, log, lost = self.unit[at], np.where(at >= 0, self.log[at], 0.0), np.flatnonzero(at < 0)
+        target, log = self.unit[at], np.where(at >= 0, self.log[at], 0.0)
         if not self.known_end:  # no training document at all
             target[ends - 1], log[ends - 1] = u.end, math.log10(0.5)
-            lost = np.setdiff1d(lost, ends - 1)
-        others = [flat[p] for p in lost.tolist()]
-        target[lost] = list(map(u.__getitem__, others))
-        cuts = np.searchsorted(lost, np.concatenate((begins, ends[-1:])))
-        tails = [Counter(others[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        target[lost + text] = u.numbers(others)
+        named = others.dictionary_encode()
+        pair, f = np.unique(text * (len(named.dictionary) + 1) + named.indices.to_numpy(), return_counts=True)
+        text, word = np.divmod(pair, len(named.dictionary) + 1)
         one, two = u.context(target, sizes)
         kind = target - u.end - 1
         each = self.model.log_probability(target, one, two) / LOG10
@@ -294,7 +399,7 @@ class Scorer:
         return {
             "n_tokens": sizes, "n_known": np.add.reduceat((at >= 0).astype(np.int64), begins),
             "base": np.add.reduceat(log, begins) - self.all * sizes, "model": np.add.reduceat(each, begins),
-            "tail": ([w for t in tails for w in t], [f for t in tails for f in t.values()], np.cumsum([0, *map(len, tails)])),
+            "tail": (named.dictionary.take(pa.array(word)), f, np.searchsorted(text, np.arange(len(sizes) + 1))),
         }
 
 
@@ -320,11 +425,10 @@ def fit(train: DataFrame, frequent: int = 1000, classes: int = 256, dim: int = 2
 
         n, v, of = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64), send.value
         for b in batches:
-            for w, c in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
-                k = of[w] - of.end - 1
-                if k >= 0:
-                    n[k] += c
-                    v[k] += 1
+            k = of.numbers(b.column("word")) - of.end - 1
+            c, k = b.column("n").to_numpy()[k >= 0], k[k >= 0]
+            np.add.at(n, k, c)
+            np.add.at(v, k, 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(classes)), pa.array(n), pa.array(v)], ["k", "n", "v"])
 
     class_n, class_v = np.zeros(classes), np.zeros(classes)
@@ -358,7 +462,7 @@ def _train_on_all(train: DataFrame, units: Units, model: LogBilinear, state, noi
         state, used = [s.copy() for s in state], [np.zeros(len(x), dtype=np.int64) for x in own.tables()]
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                target, sizes = units.sequence(b.column("text").slice(i, 1000).to_pylist())
+                target, sizes = units.sequence(b.column("text").slice(i, 1000))
                 own.train(target, *units.context(target, sizes), noise, seed=TaskContext.get().partitionId() + i, state=state, used=used)
         first = 0
         for x, n in zip(own.tables(), used, strict=True):
@@ -396,12 +500,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         key = TaskContext.get().partitionId() << 40
         for b in batches:
             of = send.value
-            for part in slices(b, "text", 2000):
-                got, n = of.score(part.column("text").to_pylist()), part.num_rows
+            for part in slices(b, "text", 4000, 6 << 20):
+                got, n = of.score(part.column("text")), part.num_rows
                 cols = [pa.array(range(key, key + n), type=pa.int64()), part.column("id_"), part.column("held_out")]
                 cols += [pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(got["base"]), pa.array(got["model"])]
                 word, f, cuts = got["tail"]
-                pairs = pa.StructArray.from_arrays([pa.array(word, type=pa.binary()), pa.array(f, type=pa.int64())], ["word", "f"])
+                pairs = pa.StructArray.from_arrays([word, pa.array(f, type=pa.int64())], ["word", "f"])
                 key += n
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pairs)], ["key", "id_", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
 
