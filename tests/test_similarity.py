@@ -141,3 +141,31 @@ def test_wide_distances_shuffle_signatures_and_not_candidates(spark, strategy):
     assert len(got) == len(set(got)) and {(a, b): s for a, b, s in got} == brute(sig, p)
     plan = similar_pairs(df, p, strategy, 2)._jdf.queryExecution().toString()
     assert "weight" not in plan
+
+
+@pytest.mark.parametrize("strategy", ["auto", "blocks", "bands"])
+def test_pairs_found_are_joined_to_nothing(spark, strategy):
+    """The result may be far larger than the signatures: tasks give it with its paths, and no table is broadcast for it."""
+    rng, p = random.Random(10), Params(4, 4, 70.0)
+    sig = {f"p{i:02}": [rng.getrandbits(16) & 0x0FF0 for _ in range(4)] for i in range(30)}
+    sig |= {f"copy{i}": sig[f"p{i % 3:02}"] for i in range(20)}
+    df = signatures(spark, sig)
+    got = similar_pairs(df, p, strategy, 7)
+    rows = [(r.a, r.b, r.similarity) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and {(a, b): s for a, b, s in rows} == brute(sig, p)
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_copies_are_compared_once_and_given_all(monkeypatch):
+    import numpy as np
+
+    from twinframe.operators import kernels
+
+    monkeypatch.setattr(kernels, "OUT", 7)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 12, (9, 2), dtype=np.uint64)[rng.integers(0, 9, 60)]
+    far = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=int)
+    for a, b, same in ((x, x, True), (x[:25], x[25:], False)):
+        got = [p for i, j, d in kernels.close_rows(kernels.Close(2, 6, 64), a, b, same) for p in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)]
+        want = [(i, j, int(far[i, j if same else j + 25])) for i in range(len(a)) for j in range(len(b)) if (not same or i < j)]
+        assert sorted((min(i, j), max(i, j), d) if same else (i, j, d) for i, j, d in got) == [p for p in want if p[2] <= 6]

@@ -3,8 +3,8 @@
 All strategies give the pairs whose summed distance is at most the widest similar one.
 
 ``blocks`` compares all pairs: rows are dealt into blocks, and each pair of blocks is one group of a
-task, so nothing is broadcast, no side has to fit in memory, and only signatures and the pairs found
-travel. ``operators.kernels`` compares a group's rows in tiles.
+task, so nothing is broadcast, no side has to fit in memory, and only signatures, their paths and the pairs
+found travel. ``operators.kernels`` compares a group's rows in tiles.
 
 ``bands`` finds candidates first and verifies them after. Where few bits may differ, signatures are cut
 into bands of 16 bits, each with a radius r: pairs that agree in a band up to r bits have a match of weight
@@ -38,7 +38,7 @@ from twinframe.sources.shared import materialize
 
 BAND = 16
 #: Rows of a block at most, in one task; and pairs a signature that may meet in a shuffle of bands.
-BLOCK, MATCHES = 262_144, 200
+BLOCK, MATCHES = 131_072, 200
 
 
 def _wide(signatures: DataFrame, n: int) -> DataFrame:
@@ -66,25 +66,25 @@ def _numbered(wide: DataFrame) -> DataFrame:
     return materialize(wide.withColumn("id", F.monotonically_increasing_id()), "numbered-signatures")
 
 
-def _named(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(a, b, total)`` with paths for the numbers ``ia`` and ``ib``."""
-    of = lambda x: rows.select(F.col("id").alias(f"i{x}"), F.col("path").alias(x))
-    return found.join(of("a"), "ia").join(of("b"), "ib").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
-
-
-def _in_blocks(rows: DataFrame, n: int, most: int, block: int, word_bits: int, indexed: bool) -> DataFrame:
-    """``(ia, ib, total)`` of the close pairs of ``rows(id, h0, h1, ...)``, each pair of blocks in one task."""
-    blocks = _blocks(rows.sparkSession, rows.count(), block)
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    met = rows.select("id", F.array(*(f"h{i}" for i in range(n))).alias("h"), own.alias("own")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select("id", "h", "own", (F.least("own", "met") * blocks + F.greatest("own", "met")).alias("pair"))
-    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * (blocks + 1) // 2))
-    return met.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(dealt_pairs(Close(n, most, word_bits, indexed), blocks), "ia long, ib long, total int")
+def _in_blocks(wide: DataFrame, n: int, most: int, block: int, word_bits: int, indexed: bool) -> DataFrame:
+    """``(a, b, total)`` of the close pairs of ``wide(path, h0, h1, ...)``, copies too; each pair of blocks is in one task, which knows the paths."""
+    spark = wide.sparkSession
+    blocks = _blocks(spark, wide.count(), block)
+    own = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
+    met = wide.select("path", F.array(*(f"h{i}" for i in range(n))).alias("h"), own.alias("own")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    lo, hi = F.least("own", "met"), F.greatest("own", "met")
+    # Tasks have as many pairs of blocks each, give or take one.
+    pairs = blocks * (blocks + 1) // 2
+    parts = min(pairs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism))
+    place = (lo * blocks - F.expr("least(own, met) * (least(own, met) - 1) div 2") + hi - lo) % parts
+    met = met.select("path", "h", "own", (lo * blocks + hi).alias("pair"), place.cast("int").alias("place"))
+    dealt = met.repartitionById(parts, "place").drop("place").sortWithinPartitions("pair")
+    found = dealt.mapInArrow(dealt_pairs(Close(n, most, word_bits, indexed), blocks), "a string, b string, total int").filter("a != b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
 
 
 def _by_blocks(wide: DataFrame, n: int, most: int, block: int, word_bits: int = 64) -> DataFrame:
-    rows = _numbered(wide)
-    return _named(_in_blocks(rows, n, most, block, word_bits, False), rows)
+    return _in_blocks(wide, n, most, block, word_bits, False)
 
 
 def pairs_between(new: DataFrame, old: DataFrame, params: Params, block: int = 4096) -> DataFrame:
@@ -150,9 +150,9 @@ def _few_matches(rows: DataFrame, n: int, most: int, word_bits: int, slack: int)
 
 
 def _by_bands(wide: DataFrame, n: int, most: int, word_bits: int, slack: int, crowd: int, block: int = BLOCK) -> DataFrame:
+    if not _few_matches(wide, n, most, word_bits, slack):
+        return _in_blocks(wide, n, most, block, word_bits, True)
     rows = _numbered(wide)
-    if not _few_matches(rows, n, most, word_bits, slack):
-        return _named(_in_blocks(rows, n, most, block, word_bits, True), rows)
     ids = candidates(rows, n, most, word_bits, slack, crowd).withColumnsRenamed({"a": "ia", "b": "ib"})
     found = ids.join(rows.alias("a"), F.col("ia") == F.col("a.id")).join(rows.alias("b"), F.col("ib") == F.col("b.id")).filter(_close(n, most))
     return found.select(F.least("a.path", "b.path").alias("a"), F.greatest("a.path", "b.path").alias("b"), _distance(n).alias("total"))
@@ -166,22 +166,34 @@ def _lookups(most: int, bands: int, word_bits: int, slack: int) -> int | None:
         return None
 
 
+def _whole(signatures: DataFrame, n: int) -> DataFrame:
+    return signatures.filter((F.size("hashes") == n) & F.forall("hashes", lambda h: h.isNotNull())).select("path", "hashes")
+
+
+def _limits(params: Params) -> tuple[int, int, int]:
+    """Words of a signature, the largest distance that is similar, and bits of a word."""
+    return params.num_frames * params.words, widest(params.threshold, params.num_frames, params.bits), min(64, params.bits)
+
+
+def _chosen(wide: DataFrame, n: int, most: int, word_bits: int, slack: int) -> str:
+    """What ``auto`` takes for distinct signatures."""
+    lookups = _lookups(most, n * -(-word_bits // BAND), word_bits, slack)
+    many = lookups is not None and 200 * lookups < wide.count()
+    return "bands" if many and _few_matches(wide, n, most, word_bits, slack) else "blocks"
+
+
 def similar_classes(signatures: DataFrame, params: Params, strategy: str = "auto", block: int | None = None, slack: int = 0) -> tuple[DataFrame, DataFrame]:
     """``classes(path, rep)``: the first path of those with equal signatures stands for all; and ``pairs(a, b, similarity)`` of representatives.
 
     Signatures of the wrong length or with nulls are left out.
     """
-    n = params.num_frames * params.words
-    most = widest(params.threshold, params.num_frames, params.bits)
-    whole = signatures.filter((F.size("hashes") == n) & F.forall("hashes", lambda h: h.isNotNull())).select("path", "hashes")
+    n, most, word_bits = _limits(params)
+    whole = _whole(signatures, n)
     reps = whole.groupBy("hashes").agg(F.min("path").alias("rep"))
     classes = whole.join(reps, "hashes").select("path", "rep")
     wide = _wide(reps.withColumnRenamed("rep", "path"), n)
-    word_bits = min(64, params.bits)
     if strategy == "auto":
-        lookups = _lookups(most, n * -(-word_bits // BAND), word_bits, slack)
-        many = lookups is not None and 200 * lookups < wide.count()
-        strategy = "bands" if many and _few_matches(wide, n, most, word_bits, slack) else "blocks"
+        strategy = _chosen(wide, n, most, word_bits, slack)
     if strategy == "bands":
         found = _by_bands(wide, n, most, word_bits, slack, block or CROWD, block or BLOCK)
     else:
@@ -192,12 +204,22 @@ def similar_classes(signatures: DataFrame, params: Params, strategy: str = "auto
 def similar_pairs(signatures: DataFrame, params: Params, strategy: str = "auto", block: int | None = None, slack: int = 0) -> DataFrame:
     """``(a, b, similarity)`` with a < b of ``signatures(path, hashes)``, copies as pairs like any other.
 
-    The result is as large as the number of pairs; groups are made from ``similar_classes`` instead.
+    The result is as large as the number of pairs, so tasks that compare signatures give the paths themselves and
+    nothing is joined to it; groups are made from ``similar_classes`` instead.
     """
-    classes, found = similar_classes(signatures, params, strategy, block, slack)
+    n, most, word_bits = _limits(params)
+    whole = _whole(signatures, n)
+    distinct = _wide(whole.dropDuplicates(["hashes"]), n)
+    if strategy == "auto":
+        strategy = _chosen(distinct, n, most, word_bits, slack)
+    if strategy == "blocks" or not _few_matches(distinct, n, most, word_bits, slack):
+        rows = _wide(whole.filter("path is not null"), n)
+        found = _by_blocks(rows, n, most, block or BLOCK, word_bits) if strategy == "blocks" else _in_blocks(rows, n, most, block or BLOCK, word_bits, True)
+        return found.select("a", "b", similarity(F.col("total"), F.lit(params.num_frames), params.bits).alias("similarity"))
+    classes, found = similar_classes(signatures, params, "bands", block, slack)
     left, right = classes.select(F.col("rep").alias("a"), F.col("path").alias("x")), classes.select(F.col("rep").alias("b"), F.col("path").alias("y"))
     between = found.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    if widest(params.threshold, params.num_frames, params.bits) < 0:
+    if most < 0:
         return between
     within = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(100.0).alias("similarity"))
     return between.unionByName(within)
