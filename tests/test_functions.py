@@ -103,3 +103,24 @@ def test_sizes_half_way_between_two_texts(spark):
     sizes = spark.range(128, 16 << 20, 256).unionByName(spark.createDataFrame([(x,) for x in more], "id bigint"))
     got = sizes.select("id", paths.human_size(F.col("id"))).collect()
     assert [r for r in got if paths.human_size_text(r[0]) != r[1]] == []
+
+
+def test_texts_frames_are_hashed_in_batches(spark, tmp_path):
+    """As the column expressions give them, also beyond ASCII and with zeros."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from twinframe import queries
+    from twinframe.functions.signatures import average_hash, frame_indices
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \0é漢😀z") for _ in range(n)) for n in (1279, 1280, 1281, 1343, 1344, 5000, 20_011)] + [None, "", "a" * 2000]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries._doc_frames(spark, str(tmp_path))
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    at = queries._docs(spark, str(tmp_path)).filter("total_frames >= 20").select("doc_id", "text", F.posexplode(frame_indices(F.col("total_frames"), 20)).alias("frame_idx", "i"))
+    points = F.transform(F.split(F.substr("text", F.col("i") * 64 + 1, F.lit(64)), ""), lambda c: F.ascii(c).cast("double"))
+    want = at.select("doc_id", "frame_idx", average_hash(points, 64)[0].alias("hash"))
+    assert sorted(map(tuple, got.select("doc_id", "frame_idx", "hash").collect())) == sorted(map(tuple, want.collect()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +45,41 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), F.floor(F.length("text") / 64).cast("int").alias("total_frames"), "text", F.col("n_chars").alias("size_bytes"))
 
 
+def _text_hashes(text: bytes, total: int) -> np.ndarray:
+    """The average hashes of a text's frames, as ``frame_indices`` and ``average_hash`` give them."""
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")[: total * 64]
+    points = np.pad(points, (0, total * 64 - len(points))).reshape(total, 64)
+    at = np.floor(np.arange(DOC.num_frames) * ((total - 1) / (DOC.num_frames - 1))).astype(np.int64)
+    at[-1] = total - 1
+    frames = points[at]
+    return np.packbits(frames > frames.sum(axis=1, keepdims=True) / 64, axis=1).view(">i8").astype(np.int64).ravel()
+
+
+def _doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, doc_id, hashes)`` of the documents that are long enough, a row each; texts are hashed in Arrow batches like other frames."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = _docs(spark, sf_dir).filter(F.col("total_frames") >= DOC.num_frames).select("path", "doc_id", F.col("text").cast("binary").alias("text"), "total_frames")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [_text_hashes(t, n) for t, n in zip(b.column("text").to_pylist(), b.column("total_frames").to_pylist(), strict=True)]
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * DOC.num_frames)
+            hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("doc_id"), hashes], ["path", "doc_id", "hashes"])
+
+    return docs.repartition(parts).mapInArrow(run, f"path string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, hashes array<bigint>")
+
+
 def _doc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, doc_id, frame_idx, hash)`` of the documents that are long enough."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = _docs(spark, sf_dir).filter(F.col("total_frames") >= DOC.num_frames).repartition(parts)
-    at = docs.select("path", "doc_id", "text", F.posexplode(frame_indices(F.col("total_frames"), DOC.num_frames)).alias("frame_idx", "i"))
-    block = F.substr("text", F.col("i") * 64 + 1, F.lit(64))
-    points = F.transform(F.split(block, ""), lambda c: F.ascii(c).cast("double"))
-    return at.select("path", "doc_id", "frame_idx", average_hash(points, 64)[0].alias("hash"))
+    return _doc_hashes(spark, sf_dir).select("path", "doc_id", F.posexplode("hashes").alias("frame_idx", "hash"))
 
 
-def _signatures(frames: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("frame_idx", "hash")))
-    return frames.groupBy("path").agg(F.transform(ordered, lambda x: x["hash"]).alias("hashes"))
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, hashes)``; a path that several documents have gets the frames of all."""
+    return _doc_hashes(spark, sf_dir).groupBy("path").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
 
 
 def _emb_path(col: str = "vec_id"):
@@ -97,11 +120,11 @@ def pair_similarity(spark, sf_dir):
 
 
 def similar_pairs_brute(spark, sf_dir):
-    return similar_pairs(materialize(_signatures(_doc_frames(spark, sf_dir)), "signatures"), DOC, "blocks")
+    return similar_pairs(materialize(_signatures(spark, sf_dir), "signatures"), DOC, "blocks")
 
 
 def similar_pairs_mih(spark, sf_dir):
-    return similar_pairs(materialize(_signatures(_doc_frames(spark, sf_dir)), "signatures"), DOC, "bands")
+    return similar_pairs(materialize(_signatures(spark, sf_dir), "signatures"), DOC, "bands")
 
 
 def similar_pairs_emb(spark, sf_dir):
@@ -110,7 +133,7 @@ def similar_pairs_emb(spark, sf_dir):
 
 def _classes(spark, sf_dir):
     """Classes of equal signatures, and the similar pairs of their representatives, both written."""
-    classes, pairs = similar_classes(materialize(_signatures(_doc_frames(spark, sf_dir)), "signatures"), DOC)
+    classes, pairs = similar_classes(materialize(_signatures(spark, sf_dir), "signatures"), DOC)
     return materialize(classes, "classes"), materialize(pairs, "pairs")
 
 
